@@ -68,4 +68,9 @@ ADAPTER: dict[str, str] = {
 def sql(body: str, *tables: str) -> str:
     """``WITH`` the adapter CTEs for ``tables`` in front of ``body``."""
     ctes = ",\n".join(f"{name} as (\n{ADAPTER[name]}\n)" for name in tables)
-    return f"with {ctes}\n{body.strip()}" if ctes else body.strip()
+    body = body.strip()
+    if not ctes:
+        return body
+    if body[:5].lower() == "with ":
+        return f"with {ctes},\n{body[5:]}"
+    return f"with {ctes}\n{body}"
