@@ -22,22 +22,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: str,
-                  bucket: Column, out: str = "running", inclusive: bool = True) -> DataFrame:
-    """Add ``out`` = sum of ``value`` over earlier rows of the same key (and
-    the row itself when ``inclusive``), in ``order``.  ``bucket`` must be
-    monotone in ``order`` (e.g. the day of the timestamp ordered first)."""
+def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], values: dict[str, str],
+                   bucket: Column, inclusive: bool = True) -> DataFrame:
+    """Add one running sum per ``values`` item (``out -> value column``):
+    the sum over earlier rows of the same key in ``order`` (and the row
+    itself when ``inclusive``).  ``bucket`` must be monotone in ``order``
+    (e.g. the day of the timestamp that is ordered first)."""
     keys = list(keys)
     b = "_bucket"
     d = df.withColumn(b, bucket)
-    totals = d.groupBy(*keys, b).agg(F.sum(value).alias("_bt"))
+    totals = d.groupBy(*keys, b).agg(*[F.sum(v).alias(f"_bt_{o}") for o, v in values.items()])
     w_b = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, b, F.coalesce(F.sum("_bt").over(w_b), F.lit(0)).alias("_off"))
+    offsets = totals.select(*keys, b, *[F.coalesce(F.sum(f"_bt_{o}").over(w_b), F.lit(0)).alias(f"_off_{o}")
+                                        for o in values])
     end = 0 if inclusive else -1
     w_in = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-    inner = F.coalesce(F.sum(value).over(w_in), F.lit(0))
-    return (d.withColumn("_in", inner).join(offsets, [*keys, b])
-            .withColumn(out, F.col("_off") + F.col("_in")).drop("_in", "_off", b))
+    for o, v in values.items():
+        d = d.withColumn(f"_in_{o}", F.coalesce(F.sum(v).over(w_in), F.lit(0)))
+    d = d.join(offsets, [*keys, b])
+    for o in values:
+        d = d.withColumn(o, F.col(f"_off_{o}") + F.col(f"_in_{o}"))
+    return d.drop(b, *[f"_in_{o}" for o in values], *[f"_off_{o}" for o in values])
+
+
+def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: str,
+                  bucket: Column, out: str = "running", inclusive: bool = True) -> DataFrame:
+    """One running sum (see ``running_totals``)."""
+    return running_totals(df, keys, order, {out: value}, bucket, inclusive)
 
 
 def dense_ids(df: DataFrame, order: Sequence[str], base: Column | int = 0, out: str = "id",
