@@ -38,6 +38,35 @@ def _money(c: Column) -> Column:
     return c.cast(MONEY)
 
 
+def _sales(orders: DataFrame, customer: DataFrame) -> DataFrame:
+    """Sales headers from orders (an inner join keeps orders of known customers)."""
+    total = _money(F.col("o_totalprice"))
+    half = _money(F.floor(F.col("o_totalprice") / 2))
+    fulfilled = F.col("o_orderstatus") == "F"
+    prio = F.substring("o_orderpriority", 1, 1)
+    return orders.join(customer.select("c_custkey", "c_nationkey", "c_mktsegment"),
+                       F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("o_orderkey").alias("id"),
+        F.col("o_orderdate").alias("date"),
+        F.col("o_custkey").alias("shop_id"),
+        "c_nationkey", "c_mktsegment",
+        total.alias("total_amount"),
+        F.when(fulfilled, total).otherwise(half).alias("paid_amount"),
+        F.when(fulfilled, _money(F.lit(0))).otherwise(_money(total - half)).alias("balance_amount"),
+        F.when(fulfilled, "cash").otherwise("credit").alias("payment_type"),
+        F.when(prio == "1", "card").when(prio == "2", "transfer").when(prio == "3", "cheque")
+         .otherwise("cash").alias("payment_method"))
+
+
+def sales_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales as a stream: orders files read by the file stream source,
+    joined to the static customer table (stream-static inner join)."""
+    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/orders.parquet").schema
+    orders = spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/orders*.parquet")
+    customer = spark.read.parquet(f"{sf_dir.rstrip('/')}/customer.parquet")
+    return _sales(orders, customer).drop("c_nationkey", "c_mktsegment")
+
+
 def star_from_testdata(spark: SparkSession, sf_dir: str) -> Tables:
     raw = read_raw(spark, sf_dir)
     region, nation, customer = raw["region"], raw["nation"], raw["customer"]
@@ -104,23 +133,10 @@ def star_from_testdata(spark: SparkSession, sf_dir: str) -> Tables:
         _money(_money(F.col("c_acctbal")) - 5000).alias("current_balance"),
         F.when(F.col("c_custkey") % 25 == 24, 0).otherwise(1).alias("is_active"))
 
-    total = _money(F.col("o_totalprice"))
-    half = _money(F.floor(F.col("o_totalprice") / 2))
-    fulfilled = F.col("o_orderstatus") == "F"
-    prio = F.substring("o_orderpriority", 1, 1)
-    sales = orders.join(customer.select("c_custkey", "c_nationkey", "c_mktsegment"),
-                        F.col("o_custkey") == F.col("c_custkey")).select(
-        F.col("o_orderkey").alias("id"),
-        F.col("o_orderdate").alias("date"),
-        F.col("o_custkey").alias("shop_id"),
-        (F.col("o_orderkey") % n_salespersons).alias("salesperson_id"),
-        route_no.cast("bigint").alias("route_id"),
-        total.alias("total_amount"),
-        F.when(fulfilled, total).otherwise(half).alias("paid_amount"),
-        F.when(fulfilled, _money(F.lit(0))).otherwise(_money(total - half)).alias("balance_amount"),
-        F.when(fulfilled, "cash").otherwise("credit").alias("payment_type"),
-        F.when(prio == "1", "card").when(prio == "2", "transfer").when(prio == "3", "cheque")
-         .otherwise("cash").alias("payment_method"))
+    sales = _sales(orders, customer).select(
+        "id", "date", "shop_id", (F.col("id") % n_salespersons).alias("salesperson_id"),
+        route_no.cast("bigint").alias("route_id"), "total_amount", "paid_amount", "balance_amount",
+        "payment_type", "payment_method")
 
     sale_items = lineitem.select(
         F.col("l_orderkey").alias("sale_id"), F.col("l_partkey").alias("product_id"),
