@@ -114,6 +114,12 @@ def search_any(cols: Iterable[str], term: str | None) -> Column | None:
     return reduce(lambda a, b: a | b, [contains_ci(c, term) for c in cols])
 
 
+def search_movements(df: DataFrame, term: str | None, cols: Iterable[str]) -> DataFrame:
+    """rows of an enriched issue/return listing whose given columns
+    contain ``term`` (any case); no term = no filter."""
+    return where(df, search_any(cols, term))
+
+
 def towns_in_district(t: Tables, district_ids) -> DataFrame:
     """towns of the given districts."""
     return lookup(t.towns, district_ids, "district_id").orderBy("name", "id")

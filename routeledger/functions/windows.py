@@ -59,10 +59,11 @@ def dense_ids(df: DataFrame, order: Sequence[str], base: Column | int = 0, out:
     tagged = ranged.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
     # monotonically_increasing_id = partition index << 33 | row position in partition
     tagged = tagged.withColumn("_pos", F.col("_m") - F.shiftleft(F.col("_p").cast("bigint"), 33))
-    # Freeze the numbered partitions (reliable checkpoint in the shared
+    # Freeze the numbered partitions (a table written in the shared
     # spark.checkpoint.dir) so the per-partition counts and the rows come
     # from one evaluation, also after a lost executor.
-    tagged = tagged.checkpoint(eager=True)
+    from ..session import materialize
+    tagged = materialize(tagged, "dense-ids")
     counts = tagged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     # One row per partition: the only single-partition window here is over

@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 
 from ..functions.windows import dense_ids, running_totals
 from ..schema import MONEY
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialize
 from ..tables import Tables
 
 log = logging.getLogger(__name__)
@@ -278,7 +278,7 @@ def admit(legs: DataFrame, levels: DataFrame, max_rounds: int = 10_000,
                           F.col("delta").cast(MONEY).alias("delta"))
               .join(lv, KEYS, "left").withColumn("level", F.coalesce("level", F.lit(0).cast(MONEY)))
               .withColumn("status", F.lit(OPEN)))
-    active = active.checkpoint(eager=True)
+    active = materialize(active, "admit-active")
     decided: list[DataFrame] = []
     rnd = 0
     while True:
@@ -303,11 +303,8 @@ def admit(legs: DataFrame, levels: DataFrame, max_rounds: int = 10_000,
                    .select("cmd_id", F.when(F.col("any_fail"), REJECTED).when(F.col("all_ok"), ACCEPTED)
                            .alias("new_status"))
                    .filter(F.col("new_status").isNotNull()))
-        verdict = verdict.checkpoint(eager=True)
-        n_new = verdict.count()
-        if n_new:
-            decided.append(verdict.select("cmd_id", F.col("new_status").alias("status"),
-                                          F.lit(rnd).alias("round")))
+        verdict = materialize(verdict, "admit-verdict")
+        decided.append(verdict.select("cmd_id", F.col("new_status").alias("status"), F.lit(rnd).alias("round")))
         updated = (active.join(verdict, "cmd_id", "left")
                    .withColumn("status", F.coalesce("new_status", "status")).drop("new_status"))
         # Fold: per key, decided legs before the first open leg go into the level.
@@ -320,9 +317,10 @@ def admit(legs: DataFrame, levels: DataFrame, max_rounds: int = 10_000,
         keep = u.filter(~before & (F.col("status") != REJECTED)).drop("_first")
         active = (keep.join(fold, KEYS, "left")
                   .withColumn("level", (F.col("level") + F.coalesce("_fold", F.lit(0))).cast(MONEY))
-                  .drop("_fold")).checkpoint(eager=True)
+                  .drop("_fold"))
+        active = materialize(active, "admit-active")
         n_open = active.filter(F.col("status") == OPEN).count()
-        log.info("admission round %d: %d decided, %d open", rnd, n_new, n_open)
+        log.info("admission round %d: %d legs still open", rnd, n_open)
         if n_open == 0:
             break
     out = decided[0] if decided else spark.createDataFrame([], "cmd_id bigint, status string, round int")
@@ -355,7 +353,7 @@ def decide(commands: DataFrame, t: Tables, **kw) -> tuple[DataFrame, DataFrame]:
 
     Returns (decisions (cmd_id, status, reason), legs)."""
     legs, rejects = to_legs(commands, t)
-    legs = legs.checkpoint(eager=True)
+    legs = materialize(legs, "admit-legs")
     dec = admit(legs, opening_levels(t), commands=commands.join(rejects, "cmd_id", "left_anti"), **kw)
     out = (dec.select("cmd_id", "status", F.lit(None).cast("string").alias("reason"))
            .unionByName(rejects.select("cmd_id", F.lit(REJECTED).alias("status"), "reason")))

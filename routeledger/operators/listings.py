@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.predicates import date_range, filter_returns, filter_shops, lookup, search_any, where
+from ..functions.predicates import date_range, filter_returns, filter_shops, lookup, search_movements, where
 from ..functions.scalars import as_date, day_of, to_double
 from ..tables import Tables
 from .reports import _names, shops_located
@@ -171,7 +171,7 @@ def issues_filtered(t: Tables, from_=None, to_=None, salesperson_id=None, produc
               date_range("date", from_, to_),
               None if salesperson_id is None else F.col("salesperson_id") == salesperson_id,
               None if product_id is None else F.col("product_id") == product_id)
-    return where(_movement_names(i, t), search_any(ISSUE_SEARCH, search))
+    return search_movements(_movement_names(i, t), search, ISSUE_SEARCH)
 
 
 def returns_filtered(t: Tables, from_=None, to_=None, salesperson_id=None, product_id=None, reason=None,
@@ -181,7 +181,7 @@ def returns_filtered(t: Tables, from_=None, to_=None, salesperson_id=None, produ
                                "condition", "inspection_required", "notes")
     r = filter_returns(where(r, date_range("date", from_, to_)), reason=reason, condition=condition,
                        salesperson_id=salesperson_id, product_id=product_id)
-    return where(_movement_names(r, t), search_any(RETURN_SEARCH, search))
+    return search_movements(_movement_names(r, t), search, RETURN_SEARCH)
 
 
 ISSUE_ORDER = ("date", "salesperson_id", "product_id", "quantity_issued", "vehicle_number", "id")

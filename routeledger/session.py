@@ -66,3 +66,15 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
         raise RuntimeError("spark.checkpoint.dir is unset; point it at a folder shared by all executors")
     sc.setCheckpointDir(target)
     return sc.getCheckpointDir() or target
+
+
+def materialize(df, label: str):
+    """Cut lineage by writing ``df`` as a Parquet table in the shared
+    checkpoint folder and reading it back (one job; ``Dataset.checkpoint``
+    would compute its input twice).  Survives lost executors."""
+    import uuid
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/routeledger/{label}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
