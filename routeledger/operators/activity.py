@@ -46,36 +46,51 @@ def search_all(t: Tables, term: str, k: int = 5) -> DataFrame:
             .unionByName(top(t.shops, "shop", ["code", "name", "owner_name"], False)))
 
 
-def movements(t: Tables) -> DataFrame:
+def movements(t: Tables, resources=("warehouse", "field", "debt")) -> DataFrame:
     """Every ledger leg in one long table.
 
     Resources: ``warehouse`` (k1 = product), ``field`` (k1 = salesperson,
     k2 = product) and ``debt`` (k1 = shop; debt = -balance).  ``k2`` is -1
-    where unused so joins on (resource, k1, k2) stay null-free."""
+    where unused so joins on (resource, k1, k2) stay null-free.  Each source
+    table is scanned once (its legs come out of one ``explode``), and a
+    source is not read at all when none of its resources is asked for."""
+    want = set(resources)
     none = F.lit(-1).cast("bigint")
 
-    def legs(df, source, sid, ts, resource, k1, k2, delta):
-        return df.select(F.lit(source).alias("source"), sid.cast("bigint").alias("source_id"),
-                         ts.alias("ts"), F.lit(resource).alias("resource"), k1.cast("bigint").alias("k1"),
-                         k2.cast("bigint").alias("k2"), delta.cast(MONEY).alias("delta"))
+    def leg(resource, k1, k2, delta):
+        return F.struct(F.lit(resource).alias("resource"), k1.cast("bigint").alias("k1"),
+                        k2.cast("bigint").alias("k2"), delta.cast(MONEY).alias("delta"))
+
+    def legs(df, source, sid, ts, parts):
+        parts = [p for r, p in parts if r in want]
+        if not parts:
+            return None
+        return (df.select(F.lit(source).alias("source"), sid.cast("bigint").alias("source_id"), ts.alias("ts"),
+                          F.explode(F.array(*parts)).alias("_l"))
+                .select("source", "source_id", "ts", "_l.*"))
 
     i, r = t.stock_issues, t.stock_returns
     q_i, q_r = F.col("quantity_issued"), F.col("quantity_returned")
-    items = t.sale_items.select("sale_id", "product_id", "quantity").join(
-        t.sales.select(F.col("id").alias("sale_id"), "date", "salesperson_id"), "sale_id")
-    credit = t.sales.filter(F.col("balance_amount") > 0)
-    c = t.collections
-    parts = [
-        legs(i, "issue", F.col("id"), F.col("date"), "warehouse", F.col("product_id"), none, -q_i),
-        legs(i, "issue", F.col("id"), F.col("date"), "field", F.col("salesperson_id"), F.col("product_id"), q_i),
-        legs(r, "return", F.col("id"), F.col("date"), "field", F.col("salesperson_id"), F.col("product_id"), -q_r),
-        legs(r, "return", F.col("id"), F.col("date"), "warehouse", F.col("product_id"), none, q_r),
-        legs(items, "sale", F.col("sale_id"), F.col("date"), "field", F.col("salesperson_id"), F.col("product_id"),
-             -F.col("quantity")),
-        legs(credit, "sale", F.col("id"), F.col("date"), "debt", F.col("shop_id"), none, F.col("balance_amount")),
-        legs(c, "collection", F.col("id"), F.col("date"), "debt", F.col("shop_id"), none, -F.col("amount")),
+    sp, p = F.col("salesperson_id"), F.col("product_id")
+    out = [
+        legs(i, "issue", F.col("id"), F.col("date"),
+             [("warehouse", leg("warehouse", p, none, -q_i)), ("field", leg("field", sp, p, q_i))]),
+        legs(r, "return", F.col("id"), F.col("date"),
+             [("field", leg("field", sp, p, -q_r)), ("warehouse", leg("warehouse", p, none, q_r))]),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    if "field" in want:
+        items = t.sale_items.select("sale_id", "product_id", "quantity").join(
+            t.sales.select(F.col("id").alias("sale_id"), "date", "salesperson_id"), "sale_id")
+        out.append(legs(items, "sale", F.col("sale_id"), F.col("date"),
+                        [("field", leg("field", sp, p, -F.col("quantity")))]))
+    if "debt" in want:
+        credit = t.sales.filter(F.col("balance_amount") > 0)
+        out.append(legs(credit, "sale", F.col("id"), F.col("date"),
+                        [("debt", leg("debt", F.col("shop_id"), none, F.col("balance_amount")))]))
+        out.append(legs(t.collections, "collection", F.col("id"), F.col("date"),
+                        [("debt", leg("debt", F.col("shop_id"), none, -F.col("amount")))]))
+    out = [o for o in out if o is not None]
+    res = out[0]
+    for o in out[1:]:
+        res = res.unionByName(o)
+    return res

@@ -26,7 +26,7 @@ def negative_stock(t: Tables) -> DataFrame:
 
 def negative_positions(t: Tables, as_of=None) -> DataFrame:
     """C1 on the ledger: positions (from zero) below zero."""
-    p = positions(t, as_of).filter(F.col("resource").isin("warehouse", "field") & (F.col("level") < 0))
+    p = positions(t, as_of, resources=("warehouse", "field")).filter(F.col("level") < 0)
     return p.select(*KEYS, to_double(F.col("level")).alias("level"))
 
 

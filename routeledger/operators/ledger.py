@@ -39,12 +39,13 @@ def state_levels(t: Tables) -> DataFrame:
 
 
 # ---------------------------------------------------------------- L1
-def positions(t: Tables, as_of=None, opening: DataFrame | None = None) -> DataFrame:
+def positions(t: Tables, as_of=None, opening: DataFrame | None = None,
+              resources=("warehouse", "field", "debt")) -> DataFrame:
     """L1: level per (resource, key) = opening level + movements up to ``as_of``.
 
     One aggregation on (resource, k1, k2) with map-side partial sums; the
     optional opening levels join on the same key."""
-    m = movements(t)
+    m = movements(t, resources)
     if as_of is not None:
         m = m.filter(F.to_date("ts") <= as_of_date(as_of))
     moved = m.groupBy(*KEYS).agg(F.sum("delta").alias("_moved"))
@@ -67,7 +68,7 @@ def shop_statement(t: Tables, ids=None) -> DataFrame:
 
     The running sum is split by (shop, day), so a shop with most of the
     history is still spread over many tasks (``windows.running_total``)."""
-    legs = movements(t).filter(F.col("resource") == "debt").select(
+    legs = movements(t, ["debt"]).select(
         F.col("k1").alias("shop_id"), "ts", "source", "source_id", "delta")
     if ids is not None:
         legs = legs.join(id_frame(legs.sparkSession, ids, "shop_id"), "shop_id", "left_semi")
