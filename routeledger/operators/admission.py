@@ -67,31 +67,29 @@ def to_legs(commands: DataFrame, t: Tables) -> tuple[DataFrame, DataFrame]:
 
     Returns ``(legs, rejects)``: legs ``(cmd_id, ts, resource, k1, k2,
     need, delta)`` with one leg per command and key, and commands refused
-    by a shape or reference rule (they consume nothing) with the reason.
-    Only the branches of kinds present in the batch are planned (one small
-    distinct-kind query decides that)."""
-    cmd = commands.withColumn("kind", F.lower(F.trim("kind")))
-    present = {r[0] for r in cmd.select("kind").distinct().limit(len(KINDS) + 1).collect()}
+    by a shape or reference rule (they consume nothing) with the reasons.
+
+    Every command becomes one row carrying everything its checks need
+    (line flags, shop and product flags, the referenced old fact), all
+    checks are one array expression, and legs are built from the rows
+    without a reason.  Only the branches of kinds present in the batch are
+    planned (one small distinct-kind query decides that)."""
+    kind = F.lower(F.trim("kind"))
+    present = {r[0] for r in commands.select(kind).distinct().limit(len(KINDS) + 1).collect()}
+    cmd = commands.withColumn("kind", kind)
+    spark = commands.sparkSession
     products = t.products.select(F.col("id").alias("product_id"), F.col("is_active").alias("p_active"))
     shops = t.shops.select(F.col("id").alias("shop_id"), F.col("is_active").alias("s_active"))
-    reasons: list[DataFrame] = []
-    simple: list[DataFrame] = []    # at most one leg per (command, key) already
-    ordered: list[DataFrame] = []   # legs with a sequence, combined per key below
-
-    def reject(df: DataFrame, cond: Column, why: str) -> None:
-        reasons.append(df.filter(cond).select("cmd_id", F.lit(why).alias("reason")))
+    k = F.col("kind")
 
-    if not present <= set(KINDS):
-        reasons.append(cmd.filter(~F.col("kind").isin(*KINDS) | F.col("kind").isNull())
-                       .select("cmd_id", F.lit("unknown kind").alias("reason")))
     head = cmd.select("cmd_id", "ts", "kind", "salesperson_id", "shop_id", "ref_id", "amount",
                       F.col("items")[0]["product_id"].alias("n_p"), F.col("items")[0]["quantity"].alias("n_q"))
     head = head.join(shops, "shop_id", "left")
 
-    item_kinds = [k for k in ("issue", "return", "sale") if k in present]
+    item_kinds = [x for x in ("issue", "return", "sale") if x in present]
+    per_product = None
     if item_kinds:
-        # Lines consolidated per (command, product); shared by checks and legs.
-        lines = (cmd.filter(F.col("kind").isin(*item_kinds))
+        lines = (cmd.filter(k.isin(*item_kinds))
                  .select("cmd_id", "ts", "kind", "salesperson_id", F.explode_outer("items").alias("it"))
                  .select("cmd_id", "ts", "kind", "salesperson_id", F.col("it.product_id").alias("product_id"),
                          F.col("it.quantity").alias("quantity")))
@@ -99,130 +97,152 @@ def to_legs(commands: DataFrame, t: Tables) -> tuple[DataFrame, DataFrame]:
                        .agg(F.sum("quantity").alias("q"), F.min("quantity").alias("min_line"),
                             F.count("quantity").alias("n_lines"))
                        .join(products, "product_id", "left")).persist()
-        bad = per_product.groupBy("cmd_id").agg(
+        flags = per_product.groupBy("cmd_id").agg(
             F.max(F.when(F.col("n_lines") == 0, 1).otherwise(0)).alias("no_items"),
             F.max(F.when(F.col("min_line") <= 0, 1).otherwise(0)).alias("bad_qty"),
             F.max(F.when((F.col("kind") != "sale") & (F.col("p_active").isNull() | (F.col("p_active") != 1)), 1)
                   .otherwise(0)).alias("bad_product"))
-        reject(bad, F.col("no_items") == 1, "no items")
-        reject(bad, F.col("bad_qty") == 1, "quantity must be positive")
-        reject(bad, F.col("bad_product") == 1, "product missing or inactive")
+        head = head.join(flags, "cmd_id", "left")
+
+    # Referenced old facts, one left join per family present.
+    sale_ref = present & {"sale_update", "sale_delete"}
+    coll_ref = "collection_delete" in present
+    move_ref = present & {"return_update", "return_delete", "issue_update", "issue_delete"}
+    o_active = shops.select(F.col("shop_id").alias("o_shop"), F.col("s_active").alias("o_active"))
+    if sale_ref:
+        old = (t.sales.select(F.col("id").alias("ref_id"), F.col("salesperson_id").alias("o_sp"),
+                              F.col("shop_id").alias("o_shop"), F.col("balance_amount").alias("o_bal"),
+                              F.lit(True).alias("s_found"), F.lit("sale").alias("_fam"))
+               .join(o_active, "o_shop", "left"))
+        head = head.join(old, (head["ref_id"] == old["ref_id"]) & k.startswith("sale_"), "left").drop(old["ref_id"])
+    if coll_ref:
+        old = (t.collections.select(F.col("id").alias("ref_id"), F.col("shop_id").alias("c_shop"),
+                                    F.col("amount").alias("c_amount"))
+               .join(o_active.withColumnRenamed("o_shop", "c_shop").withColumnRenamed("o_active", "c_active"),
+                     "c_shop", "left"))
+        head = head.join(old, (head["ref_id"] == old["ref_id"]) & (k == "collection_delete"), "left") \
+                   .drop(old["ref_id"])
+    if move_ref:
+        def fam(df, qty, name):
+            return df.select(F.col("id").alias("ref_id"), F.col("salesperson_id").alias("m_sp"),
+                             F.col("product_id").alias("m_p"), F.col(qty).alias("m_q"), F.lit(name).alias("m_fam"))
+        old = fam(t.stock_returns, "quantity_returned", "return").unionByName(
+            fam(t.stock_issues, "quantity_issued", "issue"))
+        old = old.join(products.select(F.col("product_id").alias("m_p"), F.col("p_active").alias("m_p_active")),
+                       "m_p", "left")
+        head = head.join(old, (head["ref_id"] == old["ref_id"]) & k.startswith(old["m_fam"]), "left") \
+                   .drop(old["ref_id"])
+        head = head.join(products.select(F.col("product_id").alias("n_p"), F.col("p_active").alias("n_p_active")),
+                         "n_p", "left")
+        head = (head.withColumn("n_sp", F.coalesce("salesperson_id", "m_sp"))
+                .withColumn("n_p2", F.coalesce("n_p", "m_p")).withColumn("n_q2", F.coalesce("n_q", "m_q"))
+                .withColumn("same_pair", (F.col("n_sp") == F.col("m_sp")) & (F.col("n_p2") == F.col("m_p"))))
+
+    def col_or_null(name):
+        return F.col(name) if name in head.columns else F.lit(None)
+
+    checks: list[Column] = [F.when(~k.isin(*KINDS) | k.isNull(), "unknown kind")]
+    is_item = k.isin("issue", "return", "sale")
+    checks += [F.when(is_item & (F.coalesce(col_or_null("no_items"), F.lit(1)) == 1), "no items"),
+               F.when(is_item & (col_or_null("bad_qty") == 1), "quantity must be positive"),
+               F.when(is_item & (col_or_null("bad_product") == 1), "product missing or inactive")]
+    inactive = F.coalesce("s_active", F.lit(0)) != 1
+    checks.append(F.when((k == "sale") & (F.coalesce("amount", F.lit(0)) > 0) & inactive, "shop missing or inactive"))
+    is_coll = k == "collection"
+    checks += [F.when(is_coll & (F.col("shop_id").isNull() | F.col("salesperson_id").isNull()
+                                 | F.col("amount").isNull()), "missing required fields"),
+               F.when(is_coll & (F.coalesce("amount", F.lit(0)) <= 0), "amount must be positive"),
+               F.when(is_coll & inactive, "shop missing or inactive")]
+    if sale_ref:
+        is_s = k.isin("sale_update", "sale_delete")
+        checks += [F.when(is_s & F.col("s_found").isNull(), "sale not found"),
+                   F.when(is_s & (F.coalesce("o_bal", F.lit(0)) > 0) & (F.coalesce("o_active", F.lit(0)) != 1),
+                          "shop missing or inactive")]
+    if coll_ref:
+        is_c = k == "collection_delete"
+        checks += [F.when(is_c & F.col("c_amount").isNull(), "collection not found"),
+                   F.when(is_c & F.col("c_amount").isNotNull() & (F.coalesce("c_active", F.lit(0)) != 1),
+                          "shop missing or inactive")]
+    if move_ref:
+        is_m = k.isin("return_update", "return_delete", "issue_update", "issue_delete")
+        is_del = k.endswith("_delete")
+        need_old = is_del | ~F.col("same_pair") | ((F.col("n_q2") - F.col("m_q")) != 0)
+        checks += [F.when(is_m & F.col("m_q").isNull(), "movement not found"),
+                   F.when(is_m & F.col("m_q").isNotNull() & need_old
+                          & (F.coalesce("m_p_active", F.lit(0)) != 1), "product missing or inactive"),
+                   F.when(is_m & F.col("m_q").isNotNull() & ~is_del & ~F.col("same_pair")
+                          & (F.coalesce("n_p_active", F.lit(0)) != 1), "product missing or inactive"),
+                   F.when(is_m & ~is_del & (F.coalesce("n_q2", F.lit(0)) <= 0), "quantity must be positive")]
+    reasons = F.array_sort(F.array_distinct(F.filter(F.array(*checks), lambda x: x.isNotNull())))
+    checked = head.withColumn("_reasons", reasons).persist()
+    rejects = checked.filter(F.size("_reasons") > 0).select("cmd_id", F.array_join("_reasons", "; ").alias("reason"))
+    ok = checked.filter(F.size("_reasons") == 0)
+
+    simple: list[DataFrame] = []    # at most one leg per (command, key) already
+    ordered: list[DataFrame] = []   # legs with a sequence, combined per key below
+    if per_product is not None:
         q, sp, p = F.col("q"), F.col("salesperson_id"), F.col("product_id")
-        valid = per_product.filter(F.col("n_lines") > 0)
+        valid = per_product.filter(F.col("n_lines") > 0).join(ok.select("cmd_id"), "cmd_id", "left_semi")
         if "issue" in present:
-            simple.append(_explode_legs(valid.filter(F.col("kind") == "issue"),
+            simple.append(_explode_legs(valid.filter(k == "issue"),
                                         [_leg(1, "warehouse", p, -1, q, -q), _leg(2, "field", sp, p, None, q)]))
         if "return" in present:
-            simple.append(_explode_legs(valid.filter(F.col("kind") == "return"),
+            simple.append(_explode_legs(valid.filter(k == "return"),
                                         [_leg(1, "field", sp, p, q, -q), _leg(2, "warehouse", p, -1, None, q)]))
         if "sale" in present:
-            simple.append(_explode_legs(valid.filter(F.col("kind") == "sale"), [_leg(3, "field", sp, p, q, -q)]))
+            simple.append(_explode_legs(valid.filter(k == "sale"), [_leg(3, "field", sp, p, q, -q)]))
     if "sale" in present:
-        sale_k = head.filter(F.col("kind") == "sale")
-        reject(sale_k, (F.coalesce("amount", F.lit(0)) > 0) & (F.coalesce("s_active", F.lit(0)) != 1),
-               "shop missing or inactive")
-        simple.append(_explode_legs(sale_k.filter(F.col("amount") > 0),
+        simple.append(_explode_legs(ok.filter((k == "sale") & (F.col("amount") > 0)),
                                     [_leg(4, "debt", F.col("shop_id"), -1, None, F.col("amount"))]))
     if "collection" in present:
-        coll_k = head.filter(F.col("kind") == "collection")
-        reject(coll_k, F.col("shop_id").isNull() | F.col("salesperson_id").isNull() | F.col("amount").isNull(),
-               "missing required fields")
-        reject(coll_k, F.coalesce("amount", F.lit(0)) <= 0, "amount must be positive")
-        reject(coll_k, F.coalesce("s_active", F.lit(0)) != 1, "shop missing or inactive")
-        simple.append(_explode_legs(coll_k, [_leg(1, "debt", F.col("shop_id"), -1, F.col("amount"),
-                                                  -F.col("amount"))]))
-
-    o_shop_active = shops.select(F.col("shop_id").alias("o_shop"), F.col("s_active").alias("o_active"))
-
-    def with_ref(kinds, old):
-        return head.filter(F.col("kind").isin(*kinds)).join(old, "ref_id", "left")
-
-    if present & {"sale_update", "sale_delete"}:
-        sales_old = t.sales.select(F.col("id").alias("ref_id"), F.col("salesperson_id").alias("o_sp"),
-                                   F.col("shop_id").alias("o_shop"), F.col("balance_amount").alias("o_bal"))
-        s_upd = with_ref(["sale_update", "sale_delete"], sales_old).join(o_shop_active, "o_shop", "left")
-        reject(s_upd, F.col("o_sp").isNull() & F.col("o_shop").isNull(), "sale not found")
-        reject(s_upd, (F.coalesce("o_bal", F.lit(0)) > 0) & (F.coalesce("o_active", F.lit(0)) != 1),
-               "shop missing or inactive")
+        simple.append(_explode_legs(ok.filter(is_coll), [_leg(1, "debt", F.col("shop_id"), -1, F.col("amount"),
+                                                               -F.col("amount"))]))
+    if coll_ref:
+        simple.append(_explode_legs(ok.filter(k == "collection_delete"),
+                                    [_leg(1, "debt", F.col("c_shop"), -1, None, F.col("c_amount"))]))
+    if sale_ref:
+        s_ok = ok.filter(k.isin("sale_update", "sale_delete"))
         # Restore the old lines and balance, then (update) apply the new sale.
         old_lines = (t.sale_items.select(F.col("sale_id").alias("ref_id"), "product_id", "quantity")
                      .groupBy("ref_id", "product_id").agg(F.sum("quantity").alias("o_q")))
-        s_lines = s_upd.select("cmd_id", "ts", "ref_id", "o_sp").join(old_lines, "ref_id")
-        ordered.append(_explode_legs(s_lines, [_leg(1, "field", F.col("o_sp"), F.col("product_id"), None,
-                                                    F.col("o_q"))]))
-        ordered.append(_explode_legs(s_upd.filter(F.col("o_bal") > 0),
+        ordered.append(_explode_legs(s_ok.select("cmd_id", "ts", "ref_id", "o_sp").join(old_lines, "ref_id"),
+                                     [_leg(1, "field", F.col("o_sp"), F.col("product_id"), None, F.col("o_q"))]))
+        ordered.append(_explode_legs(s_ok.filter(F.col("o_bal") > 0),
                                      [_leg(2, "debt", F.col("o_shop"), -1, None, -F.col("o_bal"))]))
-        upd_new = s_upd.filter(F.col("kind") == "sale_update")
-        ordered.append(_explode_legs(upd_new.filter(F.col("amount") > 0),
+        ordered.append(_explode_legs(s_ok.filter((k == "sale_update") & (F.col("amount") > 0)),
                                      [_leg(4, "debt", F.col("shop_id"), -1, None, F.col("amount"))]))
-        upd_lines = (cmd.filter(F.col("kind") == "sale_update")
+        upd_lines = (cmd.filter(k == "sale_update").join(ok.select("cmd_id"), "cmd_id", "left_semi")
                      .select("cmd_id", "ts", "salesperson_id", F.explode("items").alias("it"))
                      .groupBy("cmd_id", "ts", "salesperson_id", F.col("it.product_id").alias("product_id"))
                      .agg(F.sum("it.quantity").alias("q")))
         ordered.append(_explode_legs(upd_lines, [_leg(3, "field", F.col("salesperson_id"), F.col("product_id"),
                                                       F.col("q"), -F.col("q"))]))
-    if "collection_delete" in present:
-        coll_old = t.collections.select(F.col("id").alias("ref_id"), F.col("shop_id").alias("o_shop"),
-                                        F.col("amount").alias("o_amount"))
-        c_del = with_ref(["collection_delete"], coll_old).join(o_shop_active, "o_shop", "left")
-        reject(c_del, F.col("o_amount").isNull(), "collection not found")
-        reject(c_del, F.coalesce("o_active", F.lit(0)) != 1, "shop missing or inactive")
-        simple.append(_explode_legs(c_del, [_leg(1, "debt", F.col("o_shop"), -1, None, F.col("o_amount"))]))
-
-    def movement_ref(kinds, old):
-        d = with_ref(kinds, old)
-        d = d.join(products.select(F.col("product_id").alias("o_p"), F.col("p_active").alias("o_p_active")),
-                   "o_p", "left")
-        d = d.join(products.select(F.col("product_id").alias("n_p"), F.col("p_active").alias("n_p_active")),
-                   "n_p", "left")
-        same = (F.coalesce("salesperson_id", "o_sp") == F.col("o_sp")) & (F.coalesce("n_p", "o_p") == F.col("o_p"))
-        d = (d.withColumn("same_pair", same).withColumn("n_sp", F.coalesce("salesperson_id", "o_sp"))
-             .withColumn("n_p2", F.coalesce("n_p", "o_p")).withColumn("n_q2", F.coalesce("n_q", "o_q")))
-        reject(d, F.col("o_q").isNull(), "movement not found")
-        is_delete = F.col("kind").endswith("_delete")
-        need_old = is_delete | ~F.col("same_pair") | ((F.col("n_q2") - F.col("o_q")) != 0)
-        reject(d, need_old & (F.coalesce("o_p_active", F.lit(0)) != 1), "product missing or inactive")
-        reject(d, ~is_delete & ~F.col("same_pair") & (F.coalesce("n_p_active", F.lit(0)) != 1),
-               "product missing or inactive")
-        reject(d, ~is_delete & (F.coalesce("n_q2", F.lit(0)) <= 0), "quantity must be positive")
-        return d
-
-    def movement_legs(d: DataFrame, kind: str) -> list[DataFrame]:
-        osp, op, oq = F.col("o_sp"), F.col("o_p"), F.col("o_q")
+    if move_ref:
+        osp, op, oq = F.col("m_sp"), F.col("m_p"), F.col("m_q")
         nsp, np_, nq = F.col("n_sp"), F.col("n_p2"), F.col("n_q2")
         dq = nq - oq
-        if kind == "return":
-            delete = [_leg(1, "warehouse", op, -1, oq, -oq), _leg(2, "field", osp, op, None, oq)]
-            up_pos = [_leg(1, "field", osp, op, dq, -dq), _leg(2, "warehouse", op, -1, None, dq)]
-            up_neg = [_leg(1, "warehouse", op, -1, -dq, dq), _leg(2, "field", osp, op, None, -dq)]
-            other = [_leg(1, "warehouse", op, -1, oq, -oq), _leg(2, "field", osp, op, None, oq),
-                     _leg(3, "field", nsp, np_, nq, -nq), _leg(4, "warehouse", np_, -1, None, nq)]
-        else:
-            delete = [_leg(1, "field", osp, op, oq, -oq), _leg(2, "warehouse", op, -1, None, oq)]
-            up_pos = [_leg(1, "warehouse", op, -1, dq, -dq), _leg(2, "field", osp, op, None, dq)]
-            up_neg = [_leg(1, "field", osp, op, -dq, dq), _leg(2, "warehouse", op, -1, None, -dq)]
-            other = [_leg(1, "field", osp, op, oq, -oq), _leg(2, "warehouse", np_, -1, nq, -nq),
-                     _leg(3, "warehouse", op, -1, None, oq), _leg(4, "field", nsp, np_, None, nq)]
-        dd = d.filter(F.col("o_q").isNotNull())
-        is_del = F.col("kind").endswith("_delete")
-        return [_explode_legs(dd.filter(is_del), delete),
-                _explode_legs(dd.filter(~is_del & F.col("same_pair") & (dq > 0)), up_pos),
-                _explode_legs(dd.filter(~is_del & F.col("same_pair") & (dq < 0)), up_neg),
-                _explode_legs(dd.filter(~is_del & ~F.col("same_pair")), other)]
-
-    if present & {"return_update", "return_delete"}:
-        ret_old = t.stock_returns.select(F.col("id").alias("ref_id"), F.col("salesperson_id").alias("o_sp"),
-                                         F.col("product_id").alias("o_p"), F.col("quantity_returned").alias("o_q"))
-        ordered.extend(movement_legs(movement_ref(["return_update", "return_delete"], ret_old), "return"))
-    if present & {"issue_update", "issue_delete"}:
-        iss_old = t.stock_issues.select(F.col("id").alias("ref_id"), F.col("salesperson_id").alias("o_sp"),
-                                        F.col("product_id").alias("o_p"), F.col("quantity_issued").alias("o_q"))
-        ordered.extend(movement_legs(movement_ref(["issue_update", "issue_delete"], iss_old), "issue"))
+        plans = {
+            "return": dict(
+                delete=[_leg(1, "warehouse", op, -1, oq, -oq), _leg(2, "field", osp, op, None, oq)],
+                up_pos=[_leg(1, "field", osp, op, dq, -dq), _leg(2, "warehouse", op, -1, None, dq)],
+                up_neg=[_leg(1, "warehouse", op, -1, -dq, dq), _leg(2, "field", osp, op, None, -dq)],
+                other=[_leg(1, "warehouse", op, -1, oq, -oq), _leg(2, "field", osp, op, None, oq),
+                       _leg(3, "field", nsp, np_, nq, -nq), _leg(4, "warehouse", np_, -1, None, nq)]),
+            "issue": dict(
+                delete=[_leg(1, "field", osp, op, oq, -oq), _leg(2, "warehouse", op, -1, None, oq)],
+                up_pos=[_leg(1, "warehouse", op, -1, dq, -dq), _leg(2, "field", osp, op, None, dq)],
+                up_neg=[_leg(1, "field", osp, op, -dq, dq), _leg(2, "warehouse", op, -1, None, -dq)],
+                other=[_leg(1, "field", osp, op, oq, -oq), _leg(2, "warehouse", np_, -1, nq, -nq),
+                       _leg(3, "warehouse", op, -1, None, oq), _leg(4, "field", nsp, np_, None, nq)]),
+        }
+        for family, legs_of in plans.items():
+            d = ok.filter(k.startswith(family + "_"))
+            is_del = k.endswith("_delete")
+            ordered += [_explode_legs(d.filter(is_del), legs_of["delete"]),
+                        _explode_legs(d.filter(~is_del & F.col("same_pair") & (dq > 0)), legs_of["up_pos"]),
+                        _explode_legs(d.filter(~is_del & F.col("same_pair") & (dq < 0)), legs_of["up_neg"]),
+                        _explode_legs(d.filter(~is_del & ~F.col("same_pair")), legs_of["other"])]
 
-    spark = commands.sparkSession
-    empty_reasons = spark.createDataFrame([], "cmd_id bigint, reason string")
-    rejects = _union(reasons, empty_reasons).groupBy("cmd_id").agg(
-        F.array_join(F.array_sort(F.collect_set("reason")), "; ").alias("reason"))
     leg_cols = ["cmd_id", "ts", *KEYS, "need", "delta"]
     empty_legs = spark.createDataFrame([], "cmd_id bigint, ts timestamp_ntz, resource string, k1 bigint, "
                                            "k2 bigint, need decimal(18,2), delta decimal(18,2)")
@@ -237,7 +257,6 @@ def to_legs(commands: DataFrame, t: Tables) -> tuple[DataFrame, DataFrame]:
         combined = (raw.withColumn("_need", F.col("need") - prior).groupBy("cmd_id", "ts", *KEYS)
                     .agg(F.max("_need").cast(MONEY).alias("need"), F.sum("delta").cast(MONEY).alias("delta")))
         legs = legs.unionByName(combined.select(*leg_cols))
-    legs = legs.join(rejects.select("cmd_id"), "cmd_id", "left_anti")
     return legs, rejects
 
 
@@ -274,11 +293,12 @@ def admit(legs: DataFrame, levels: DataFrame, max_rounds: int = 10_000,
     spark = legs.sparkSession
     ensure_checkpoint_dir(spark)
     lv = levels.select(*KEYS, F.col("level").cast(MONEY).alias("level"))
+    # Legs come in materialized (``decide``); the first round reads them
+    # joined to the opening levels and writes its own state.
     active = (legs.select("cmd_id", "ts", *KEYS, F.col("need").cast(MONEY).alias("need"),
                           F.col("delta").cast(MONEY).alias("delta"))
               .join(lv, KEYS, "left").withColumn("level", F.coalesce("level", F.lit(0).cast(MONEY)))
               .withColumn("status", F.lit(OPEN)))
-    active = materialize(active, "admit-active")
     decided: list[DataFrame] = []
     rnd = 0
     while True:
