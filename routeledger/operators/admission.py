@@ -23,6 +23,7 @@ round's state is cut from its lineage with a reliable checkpoint.
 from __future__ import annotations
 
 import logging
+import time
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -281,6 +282,15 @@ def _bucket() -> Column:
 
 
 # ---------------------------------------------------------------- L5
+def _cents(c) -> Column:
+    """Exact integer cents of a DECIMAL(18,2) amount: long arithmetic in the
+    round loop instead of BigDecimal sums (ANSI mode fails on overflow)."""
+    return (F.col(c) * 100).cast("bigint")
+
+
+_OPEN, _ACC, _REJ = 0, 1, 2
+
+
 def admit(legs: DataFrame, levels: DataFrame, max_rounds: int = 10_000,
           commands: DataFrame | None = None) -> DataFrame:
     """Exact first-come, all-or-nothing admission of multi-key commands.
@@ -292,26 +302,27 @@ def admit(legs: DataFrame, levels: DataFrame, max_rounds: int = 10_000,
     Runs one Spark round per step; the loop stops when nothing is open."""
     spark = legs.sparkSession
     ensure_checkpoint_dir(spark)
-    lv = levels.select(*KEYS, F.col("level").cast(MONEY).alias("level"))
+    # One row per key; written once so the rounds do not recompute it.
+    lv = materialize(levels.groupBy(*KEYS).agg(F.sum("level").cast(MONEY).alias("level"))
+                     .select(*KEYS, _cents("level").alias("level")), "admit-levels")
     # Legs come in materialized (``decide``); the first round reads them
     # joined to the opening levels and writes its own state.
-    active = (legs.select("cmd_id", "ts", *KEYS, F.col("need").cast(MONEY).alias("need"),
-                          F.col("delta").cast(MONEY).alias("delta"))
-              .join(lv, KEYS, "left").withColumn("level", F.coalesce("level", F.lit(0).cast(MONEY)))
-              .withColumn("status", F.lit(OPEN)))
+    active = (legs.select("cmd_id", "ts", *KEYS, _cents("need").alias("need"), _cents("delta").alias("delta"))
+              .join(lv, KEYS, "left").withColumn("level", F.coalesce("level", F.lit(0).cast("bigint")))
+              .withColumn("status", F.lit(_OPEN)))
+    zero = F.lit(0).cast("bigint")
     decided: list[DataFrame] = []
     rnd = 0
     while True:
         rnd += 1
+        t_round = time.perf_counter()
         if rnd > max_rounds:
             raise RuntimeError(f"admission did not finish in {max_rounds} rounds")
-        is_acc = F.col("status") == ACCEPTED
-        is_open = F.col("status") == OPEN
-        x = (active.withColumn("_acc", F.when(is_acc, F.col("delta")).otherwise(F.lit(0).cast(MONEY)))
-             .withColumn("_neg", F.when(is_open, F.least("delta", F.lit(0).cast(MONEY)))
-                         .otherwise(F.lit(0).cast(MONEY)))
-             .withColumn("_pos", F.when(is_open, F.greatest("delta", F.lit(0).cast(MONEY)))
-                         .otherwise(F.lit(0).cast(MONEY))))
+        is_acc = F.col("status") == _ACC
+        is_open = F.col("status") == _OPEN
+        x = (active.withColumn("_acc", F.when(is_acc, F.col("delta")).otherwise(zero))
+             .withColumn("_neg", F.when(is_open, F.least("delta", zero)).otherwise(zero))
+             .withColumn("_pos", F.when(is_open, F.greatest("delta", zero)).otherwise(zero)))
         x = running_totals(x, KEYS, ORDER, {"acc": "_acc", "neg": "_neg", "pos": "_pos"}, _bucket(),
                            inclusive=False)
         low = F.col("level") + F.col("acc") + F.col("neg")
@@ -320,32 +331,34 @@ def admit(legs: DataFrame, levels: DataFrame, max_rounds: int = 10_000,
              .withColumn("_fail", F.col("need").isNotNull() & (high < F.col("need")))
         verdict = (x.filter(is_open).groupBy("cmd_id")
                    .agg(F.bool_and("_ok").alias("all_ok"), F.bool_or("_fail").alias("any_fail"))
-                   .select("cmd_id", F.when(F.col("any_fail"), REJECTED).when(F.col("all_ok"), ACCEPTED)
+                   .select("cmd_id", F.when(F.col("any_fail"), F.lit(_REJ)).when(F.col("all_ok"), F.lit(_ACC))
                            .alias("new_status"))
                    .filter(F.col("new_status").isNotNull()))
         verdict = materialize(verdict, "admit-verdict")
-        decided.append(verdict.select("cmd_id", F.col("new_status").alias("status"), F.lit(rnd).alias("round")))
+        t_verdict = time.perf_counter()
+        decided.append(verdict.select("cmd_id", "new_status", F.lit(rnd).alias("round")))
         updated = (active.join(verdict, "cmd_id", "left")
                    .withColumn("status", F.coalesce("new_status", "status")).drop("new_status"))
         # Fold: per key, decided legs before the first open leg go into the level.
-        first_open = (updated.filter(F.col("status") == OPEN).groupBy(*KEYS)
+        first_open = (updated.filter(F.col("status") == _OPEN).groupBy(*KEYS)
                       .agg(F.min(F.struct(*ORDER)).alias("_first")))
         u = updated.join(first_open, KEYS, "left")
         before = F.col("_first").isNull() | (F.struct(*ORDER) < F.col("_first"))
-        fold = (u.filter(before & (F.col("status") == ACCEPTED)).groupBy(*KEYS)
+        fold = (u.filter(before & (F.col("status") == _ACC)).groupBy(*KEYS)
                 .agg(F.sum("delta").alias("_fold")))
-        keep = u.filter(~before & (F.col("status") != REJECTED)).drop("_first")
+        keep = u.filter(~before & (F.col("status") != _REJ)).drop("_first")
         active = (keep.join(fold, KEYS, "left")
-                  .withColumn("level", (F.col("level") + F.coalesce("_fold", F.lit(0))).cast(MONEY))
+                  .withColumn("level", F.col("level") + F.coalesce("_fold", zero))
                   .drop("_fold"))
         active = materialize(active, "admit-active")
-        n_open = active.filter(F.col("status") == OPEN).count()
-        log.info("admission round %d: %d legs still open", rnd, n_open)
+        n_open = active.filter(F.col("status") == _OPEN).count()
+        log.info("admission round %d: %d legs still open (verdict %.1fs, state %.1fs)", rnd, n_open,
+                 t_verdict - t_round, time.perf_counter() - t_verdict)
         if n_open == 0:
             break
-    out = decided[0] if decided else spark.createDataFrame([], "cmd_id bigint, status string, round int")
-    for d in decided[1:]:
-        out = out.unionByName(d)
+    out = _union(decided, spark.createDataFrame([], "cmd_id bigint, new_status int, round int"))
+    out = out.select("cmd_id", F.when(F.col("new_status") == _ACC, ACCEPTED).otherwise(REJECTED).alias("status"),
+                     "round")
     if commands is not None:
         legless = commands.select("cmd_id").join(legs.select("cmd_id").distinct(), "cmd_id", "left_anti")
         out = out.unionByName(legless.select("cmd_id", F.lit(ACCEPTED).alias("status"), F.lit(0).alias("round")))
@@ -372,6 +385,7 @@ def decide(commands: DataFrame, t: Tables, **kw) -> tuple[DataFrame, DataFrame]:
     """L3 + L5: decisions for a command batch against the stored state.
 
     Returns (decisions (cmd_id, status, reason), legs)."""
+    commands = materialize(commands, "admit-commands")   # read several times below
     legs, rejects = to_legs(commands, t)
     legs = materialize(legs, "admit-legs")
     dec = admit(legs, opening_levels(t), commands=commands.join(rejects, "cmd_id", "left_anti"), **kw)
