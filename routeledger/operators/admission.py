@@ -289,17 +289,119 @@ def _cents(c) -> Column:
 
 
 _OPEN, _ACC, _REJ = 0, 1, 2
+_SCAN_SCHEMA = "cmd_id long, resource string, k1 long, k2 long, _ok boolean, _fail boolean"
+
+
+def _scan_keys(batches):
+    """Per-key sequential bound scan (runs inside ``mapInPandas``).
+
+    Rows arrive hash-partitioned by key and sorted by (key, ts, cmd_id);
+    the state is two numbers per current key, so a key of any length is
+    streamed, never held.  For each open leg: ``ok`` if the lowest possible
+    level covers the need, ``fail`` if even the highest cannot.  A leg whose
+    command is known to fail elsewhere moves nothing; one that is ok here
+    and whose other legs were ok last round is certainly accepted and moves
+    the level exactly; otherwise the bounds widen by the delta."""
+    import numpy as np
+    import pandas as pd
+    cur, lo, hi = None, 0, 0
+    for pdf in batches:
+        n = len(pdf)
+        res = pdf["resource"].to_numpy()
+        k1 = pdf["k1"].to_numpy()
+        k2 = pdf["k2"].to_numpy()
+        level = pdf["level"].to_numpy()
+        status = pdf["status"].to_numpy()
+        delta = pdf["delta"].to_numpy()
+        need = pdf["need0"].to_numpy()
+        has_need = pdf["has_need"].to_numpy()
+        ext_ok = pdf["ext_ok"].to_numpy()
+        ext_fail = pdf["ext_fail"].to_numpy()
+        ok_out = np.zeros(n, dtype=bool)
+        fail_out = np.zeros(n, dtype=bool)
+        keep = np.zeros(n, dtype=bool)
+        for i in range(n):
+            key = (res[i], k1[i], k2[i])
+            if key != cur:
+                cur, lo, hi = key, int(level[i]), int(level[i])
+            d = int(delta[i])
+            if status[i] == _ACC:
+                lo += d
+                hi += d
+                continue
+            ok = (not has_need[i]) or lo >= need[i]
+            fail = bool(has_need[i]) and hi < need[i]
+            ok_out[i], fail_out[i], keep[i] = ok, fail, True
+            if fail or ext_fail[i]:
+                continue
+            if ok and ext_ok[i]:
+                lo += d
+                hi += d
+            elif d < 0:
+                lo += d
+            else:
+                hi += d
+        out = pdf.loc[keep, ["cmd_id", "resource", "k1", "k2"]].copy()
+        out["_ok"] = ok_out[keep]
+        out["_fail"] = fail_out[keep]
+        yield pd.DataFrame(out)
+
+
+def _window_flags(active: DataFrame) -> DataFrame:
+    """Per open leg ``_ok``/``_fail`` from window prefix sums over each key."""
+    zero = F.lit(0).cast("bigint")
+    is_acc = F.col("status") == _ACC
+    is_open = F.col("status") == _OPEN
+    x = (active.withColumn("_acc", F.when(is_acc, F.col("delta")).otherwise(zero))
+         .withColumn("_neg", F.when(is_open, F.least("delta", zero)).otherwise(zero))
+         .withColumn("_pos", F.when(is_open, F.greatest("delta", zero)).otherwise(zero)))
+    x = running_totals(x, KEYS, ORDER, {"acc": "_acc", "neg": "_neg", "pos": "_pos"}, _bucket(), inclusive=False)
+    low = F.col("level") + F.col("acc") + F.col("neg")
+    high = F.col("level") + F.col("acc") + F.col("pos")
+    return (x.filter(is_open)
+            .select("cmd_id", *KEYS, (F.col("need").isNull() | (low >= F.col("need"))).alias("_ok"),
+                    (F.col("need").isNotNull() & (high < F.col("need"))).alias("_fail")))
+
+
+def _scan_flags(active: DataFrame, prev: DataFrame | None) -> DataFrame:
+    """Per open leg ``_ok``/``_fail`` from the per-key scan, using the
+    previous round's leg flags (``prev``) to know what other keys said."""
+    if prev is None:
+        n = active.groupBy("cmd_id").agg(F.count(F.lit(1)).alias("_n"))
+        ext = active.join(n, "cmd_id").select("cmd_id", *KEYS, (F.col("_n") == 1).alias("ext_ok"),
+                                              F.lit(False).alias("ext_fail"))
+    else:
+        per_cmd = prev.groupBy("cmd_id").agg(F.sum(F.when(~F.col("_ok"), 1).otherwise(0)).alias("_nok"),
+                                             F.sum(F.when(F.col("_fail"), 1).otherwise(0)).alias("_nf"))
+        ext = prev.join(per_cmd, "cmd_id").select(
+            "cmd_id", *KEYS,
+            ((F.col("_nok") - F.when(~F.col("_ok"), 1).otherwise(0)) == 0).alias("ext_ok"),
+            ((F.col("_nf") - F.when(F.col("_fail"), 1).otherwise(0)) > 0).alias("ext_fail"))
+    x = (active.join(ext, ["cmd_id", *KEYS], "left")
+         .select("cmd_id", "ts", *KEYS, "level", "status", "delta",
+                 F.coalesce("need", F.lit(0).cast("bigint")).alias("need0"), F.col("need").isNotNull().alias("has_need"),
+                 F.coalesce("ext_ok", F.lit(False)).alias("ext_ok"),
+                 F.coalesce("ext_fail", F.lit(False)).alias("ext_fail")))
+    x = x.repartition(*KEYS).sortWithinPartitions(*KEYS, *ORDER)
+    return x.mapInPandas(_scan_keys, _SCAN_SCHEMA)
 
 
 def admit(legs: DataFrame, levels: DataFrame, max_rounds: int = 10_000,
-          commands: DataFrame | None = None) -> DataFrame:
+          commands: DataFrame | None = None, scan_max_legs: int = 1_000_000) -> DataFrame:
     """Exact first-come, all-or-nothing admission of multi-key commands.
 
     ``legs``: (cmd_id, ts, resource, k1, k2, need, delta), one per command
     and key (``to_legs``).  ``levels``: opening (resource, k1, k2, level);
-    absent keys start at 0.  Returns (cmd_id, status, round) for every
-    command with legs, plus ``commands`` ids without legs as accepted.
-    Runs one Spark round per step; the loop stops when nothing is open."""
+    absent keys start at 0.  Returns (cmd_id, status, round, method) for
+    every command with legs, plus ``commands`` ids without legs as accepted.
+
+    While more than ``scan_max_legs`` legs are open, rounds are window
+    rounds: prefix sums split per (key, day), so a hot key stays spread over
+    many tasks.  Once at most ``scan_max_legs`` legs are open, rounds are
+    per-key scans (``_scan_keys``), which use the previous round's leg
+    verdicts and settle long chains in few rounds; a scan task streams at
+    most ``scan_max_legs`` rows even if every open leg is on one key.  Both
+    kinds are exact and each round settles at least one command."""
     spark = legs.sparkSession
     ensure_checkpoint_dir(spark)
     # One row per key; written once so the rounds do not recompute it.
@@ -312,31 +414,25 @@ def admit(legs: DataFrame, levels: DataFrame, max_rounds: int = 10_000,
               .withColumn("status", F.lit(_OPEN)))
     zero = F.lit(0).cast("bigint")
     decided: list[DataFrame] = []
-    rnd = 0
+    n_open = legs.count()
+    rnd, prev_flags, scanning = 0, None, n_open <= scan_max_legs
     while True:
         rnd += 1
         t_round = time.perf_counter()
         if rnd > max_rounds:
             raise RuntimeError(f"admission did not finish in {max_rounds} rounds")
-        is_acc = F.col("status") == _ACC
-        is_open = F.col("status") == _OPEN
-        x = (active.withColumn("_acc", F.when(is_acc, F.col("delta")).otherwise(zero))
-             .withColumn("_neg", F.when(is_open, F.least("delta", zero)).otherwise(zero))
-             .withColumn("_pos", F.when(is_open, F.greatest("delta", zero)).otherwise(zero)))
-        x = running_totals(x, KEYS, ORDER, {"acc": "_acc", "neg": "_neg", "pos": "_pos"}, _bucket(),
-                           inclusive=False)
-        low = F.col("level") + F.col("acc") + F.col("neg")
-        high = F.col("level") + F.col("acc") + F.col("pos")
-        x = x.withColumn("_ok", F.col("need").isNull() | (low >= F.col("need"))) \
-             .withColumn("_fail", F.col("need").isNotNull() & (high < F.col("need")))
-        verdict = (x.filter(is_open).groupBy("cmd_id")
+        method = "scan" if scanning else "window"
+        flags = _scan_flags(active, prev_flags) if scanning else _window_flags(active)
+        if scanning or n_open <= 4 * scan_max_legs:
+            flags = materialize(flags, "admit-flags")  # read again by the next scan round
+        verdict = (flags.groupBy("cmd_id")
                    .agg(F.bool_and("_ok").alias("all_ok"), F.bool_or("_fail").alias("any_fail"))
                    .select("cmd_id", F.when(F.col("any_fail"), F.lit(_REJ)).when(F.col("all_ok"), F.lit(_ACC))
                            .alias("new_status"))
                    .filter(F.col("new_status").isNotNull()))
         verdict = materialize(verdict, "admit-verdict")
         t_verdict = time.perf_counter()
-        decided.append(verdict.select("cmd_id", "new_status", F.lit(rnd).alias("round")))
+        decided.append(verdict.select("cmd_id", "new_status", F.lit(rnd).alias("round"), F.lit(method).alias("method")))
         updated = (active.join(verdict, "cmd_id", "left")
                    .withColumn("status", F.coalesce("new_status", "status")).drop("new_status"))
         # Fold: per key, decided legs before the first open leg go into the level.
@@ -352,23 +448,29 @@ def admit(legs: DataFrame, levels: DataFrame, max_rounds: int = 10_000,
                   .drop("_fold"))
         active = materialize(active, "admit-active")
         n_open = active.filter(F.col("status") == _OPEN).count()
-        log.info("admission round %d: %d legs still open (verdict %.1fs, state %.1fs)", rnd, n_open,
+        log.info("admission round %d (%s): %d legs still open (flags %.1fs, state %.1fs)", rnd, method, n_open,
                  t_verdict - t_round, time.perf_counter() - t_verdict)
         if n_open == 0:
             break
-    out = _union(decided, spark.createDataFrame([], "cmd_id bigint, new_status int, round int"))
+        scanning = n_open <= scan_max_legs
+        # A scan round reads the previous round's leg verdicts; after a
+        # window round those are the (lazy) window flags of that round.
+        prev_flags = flags if scanning else None
+    empty = spark.createDataFrame([], "cmd_id bigint, new_status int, round int, method string")
+    out = _union(decided, empty)
     out = out.select("cmd_id", F.when(F.col("new_status") == _ACC, ACCEPTED).otherwise(REJECTED).alias("status"),
-                     "round")
+                     "round", "method")
     if commands is not None:
         legless = commands.select("cmd_id").join(legs.select("cmd_id").distinct(), "cmd_id", "left_anti")
-        out = out.unionByName(legless.select("cmd_id", F.lit(ACCEPTED).alias("status"), F.lit(0).alias("round")))
+        out = out.unionByName(legless.select("cmd_id", F.lit(ACCEPTED).alias("status"), F.lit(0).alias("round"),
+                                             F.lit("none").alias("method")))
     return out
 
 
 def admit_single(legs: DataFrame, levels: DataFrame, **kw) -> DataFrame:
-    """L4: admission when every command touches one key (checked).  Same
-    exact engine; on one key each round decides the earliest open command
-    and every command the bounds already settle."""
+    """L4: admission when every command touches one key (checked).  A
+    per-key scan settles every command of a single-key batch in one round
+    (window rounds first while the batch exceeds ``scan_max_legs``)."""
     multi = legs.groupBy("cmd_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).limit(1).count()
     if multi:
         raise ValueError("admit_single needs commands with exactly one leg; use admit")

@@ -126,10 +126,11 @@ def _random_batch(spark, seed_no, n=40):
     return cmds(spark, rows)
 
 
-@pytest.mark.parametrize("seed_no", [1, 2, 3])
-def test_random_batches_match_sequential(spark, seed, seed_no):
+@pytest.mark.parametrize("seed_no,scan_max_legs", [(1, 0), (2, 0), (3, 10_000), (4, 10_000), (5, 20)])
+def test_random_batches_match_sequential(spark, seed, seed_no, scan_max_legs):
+    # scan_max_legs=0: window rounds only; 10_000: per-key scans; 20: both.
     c = _random_batch(spark, seed_no)
-    dec, legs = A.decide(c, seed)
+    dec, legs = A.decide(c, seed, scan_max_legs=scan_max_legs)
     got = {r.cmd_id: r.status for r in dec.collect()}
     expect, _ = sequential([r.asDict() for r in legs.collect()],
                            [r.asDict() for r in A.opening_levels(seed).collect()])
@@ -153,3 +154,20 @@ def test_stream_apply_matches_batch(spark, seed, scratch):
     dec, _ = A.decide(c, seed)
     batch = {r.cmd_id: r.status for r in dec.collect()}
     assert streamed == batch
+
+
+def test_single_key_chain_settles_in_one_scan(spark, seed):
+    # A long first-come chain on one key: collections against one shop's debt.
+    rnd = random.Random(11)
+    rows = [(i, i, "collection", 1, 5, None, str(rnd.choice([300, 700, 1500, 2500])), None) for i in range(1, 61)]
+    c = cmds(spark, rows)
+    legs, _ = A.to_legs(c, seed)
+    dec = A.admit_single(legs, A.opening_levels(seed))
+    got = {r.cmd_id: (r.status, r.round) for r in dec.collect()}
+    expect, _ = sequential([r.asDict() for r in legs.collect()],
+                           [r.asDict() for r in A.opening_levels(seed).collect()])
+    assert {k: v[0] for k, v in got.items()} == expect
+    assert max(v[1] for v in got.values()) == 1
+    with pytest.raises(ValueError):
+        A.admit_single(A.to_legs(cmds(spark, [(1, 1, "issue", 1, None, None, None, [(1, 1)])]), seed)[0],
+                       A.opening_levels(seed))
