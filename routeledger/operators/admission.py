@@ -292,59 +292,66 @@ _OPEN, _ACC, _REJ = 0, 1, 2
 _SCAN_SCHEMA = "cmd_id long, resource string, k1 long, k2 long, _ok boolean, _fail boolean"
 
 
-def _scan_keys(batches):
-    """Per-key sequential bound scan (runs inside ``mapInPandas``).
-
-    Rows arrive hash-partitioned by key and sorted by (key, ts, cmd_id);
-    the state is two numbers per current key, so a key of any length is
-    streamed, never held.  For each open leg: ``ok`` if the lowest possible
-    level covers the need, ``fail`` if even the highest cannot.  A leg whose
-    command is known to fail elsewhere moves nothing; one that is ok here
-    and whose other legs were ok last round is certainly accepted and moves
-    the level exactly; otherwise the bounds widen by the delta."""
-    import numpy as np
-    import pandas as pd
-    cur, lo, hi = None, 0, 0
-    for pdf in batches:
-        n = len(pdf)
-        res = pdf["resource"].to_numpy()
-        k1 = pdf["k1"].to_numpy()
-        k2 = pdf["k2"].to_numpy()
-        level = pdf["level"].to_numpy()
-        status = pdf["status"].to_numpy()
-        delta = pdf["delta"].to_numpy()
-        need = pdf["need0"].to_numpy()
-        has_need = pdf["has_need"].to_numpy()
-        ext_ok = pdf["ext_ok"].to_numpy()
-        ext_fail = pdf["ext_fail"].to_numpy()
-        ok_out = np.zeros(n, dtype=bool)
-        fail_out = np.zeros(n, dtype=bool)
-        keep = np.zeros(n, dtype=bool)
-        for i in range(n):
-            key = (res[i], k1[i], k2[i])
-            if key != cur:
-                cur, lo, hi = key, int(level[i]), int(level[i])
-            d = int(delta[i])
-            if status[i] == _ACC:
-                lo += d
-                hi += d
-                continue
-            ok = (not has_need[i]) or lo >= need[i]
-            fail = bool(has_need[i]) and hi < need[i]
-            ok_out[i], fail_out[i], keep[i] = ok, fail, True
-            if fail or ext_fail[i]:
-                continue
-            if ok and ext_ok[i]:
-                lo += d
-                hi += d
-            elif d < 0:
-                lo += d
-            else:
-                hi += d
-        out = pdf.loc[keep, ["cmd_id", "resource", "k1", "k2"]].copy()
-        out["_ok"] = ok_out[keep]
-        out["_fail"] = fail_out[keep]
-        yield pd.DataFrame(out)
+def _make_scan_keys():
+    """The scan as a closure: cloudpickle ships it by value, so executors
+    need only numpy and pandas, not this package."""
+    accepted = _ACC
+
+    def scan_keys(batches):
+        """Per-key sequential bound scan (runs inside ``mapInPandas``).
+
+        Rows arrive hash-partitioned by key and sorted by (key, ts, cmd_id);
+        the state is two numbers per current key, so a key of any length is
+        streamed, never held.  For each open leg: ``ok`` if the lowest possible
+        level covers the need, ``fail`` if even the highest cannot.  A leg whose
+        command is known to fail elsewhere moves nothing; one that is ok here
+        and whose other legs were ok last round is certainly accepted and moves
+        the level exactly; otherwise the bounds widen by the delta."""
+        import numpy as np
+        import pandas as pd
+        cur, lo, hi = None, 0, 0
+        for pdf in batches:
+            n = len(pdf)
+            res = pdf["resource"].to_numpy()
+            k1 = pdf["k1"].to_numpy()
+            k2 = pdf["k2"].to_numpy()
+            level = pdf["level"].to_numpy()
+            status = pdf["status"].to_numpy()
+            delta = pdf["delta"].to_numpy()
+            need = pdf["need0"].to_numpy()
+            has_need = pdf["has_need"].to_numpy()
+            ext_ok = pdf["ext_ok"].to_numpy()
+            ext_fail = pdf["ext_fail"].to_numpy()
+            ok_out = np.zeros(n, dtype=bool)
+            fail_out = np.zeros(n, dtype=bool)
+            keep = np.zeros(n, dtype=bool)
+            for i in range(n):
+                key = (res[i], k1[i], k2[i])
+                if key != cur:
+                    cur, lo, hi = key, int(level[i]), int(level[i])
+                d = int(delta[i])
+                if status[i] == accepted:
+                    lo += d
+                    hi += d
+                    continue
+                ok = (not has_need[i]) or lo >= need[i]
+                fail = bool(has_need[i]) and hi < need[i]
+                ok_out[i], fail_out[i], keep[i] = ok, fail, True
+                if fail or ext_fail[i]:
+                    continue
+                if ok and ext_ok[i]:
+                    lo += d
+                    hi += d
+                elif d < 0:
+                    lo += d
+                else:
+                    hi += d
+            out = pdf.loc[keep, ["cmd_id", "resource", "k1", "k2"]].copy()
+            out["_ok"] = ok_out[keep]
+            out["_fail"] = fail_out[keep]
+            yield pd.DataFrame(out)
+
+    return scan_keys
 
 
 def _window_flags(active: DataFrame) -> DataFrame:
@@ -383,7 +390,7 @@ def _scan_flags(active: DataFrame, prev: DataFrame | None) -> DataFrame:
                  F.coalesce("ext_ok", F.lit(False)).alias("ext_ok"),
                  F.coalesce("ext_fail", F.lit(False)).alias("ext_fail")))
     x = x.repartition(*KEYS).sortWithinPartitions(*KEYS, *ORDER)
-    return x.mapInPandas(_scan_keys, _SCAN_SCHEMA)
+    return x.mapInPandas(_make_scan_keys(), _SCAN_SCHEMA)
 
 
 def admit(legs: DataFrame, levels: DataFrame, max_rounds: int = 10_000,
@@ -398,7 +405,7 @@ def admit(legs: DataFrame, levels: DataFrame, max_rounds: int = 10_000,
     While more than ``scan_max_legs`` legs are open, rounds are window
     rounds: prefix sums split per (key, day), so a hot key stays spread over
     many tasks.  Once at most ``scan_max_legs`` legs are open, rounds are
-    per-key scans (``_scan_keys``), which use the previous round's leg
+    per-key scans (``_make_scan_keys``), which use the previous round's leg
     verdicts and settle long chains in few rounds; a scan task streams at
     most ``scan_max_legs`` rows even if every open leg is on one key.  Both
     kinds are exact and each round settles at least one command."""
