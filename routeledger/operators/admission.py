@@ -527,10 +527,10 @@ def commands_from_history(t: Tables) -> DataFrame:
                             ["date", "salesperson_id", "product_id", "quantity_returned", "reason", "condition",
                              "notes"])
     lines = (t.sale_items.groupBy("sale_id")
-             .agg(F.sort_array(F.collect_list(F.struct(F.col("product_id").cast("bigint").alias("product_id"),
-                                                       F.col("quantity").cast("bigint").alias("quantity"),
-                                                       F.col("unit_price").cast(MONEY).alias("unit_price"))))
-                  .alias("items")))
+             .agg(F.collect_list(F.struct(F.col("product_id").cast("bigint").alias("product_id"),
+                                          F.col("quantity").cast("bigint").alias("quantity"),
+                                          F.col("unit_price").cast(MONEY).alias("unit_price")))
+                  .alias("items")))  # lines of one sale; their order does not matter (consolidated per product)
     sales = t.sales.join(lines.withColumnRenamed("sale_id", "id"), "id", "left").select(
         (F.lit(3 * 10**12) + F.col("id")).alias("cmd_id"), F.col("date").alias("ts"), F.lit("sale").alias("kind"),
         "salesperson_id", "shop_id", F.lit(None).cast("bigint").alias("ref_id"),

@@ -11,11 +11,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..sources.testdata import star_from_testdata
-from ..tables import Tables
-from .oracle_base import sql
 
 # Fixed parameters (FIXTURES.md §2): ranges and days that return rows.
 FROM, TO = "1998-01-01", "1998-12-31"
