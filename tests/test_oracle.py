@@ -22,5 +22,6 @@ def test_every_survey_section_is_registered():
     for prefix, count in (("A", 31), ("J", 15), ("T", 5), ("U", 3), ("C", 8)):
         missing = [f"{prefix}{i}" for i in range(1, count + 1) if f"{prefix}{i}" not in ops]
         assert not missing, missing
-    for op in ("L1", "L2", "L3", "L4", "L5", "L6", "L7", "L8", "L9", "L10", "L11", "L12", "ST1", "ST2"):
+    for op in ("S1", "S4", "S5", "L1", "L2", "L3", "L4", "L5", "L6", "L7", "L8", "L9", "L10", "L11", "L12",
+               "ST1", "ST2"):
         assert op in ops, op
