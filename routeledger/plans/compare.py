@@ -9,9 +9,12 @@ engines produce from DECIMAL sums).
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 
+EXACT = os.environ.get("ROUTELEDGER_EXACT") == "1"  # compare doubles bit for bit
+
 RAW_VIEWS = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
              "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -33,7 +36,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 6)
+        return v if EXACT else round(v, 6)
     if hasattr(v, "isoformat"):
         return v.isoformat()
     if isinstance(v, (list, tuple)):
