@@ -509,7 +509,13 @@ def commands_from_history(t: Tables) -> DataFrame:
     collections), each fact one command, for reconciliation runs.
 
     Command ids: ``kind rank × 10^12 + fact id``; issues and returns carry
-    no id in every source, so they are numbered densely by their content."""
+    no id in every source, so they are numbered densely by their content.
+    For a fixture bundle the written feed is built once per session."""
+    from ..sources.testdata import derived
+    return derived(t, "history-commands", lambda tt: materialize(_history_commands(tt), "history-commands"))
+
+
+def _history_commands(t: Tables) -> DataFrame:
     def movement_cmds(df, qty, kind, rank, order):
         numbered = dense_ids(df.select("date", "salesperson_id", "product_id", qty, *order[4:]), order,
                              0, "_n")

@@ -68,6 +68,20 @@ def sales_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BUNDLES: dict[tuple[str, str], Tables] = {}
+_DERIVED: dict[tuple, DataFrame] = {}
+
+
+def derived(t: Tables, name: str, build):
+    """Memoize a table derived from a memoized fixture bundle (same session,
+    same inputs): ``build(t)`` runs once per bundle and name.  Other bundles
+    are not memoized."""
+    for key, bundle in _BUNDLES.items():
+        if bundle is t:
+            k = (*key, name)
+            if k not in _DERIVED:
+                _DERIVED[k] = build(t)
+            return _DERIVED[k]
+    return build(t)
 
 
 def star_from_testdata(spark: SparkSession, sf_dir: str) -> Tables:
