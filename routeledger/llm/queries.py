@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bottomk
-from .common import ship_package, table
+from . import (bottomk, digest_index, langid, license_scan, packing, pii, positional_index, quality, secret_scan,
+               token_store)
+from .common import ship_package, table, work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -21,6 +22,87 @@ def register(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return fn
 
 
+@register
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_path(spark, "token-store")
+    token_store.write_store(table(spark, sf_dir, "documents"), path)
+    return token_store.read_store(spark, path, ids=False)
+
+
+@register
+def op3_digest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_index.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+SQL["op3_digest_dedup"] = r"""
+with n as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents),
+     g as (select text_sha256, min(doc_id) as keep_id, count(*) as group_size from n group by text_sha256)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from n join g using (text_sha256)
+"""
+
+
+@register
+def op4_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@register
+def op5_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positional_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
+SQL["op5_positional_decontamination"] = r"""
+with words as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), w -> w <> '') as ws from documents),
+items as (
+  select cast(item_id as varchar) as item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), w -> w <> '') as ws from benchmark),
+wins as (
+  select distinct item, least(13, len(ws)) as size, array_to_string(list_slice(ws, k, k + least(13, len(ws)) - 1), ' ') as win
+  from (select item, ws, unnest(generate_series(1, len(ws) - least(13, len(ws)) + 1)) as k from items where len(ws) > 0)),
+sizes as (select distinct size from wins),
+places as (
+  select doc_id, size, k, array_to_string(list_slice(ws, k, k + size - 1), ' ') as win
+  from (select doc_id, ws, size, unnest(generate_series(1, len(ws) - size + 1)) as k from words, sizes where len(ws) >= size)),
+found as (select p.doc_id, p.size, p.k, w.item from places p join wins w on p.win = w.win and p.size = w.size),
+hit as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(generate_series(k, k + size - 1)) as j from found) group by doc_id),
+named as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as names from (select distinct doc_id, item from found) group by doc_id)
+select doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+       sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
+from words left join hit using (doc_id) left join named using (doc_id)
+"""
+
+
 @register
 def op6_bottomk_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottomk.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register
+def op7_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@register
+def op8_marginal_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@register
+def op9_dice_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(table(spark, sf_dir, "documents"))
+
+
+SQL["op9_dice_licenses"] = license_scan.oracle_sql()
+
+
+@register
+def op10_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+@register
+def op2_layered_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(table(spark, sf_dir, "documents"))
