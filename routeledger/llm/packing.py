@@ -1,10 +1,10 @@
 """Best-fit packing of token sequences by hierarchical residual rounds.
 
 Documents become pieces of at most ``size`` tokens.  Every task packs its own
-pieces best-fit decreasing; bins with at most ``slack`` free tokens are done.  The
-underfull bins of several tasks then meet as items of their used length in fewer
-tasks, and so on up the tree, until one task holds the rest or a round merges
-nothing.  No round hands a task more than ``ITEMS`` items; only lengths and bin numbers
+pieces best-fit decreasing; bins with at most ``slack`` free tokens are done.  What
+the others hold forms smaller underfull bins, which meet those of other tasks as items
+of their used length, in fewer tasks, and so on up the tree.  The last round, in as many
+tasks as ``ITEMS`` items each allow, packs what is left.  Only lengths and bin numbers
 travel, never ids.
 """
 
@@ -73,16 +73,36 @@ def pieces(docs: DataFrame, size: int = SIZE, vocabulary: str = VOCABULARY, end_
     return texts(docs).mapInArrow(run, "uid long, doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids)
 
 
-def _round(level: int, size: int):
-    """Pack each task's items: (item, bin, at, used) for every item."""
+def _pack_some(lengths: np.ndarray, size: int, slack: int, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bin, offset, bin's length and whether the bin is done, for each item.
+
+    Nearly full bins are done.  What lies in the others is binned again at a quarter of
+    the size, so that the underfull bins that go up the tree still fit into gaps there.
+    """
+    bins, offsets, used = best_fit(lengths, size)
+    done = used >= (0 if last else size - slack)
+    held, closed = used[bins], done[bins]
+    rest = np.flatnonzero(~closed)
+    if len(rest):
+        small = rest[lengths[rest] <= size // 4]
+        large = rest[lengths[rest] > size // 4]
+        b, o, u = best_fit(lengths[small], size // 4)
+        first = len(used)
+        bins[small], offsets[small], held[small] = first + b, o, u[b]
+        bins[large], offsets[large], held[large] = first + len(u) + np.arange(len(large)), 0, lengths[large]
+    return bins, offsets, held, closed
+
+
+def _round(level: int, size: int, slack: int, last: bool):
+    """Pack each task's items: (item, bin, at, used, done) for every item."""
     def run(batches):
         got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
         if got:
             items, lengths = (np.concatenate(x) for x in zip(*got, strict=True))
-            bins, offsets, used = best_fit(lengths, size)
+            bins, offsets, held, closed = _pack_some(lengths, size, slack, last)
             base = (level << 58) | (TaskContext.get().partitionId() << 36)
-            yield pa.RecordBatch.from_arrays([pa.array(items), pa.array(bins + base), pa.array(offsets), pa.array(used[bins])],
-                                             ["item", "bin", "at", "used"])
+            yield pa.RecordBatch.from_arrays([pa.array(items), pa.array(bins + base), pa.array(offsets), pa.array(held), pa.array(closed)],
+                                             ["item", "bin", "at", "used", "done"])
     return run
 
 
@@ -92,28 +112,26 @@ def pack(lengths: DataFrame, size: int = SIZE, slack: int = SLACK) -> DataFrame:
     Sequences hold at most ``size`` tokens and have no gaps.  Equal lengths are
     placed in any order; an empty table gives no rows.
     """
-    done = None
-    items = lengths.select(F.col("uid").alias("item"), F.col("length").cast("long"))
-    n, level, open_bins = None, 1, None
+    items = lengths.select(F.col("uid").alias("item"), F.col("length").cast("long").alias("length"))
+    n, level, out = int(lengths.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1, None
+    last = False
     while True:
-        if n is not None:
+        if level > 1:
             items = items.repartition(n, F.xxhash64("item"))
-        placed = staged(items.mapInArrow(_round(level, size), "item long, bin long, at long, used long"), "packed")
-        if done is None:
-            done = placed.select(F.col("item").alias("uid"), F.col("bin"), F.col("at").alias("offset"))
+        placed = staged(items.mapInArrow(_round(level, size, slack, last), "item long, bin long, at long, used long, done boolean"), "packed")
+        if out is None:
+            out = placed.select(F.col("item").alias("uid"), "bin", F.col("at").alias("offset"))
         else:
-            deeper = placed.select(F.col("item").alias("bin"), F.col("bin").alias("up"), F.col("at").alias("add"))
-            done = (done.join(deeper, "bin", "left")
-                    .select("uid", F.coalesce("up", "bin").alias("bin"), (F.col("offset") + F.coalesce("add", F.lit(0))).alias("offset")))
-        underfull = placed.where(F.col("used") < size - slack).select("bin", "used").distinct()
-        before, open_bins = open_bins, underfull.count()
-        if open_bins < 2 or n == 1 or (before is not None and open_bins == before):
-            break
-        if n is None:
-            n = int(lengths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        n = max(1, -(-n // FAN_IN), -(-open_bins // ITEMS))
-        items, level = underfull.select(F.col("bin").alias("item"), F.col("used").alias("length")), level + 1
-    return done.select("uid", F.col("bin").alias("sequence_id"), "offset")
+            up = placed.select(F.col("item").alias("bin"), F.col("bin").alias("up"), F.col("at").alias("add"))
+            out = (out.join(up, "bin", "left")
+                   .select("uid", F.coalesce("up", "bin").alias("bin"), (F.col("offset") + F.coalesce("add", F.lit(0))).alias("offset")))
+        underfull = placed.where("not done").select(F.col("bin").alias("item"), F.col("used").alias("length")).distinct()
+        count = 0 if last else underfull.count()
+        if not count:
+            return out.select("uid", F.col("bin").alias("sequence_id"), "offset")
+        least = -(-count // ITEMS)
+        n = max(-(-n // FAN_IN), least)
+        last, items, level = n <= least, underfull, level + 1
 
 
 def pack_documents(docs: DataFrame, size: int = SIZE, vocabulary: str = VOCABULARY, end_id: int = END_ID, ids: bool = False) -> DataFrame:
