@@ -8,10 +8,10 @@
    0.25 ** lead.
 3. A value whose list is longer than ``wide`` (a passage that many texts share, or
    a large group of copies) is no evidence by itself and would give all pairs of
-   its texts.  Nodes that hold such values post further values of their sketch
-   instead, until no list in use is wide; a node most of whose sketch consists
-   of wide values is linked through stars: its lists' fullest members, and then
-   whatever is still apart.
+   its texts.  Nodes that hold such values post their whole sketch in a second family
+   of lists instead, of which again the wide ones say nothing.  A node whose lead
+   values are wide in good part is held back and linked through stars: its lists'
+   fullest members, then whatever shares rare shingles, and then what is still apart.
 4. The union of two sketches estimates their Jaccard similarity and drops pairs
    far below the threshold; the rest is confirmed on the full sets.
 5. Links become components; a component is named after its least doc_id.
@@ -33,7 +33,9 @@ from .common import row_blocks, staged, text_buffer, texts
 from .components import connected_components
 
 #: Retained values of a sketch, values with inverted lists, length from which a list is wide.
-K, LEAD, WIDE = 64, 12, 48
+K, LEAD, WIDE = 64, 16, 48
+#: A node is held back for star linking if this share of its lead values is wide (one that only wide values link has 3/4; 5 of 16 miss it once in 25,000).
+HELD = (5, 16)
 #: Pairs whose union sketch shows less than this are dropped unconfirmed (5.5 standard deviations below 0.75 at k = 64).
 LEAST_ESTIMATE = 0.45
 _SIGN = np.uint64(1 << 63)
@@ -96,13 +98,15 @@ def _close(a, b, num: int, den: int):
     return (F.least(a, b) * den >= F.greatest(a, b) * num)
 
 
-def _narrow_pairs(posts: DataFrame, wide: int, num: int, den: int) -> DataFrame:
-    """Pairs that share a list of at most ``wide`` nodes."""
+def _narrow_pairs(posts: DataFrame, wide: int, num: int, den: int, least_size: int = LEAD) -> DataFrame:
+    """Pairs that share lists of at most ``wide`` nodes: two of them, unless a set is so small that one must do."""
     lens = posts.groupBy("v").agg(F.count(F.lit(1)).alias("cnt")).where(F.col("cnt").between(2, wide)).select("v")
     groups = posts.join(lens, "v").groupBy("v").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("m"))
     return (groups.select(F.expr("inline(flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> "
                                  "struct(x.node as a, x.n as na, y.node as b, y.n as nb)))))"))
-            .where(_close(F.col("na"), F.col("nb"), num, den)).select("a", "b"))
+            .where(_close(F.col("na"), F.col("nb"), num, den)).groupBy("a", "b")
+            .agg(F.count(F.lit(1)).alias("shared"), F.least(F.min("na"), F.min("nb")).alias("n"))
+            .where((F.col("shared") >= 2) | (F.col("n") < least_size)).select("a", "b"))
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -141,7 +145,7 @@ def _split(held: DataFrame, sets: DataFrame, wide: int, num: int, den: int) -> t
     common = (each.join(_wide_of(each, wide), "v", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("w")))
     counted = (held.join(common, "node", "left").withColumn("w", F.coalesce("w", F.lit(0)))
                .select("node", "n", "w", (F.col("n") - F.col("w")).alias("c"), F.explode("lists").alias("v")))
-    return staged(counted, "held"), _narrow_pairs(each, wide, num, den)
+    return staged(counted, "held"), _narrow_pairs(each, wide, num, den, 1 << 30)
 
 
 def _across(held: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
@@ -177,38 +181,26 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: tuple[int, int] =
     rows = staged(sketches(docs, size, k), "sketches")
     nodes = staged(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"),
                                                            F.first("sketch").alias("sketch")), "nodes")
-    first = F.slice("sketch", 1, lead)
-    posts = _posts(nodes, first)
+    # First family: the lead values of all nodes.
+    posts = staged(_posts(nodes, F.slice("sketch", 1, lead)), "posts")
+    narrow = _narrow_pairs(posts, wide, num, den)
+    held = None
     wides = staged(_wide_of(posts, wide), "wide")
-    mostly = None
     if not wides.isEmpty():
-        found = wides
-        while True:
-            touched = posts.join(wides, "v", "left_semi").select("node").distinct() if mostly is None else \
-                touched.unionByName(posts.join(found, "v", "left_semi").select("node")).distinct()
-            touched = staged(touched, "touched")
-            held = (_posts(nodes.join(touched, "node", "left_semi"), F.col("sketch")).join(wides, "v", "left_semi")
-                    .groupBy("node").agg(F.collect_set("v").alias("wide")))
-            mostly = staged(nodes.join(held, "node").select("node", "n", "wide", F.size("sketch").alias("k"),
-                                                           F.array_except("sketch", "wide").alias("rare")), "mostly")
-            rare = F.when(F.size("wide") * 4 <= F.col("k"), F.slice("rare", 1, lead + 4)).otherwise(F.col("rare"))
-            posts = _posts(nodes.join(touched, "node", "left_anti"), first).unionByName(_posts(mostly, rare))
-            found = staged(_wide_of(posts, wide), "wide")
-            if found.isEmpty():
-                break
-            wides = staged(wides.unionByName(found), "wide")
-    pairs = staged(_likely(_narrow_pairs(posts, wide, num, den), nodes, k), "pairs")
-    held = None
+        # Second family: whole sketches of the nodes that hold a wide lead value, among themselves.
+        touched = staged(posts.join(wides, "v", "left_semi").groupBy("node").agg(F.sort_array(F.collect_list("v")).alias("lists"))
+                         .join(nodes, "node").select("node", "n", "lists", "sketch"), "touched")
+        narrow = narrow.unionByName(_narrow_pairs(_posts(touched, F.col("sketch")), wide, num, den))
+        held = touched.where(F.size("lists") * HELD[1] >= F.least(F.size("sketch"), F.lit(lead)) * HELD[0]).select("node", "n", "lists")
+    pairs = staged(_likely(narrow, nodes, k), "pairs")
     ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-    if mostly is not None:
-        held = mostly.where(F.size("wide") * 20 > F.col("k") * 11)
+    if held is not None:
         ids = ids.unionByName(held.select("node"))
     wanted = staged(nodes.join(ids.distinct(), "node", "left_semi").select("doc_id", "node"), "wanted")
     some = texts(docs).join(wanted.select("doc_id"), "doc_id", "left_semi")
     sets = staged(some.mapInArrow(_full_sets(size), "node binary, vals array<long>")
                   .join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
     if held is not None:
-        held = held.select("node", "n", F.slice(F.array_sort("wide"), 1, lead).alias("lists"))
         held, shared = _split(held, sets, wide, num, den)
         hubs = held.groupBy("v").agg(F.max(F.struct(F.col("w") - F.col("c"), "node")).alias("hub"))
         stars = (held.join(hubs, "v").select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b"))
@@ -219,10 +211,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: tuple[int, int] =
     ends = pairs.select(F.col("a").alias("x"), "a", "b", "est").unionByName(pairs.select(F.col("b").alias("x"), "a", "b", "est"))
     best = ends.groupBy("x").agg(F.max(F.struct("est", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
     links = staged(_confirmed(best, sets, num, den), "links")
-    roots = connected_components(links)
+    roots = connected_components(links, 2)
     links = links.unionByName(staged(_confirmed(_apart(pairs, roots), sets, num, den), "links"))
     if held is not None:
-        across = _likely(_across(held, connected_components(links), num, den), nodes, k)
+        across = _likely(_across(held, connected_components(links, 2), num, den), nodes, k)
         links = links.unionByName(staged(_confirmed(across, sets, num, den), "links"))
     roots = staged(connected_components(links), "roots")
     least = roots.join(nodes.select("node", "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
