@@ -1,11 +1,11 @@
 """Window building blocks that stay parallel on hot keys.
 
-``running_total``: a running sum per key is split in two levels, so no
-single task ever holds all rows of one key.  Rows are bucketed by
-(key, time bucket); per-bucket totals are prefix-summed per key (one row
-per bucket, small), and the in-bucket running sum is a window partitioned
-by (key, bucket).  A key holding a third of all rows is thus spread over
-as many tasks as it has buckets.
+``running_total``: a running sum per key in a total order, split in two
+levels.  Rows are range-partitioned by (key, order), so a key of any size -
+also one whose rows all fall on one day - spreads over as many ranges as its
+share of the rows.  Totals per (key, range) are prefix-summed per key (one row
+per range), and the running sum inside a range is a window partitioned by
+(key, range).  NULL keys and NULL order values are keys and values like others.
 
 ``dense_ids``: consecutive ids ``base + 1 ..`` in a given order without a
 single-partition window: range-partition on the order, number rows inside
@@ -22,39 +22,43 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], values: dict[str, str],
-                   bucket: Column, inclusive: bool = True) -> DataFrame:
+def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, str],
+                   inclusive: bool = True) -> DataFrame:
     """Add one running sum per ``values`` item (``out -> value column``):
-    the sum over earlier rows of the same key in ``order`` (and the row
-    itself when ``inclusive``).  ``bucket`` must be monotone in ``order``
-    (e.g. the day of the timestamp that is ordered first)."""
-    keys = list(keys)
-    b = "_bucket"
-    d = df.withColumn(b, bucket)
-    totals = d.groupBy(*keys, b).agg(*[F.sum(v).alias(f"_bt_{o}") for o, v in values.items()])
-    w_b = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, b, *[F.coalesce(F.sum(f"_bt_{o}").over(w_b), F.lit(0)).alias(f"_off_{o}")
-                                        for o in values])
-    end = 0 if inclusive else -1
-    w_in = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    the sum over earlier rows of the same key in ``order`` (NULLs first; and the
+    row itself when ``inclusive``).  No row is lost to a NULL key or order."""
+    keys, p = list(keys), "_range"
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Written once, so the totals and the rows come from one evaluation of the ranges.
+    from ..session import materialize
+    d = materialize(df.repartitionByRange(n, *keys, *order).withColumn(p, F.spark_partition_id()), "ranges")
+    totals = d.groupBy(*keys, p).agg(*[F.sum(v).alias(f"_bt_{o}") for o, v in values.items()])
+    w_b = Window.partitionBy(*keys).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(p).alias("_k_range"),
+                            *[F.coalesce(F.sum(f"_bt_{o}").over(w_b), F.lit(0)).alias(f"_off_{o}") for o in values])
+    w_in = (Window.partitionBy(*keys, p).orderBy(*order)
+            .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
     for o, v in values.items():
         d = d.withColumn(f"_in_{o}", F.coalesce(F.sum(v).over(w_in), F.lit(0)))
-    d = d.join(offsets, [*keys, b])
+    same = F.col(p) == F.col("_k_range")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    d = d.join(offsets, same)
     for o in values:
         d = d.withColumn(o, F.col(f"_off_{o}") + F.col(f"_in_{o}"))
-    return d.drop(b, *[f"_in_{o}" for o in values], *[f"_off_{o}" for o in values])
+    return d.drop(p, "_k_range", *[f"_k_{k}" for k in keys], *[f"_in_{o}" for o in values], *[f"_off_{o}" for o in values])
 
 
-def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: str,
-                  bucket: Column, out: str = "running", inclusive: bool = True) -> DataFrame:
+def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
+                  out: str = "running", inclusive: bool = True) -> DataFrame:
     """One running sum (see ``running_totals``)."""
-    return running_totals(df, keys, order, {out: value}, bucket, inclusive)
+    return running_totals(df, keys, order, {out: value}, inclusive)
 
 
 def dense_ids(df: DataFrame, order: Sequence[str], base: Column | int = 0, out: str = "id",
               partitions: int | None = None) -> DataFrame:
     """Number rows ``base + 1, base + 2, ..`` following ``order`` (a total order)."""
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     tagged = ranged.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
     # monotonically_increasing_id = partition index << 33 | row position in partition

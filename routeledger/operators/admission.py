@@ -76,7 +76,7 @@ def to_legs(commands: DataFrame, t: Tables) -> tuple[DataFrame, DataFrame]:
     without a reason.  Only the branches of kinds present in the batch are
     planned (one small distinct-kind query decides that)."""
     kind = F.lower(F.trim("kind"))
-    present = {r[0] for r in commands.select(kind).distinct().limit(len(KINDS) + 1).collect()}
+    present = {r[0] for r in commands.select(kind.alias("k")).filter(F.col("k").isin(*KINDS)).distinct().collect()}
     cmd = commands.withColumn("kind", kind)
     spark = commands.sparkSession
     products = t.products.select(F.col("id").alias("product_id"), F.col("is_active").alias("p_active"))
@@ -277,10 +277,6 @@ def opening_levels(t: Tables) -> DataFrame:
     return state_levels(t).groupBy(*KEYS).agg(F.sum("level").cast(MONEY).alias("level"))
 
 
-def _bucket() -> Column:
-    return F.to_date("ts")
-
-
 # ---------------------------------------------------------------- L5
 def _cents(c) -> Column:
     """Exact integer cents of a DECIMAL(18,2) amount: long arithmetic in the
@@ -362,7 +358,7 @@ def _window_flags(active: DataFrame) -> DataFrame:
     x = (active.withColumn("_acc", F.when(is_acc, F.col("delta")).otherwise(zero))
          .withColumn("_neg", F.when(is_open, F.least("delta", zero)).otherwise(zero))
          .withColumn("_pos", F.when(is_open, F.greatest("delta", zero)).otherwise(zero)))
-    x = running_totals(x, KEYS, ORDER, {"acc": "_acc", "neg": "_neg", "pos": "_pos"}, _bucket(), inclusive=False)
+    x = running_totals(x, KEYS, ORDER, {"acc": "_acc", "neg": "_neg", "pos": "_pos"}, inclusive=False)
     low = F.col("level") + F.col("acc") + F.col("neg")
     high = F.col("level") + F.col("acc") + F.col("pos")
     return (x.filter(is_open)

@@ -36,9 +36,9 @@ def first_negative(t: Tables, opening: DataFrame | None = None) -> DataFrame:
     (opening + movements so far) is below zero, and that level.
 
     Movements are summed per (key, timestamp) first; the running level uses
-    the bucketed prefix sum, so a hot key does not serialise one task."""
+    the range-split prefix sum, so a hot key does not serialise one task."""
     per_ts = movements(t).groupBy(*KEYS, "ts").agg(F.sum("delta").alias("delta"))
-    run = running_total(per_ts, KEYS, ["ts"], "delta", F.to_date("ts"), out="_run")
+    run = running_total(per_ts, KEYS, ["ts"], "delta", out="_run")
     if opening is not None:
         o = opening.select(*KEYS, F.col("level").cast(MONEY).alias("_open"))
         run = run.join(o, KEYS, "left").withColumn("_run", F.col("_run") + F.coalesce("_open", F.lit(0)))
@@ -82,17 +82,21 @@ def orphan_keys(t: Tables) -> DataFrame:
 
 
 # ---------------------------------------------------------------- C4
+# The declared unique keys.
 _UNIQUE = [("districts", ["code"]), ("towns", ["code"]), ("routes", ["code"]), ("products", ["code"]),
-           ("salespersons", ["code"]), ("shops", ["code"]), ("salesperson_stock", ["salesperson_id", "product_id"])]
+           ("salespersons", ["code"]), ("shops", ["code"]), ("product_categories", ["code"]), ("product_categories", ["value"]),
+           ("salesperson_stock", ["salesperson_id", "product_id"])]
 
 
 def duplicate_keys(t: Tables) -> DataFrame:
-    """C4: duplicate unique keys (codes, and (salesperson, product) pairs)."""
+    """C4: duplicate unique keys (codes, category values, and (salesperson, product)
+    pairs).  A key with a NULL part is equal to no other."""
     parts = []
     for table, cols in _UNIQUE:
+        full = t.get(table).dropna(subset=cols)
         key = F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
-        parts.append(t.get(table).groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("rows"))
-                     .filter(F.col("rows") > 1).select(F.lit(table).alias("table"), "key", "rows"))
+        parts.append(full.groupBy(*cols).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1)
+                     .select(F.lit(table).alias("table"), F.lit(",".join(cols)).alias("columns"), key.alias("key"), "rows"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -115,13 +119,13 @@ def invalid_facts(t: Tables) -> DataFrame:
                                           ("shop_id missing", q("shop_id").isNull()),
                                           ("salesperson_id missing", q("salesperson_id").isNull()),
                                           ("negative amount", (q("paid_amount") < 0) | (q("balance_amount") < 0))]),
-        rules(t.sale_items, "sale_items", q("sale_id"), [("quantity not positive", ~(q("quantity") > 0)),
+        rules(t.sale_items, "sale_items", q("sale_id"), [("quantity not positive", ~F.coalesce(q("quantity") > 0, F.lit(False))),
                                                          ("product_id missing", q("product_id").isNull())]),
-        rules(t.collections, "collections", q("id"), [("amount not positive", ~(q("amount") > 0)),
+        rules(t.collections, "collections", q("id"), [("amount not positive", ~F.coalesce(q("amount") > 0, F.lit(False))),
                                                       ("shop_id missing", q("shop_id").isNull()),
                                                       ("salesperson_id missing", q("salesperson_id").isNull())]),
-        rules(t.stock_issues, "stock_issues", q("id"), [("quantity not positive", ~(q("quantity_issued") > 0))]),
-        rules(t.stock_returns, "stock_returns", q("id"), [("quantity not positive", ~(q("quantity_returned") > 0))]),
+        rules(t.stock_issues, "stock_issues", q("id"), [("quantity not positive", ~F.coalesce(q("quantity_issued") > 0, F.lit(False)))]),
+        rules(t.stock_returns, "stock_returns", q("id"), [("quantity not positive", ~F.coalesce(q("quantity_returned") > 0, F.lit(False)))]),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -66,14 +66,15 @@ def as_of_date(v) -> Column:
 def shop_statement(t: Tables, ids=None) -> DataFrame:
     """L2: chronological debt statement per shop with the running debt.
 
-    The running sum is split by (shop, day), so a shop with most of the
-    history is still spread over many tasks (``windows.running_total``)."""
+    The running sum is split by ranges, so a shop with most of the history is
+    still spread over many tasks (``windows.running_total``); rows with a NULL
+    date come first, and rows with a NULL shop are a statement of their own."""
     legs = movements(t, ["debt"]).select(
         F.col("k1").alias("shop_id"), "ts", "source", "source_id", "delta")
     if ids is not None:
         legs = legs.join(id_frame(legs.sparkSession, ids, "shop_id"), "shop_id", "left_semi")
     out = running_total(legs, ["shop_id"], ["ts", "source", "source_id"], "delta",
-                        F.to_date("ts"), out="running_debt")
+                        out="running_debt")
     return out.select("shop_id", "ts", "source", "source_id", to_double(F.col("delta")).alias("delta"),
                       to_double(F.col("running_debt")).alias("running_debt")).orderBy(
         "shop_id", "ts", "source", "source_id")
@@ -114,8 +115,11 @@ def append_facts(base: DataFrame, new: DataFrame, order: list[str], id_col: str
 def merge_records(base: DataFrame, updates: DataFrame, key: str = "id") -> DataFrame:
     """Batch update/insert by key; only the columns present in
     ``updates`` change (a NULL given there is written as NULL).  Keys not in
-    ``base`` are inserted with the other columns NULL."""
+    ``base`` are inserted with the other columns NULL.  A key given twice or not
+    at all changes nothing: such rows are refused (``merge_rejects``)."""
     upd_cols = [c for c in updates.columns if c != key]
+    once = updates.dropna(subset=[key]).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1").select(key)
+    updates = updates.join(once, key, "left_semi")
     u = updates.select(F.col(key), F.lit(True).alias("_hit"), *[F.col(c).alias(f"_u_{c}") for c in upd_cols])
     b = base.withColumn("_in_base", F.lit(True))
     j = b.join(u, key, "full")
@@ -131,6 +135,13 @@ def merge_records(base: DataFrame, updates: DataFrame, key: str = "id") -> DataF
     return j.select(*cols)
 
 
+def merge_rejects(updates: DataFrame, key: str = "id") -> DataFrame:
+    """Keys of an update batch that ``merge_records`` refuses, with the reason."""
+    n = updates.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+    return n.filter((F.col("rows") > 1) | F.col(key).isNull()).select(
+        key, "rows", F.when(F.col(key).isNull(), "key missing").otherwise("key given more than once").alias("reason"))
+
+
 # ---------------------------------------------------------------- L9
 _REFUSAL = {
     # Which usage blocks a hard delete, per entity.
@@ -183,6 +194,7 @@ _MASTER_RULES = {
     "town": (["code", "name", "district_id"], ["district_id"]),
     "route": (["code", "name", "town_id"], ["town_id"]),
     "product": (["code", "name", "unit_price"], []),
+    "category": (["code", "name"], []),
     "salesperson": (["code", "name"], []),
     "shop": (["code", "name"], ["district_id", "town_id", "route_id"]),
 }
@@ -196,6 +208,9 @@ def normalise_master(df: DataFrame, entity: str) -> tuple[DataFrame, DataFrame]:
     d = df
     if "code" in d.columns:
         d = d.withColumn("code", norm_code("code"))
+    if entity == "category":  # the value defaults to the code and is kept in lower case
+        given = F.trim(F.col("value")) if "value" in d.columns else F.lit(None).cast("string")
+        d = d.withColumn("value", F.lower(F.coalesce(F.when(given != "", given), F.col("code"))))
     if "name" in d.columns:
         d = d.withColumn("name", norm_name("name"))
     checks = []
@@ -224,9 +239,10 @@ def recategorise(t: Tables, mapping: DataFrame) -> Tables:
 
     Products follow by lower-cased value (missing = ``general``); a deleted
     category's products fall back to ``general``, which cannot be deleted.
-    ``mapping`` (old_value, new_value) is one row per category changed."""
-    m = (mapping.select(F.lower(F.trim("old_value")).alias("_old"), F.lower(F.trim("new_value")).alias("_new"))
-         .filter(F.col("_old") != "general"))
+    ``general`` may be renamed: its products, and those without a category, follow.
+    ``mapping`` (old_value, new_value) is one row per category changed; what is
+    refused is in ``recategorise_rejects``."""
+    m = _mapping(mapping).filter(F.col("_reason").isNull()).select("_old", "_new")
     p = t.products.join(m, category_key() == F.col("_old"), "left")
     p = p.withColumn("category", F.when(F.col("_old").isNull(), F.col("category"))
                      .otherwise(F.coalesce("_new", F.lit("general")))).select(*t.products.columns)
@@ -236,6 +252,22 @@ def recategorise(t: Tables, mapping: DataFrame) -> Tables:
     return t.with_tables(products=p, product_categories=c)
 
 
+def _mapping(mapping: DataFrame) -> DataFrame:
+    """Normalised mapping rows (one per distinct change), with the reason where one is refused."""
+    m = mapping.select(F.lower(F.trim("old_value")).alias("_old"), F.lower(F.trim("new_value")).alias("_new")).distinct()
+    several = m.groupBy("_old").agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed("_old", "_o")
+    m = m.join(several, F.col("_old").eqNullSafe(F.col("_o")))
+    return m.withColumn("_reason", F.when(F.coalesce("_old", F.lit("")) == "", "old value missing")
+                        .when(F.col("_n") > 1, "mapped to more than one value")
+                        .when((F.col("_old") == "general") & F.col("_new").isNull(), "general cannot be deleted")).drop("_n", "_o")
+
+
+def recategorise_rejects(mapping: DataFrame) -> DataFrame:
+    """Rows of a mapping that ``recategorise`` refuses: (old_value, new_value, reason)."""
+    return _mapping(mapping).filter(F.col("_reason").isNotNull()).select(
+        F.col("_old").alias("old_value"), F.col("_new").alias("new_value"), F.col("_reason").alias("reason"))
+
+
 # ---------------------------------------------------------------- L12
 def adjust_levels(df: DataFrame, deltas: DataFrame, column: str, key: str = "id") -> tuple[DataFrame, DataFrame]:
     """``column += delta`` for active rows (deltas pre-summed per key).
@@ -255,5 +287,5 @@ def adjust_levels(df: DataFrame, deltas: DataFrame, column: str, key: str = "id"
     return new, rejects
 
 
-__all__ = ["state_levels", "positions", "shop_statement", "apply_levels", "append_facts", "merge_records",
+__all__ = ["state_levels", "positions", "shop_statement", "apply_levels", "append_facts", "merge_records", "merge_rejects", "recategorise_rejects",
            "delete_outcome", "delete_records", "normalise_master", "recategorise", "adjust_levels", "KEYS"]

@@ -319,8 +319,11 @@ def clamp_limit(limit) -> int:
 
 
 def list_records(t: Tables, table: str, equals: dict | None = None, order_by: str = "id DESC",
-                 limit=MAX_LISTING, offset=0) -> DataFrame:
-    """Generic filtered listing of one of the twelve allowed tables."""
+                 limit=None, offset=0, clamp: bool = False) -> DataFrame:
+    """Generic filtered listing of one of the twelve allowed tables.
+
+    All rows unless ``limit`` is given; ``clamp`` asks for the interactive rule
+    (1..1000 rows, ``clamp_limit``)."""
     from ..functions.predicates import filter_equals
     if table not in ORDER_COLUMNS:
         raise ValueError(f"invalid table name: {table}")
@@ -334,14 +337,19 @@ def list_records(t: Tables, table: str, equals: dict | None = None, order_by: st
         off = 0
     if off > 0:
         df = df.offset(off)
-    return df.limit(clamp_limit(limit))
+    if clamp:
+        return df.limit(clamp_limit(limit))
+    return df if limit is None else df.limit(max(0, int(limit)))
 
 
 def page(df: DataFrame, order: list, limit: int | None = None, offset: int | None = None) -> DataFrame:
     """A page of an ordered listing; offset alone is allowed (Q15).
 
-    For deep pages prefer keyset paging: filter ``key < last_key_seen`` and
-    take ``limit``, which keeps each page a bounded top-k."""
+    An offset without a limit numbers the rows by ranges (``dense_ids``) instead of
+    passing all of them through one task.  For deep pages prefer ``keyset_page``."""
+    if offset and not limit and all(isinstance(c, str) for c in order):
+        from ..functions.windows import dense_ids
+        return dense_ids(df, order, 0, "_row").filter(F.col("_row") > int(offset)).drop("_row").orderBy(*order)
     out = df.orderBy(*order)
     if offset:
         out = out.offset(int(offset))
@@ -350,6 +358,22 @@ def page(df: DataFrame, order: list, limit: int | None = None, offset: int | Non
     return out
 
 
+def keyset_page(df: DataFrame, order: list[str], limit: int, after: dict | None = None, descending: bool = False) -> DataFrame:
+    """T3 by key: the ``limit`` rows that follow the row with the key ``after`` (column -> value) in ``order``.
+
+    The filter reaches the scan and the page is a top-k, however deep it lies.
+    ``order`` must be a unique key without NULLs."""
+    if after is not None:
+        passed = F.lit(False)
+        for i, c in enumerate(order):
+            beyond = F.col(c) < F.lit(after[c]) if descending else F.col(c) > F.lit(after[c])
+            for e in order[:i]:
+                beyond = beyond & (F.col(e) == F.lit(after[e]))
+            passed = passed | beyond
+        df = df.filter(passed)
+    return df.orderBy(*[F.desc(c) if descending else F.asc(c) for c in order]).limit(limit)
+
+
 def recent_sales(t: Tables, n: int = 10) -> DataFrame:
     """T4: newest n sales; the top-k runs before the dimension joins."""
     top = t.sales.select(*SALE_COLS).orderBy(F.desc("date"), F.desc("id")).limit(n)

@@ -253,38 +253,116 @@ def _c3(t):
     return C.orphan_keys(t)
 
 
-def _dupes_sql() -> str:
-    parts = []
-    for table, cols in C._UNIQUE:
-        key = "concat_ws('|', " + ", ".join(f"cast({c} as varchar)" for c in cols) + ")"
-        parts.append(f"""select '{table}' as "table", {key} as key, count(*) as "rows" from {table}
-group by {key} having count(*) > 1""")
-    return sql("\nunion all\n".join(parts), *[t for t, _ in C._UNIQUE])
+_DUPES = """
+select 'districts' as "table", 'code' as "columns", code as key, count(*) as "rows" from districts where code is not null group by code having count(*) > 1
+union all select 'towns', 'code', code, count(*) from towns where code is not null group by code having count(*) > 1
+union all select 'routes', 'code', code, count(*) from routes where code is not null group by code having count(*) > 1
+union all select 'products', 'code', code, count(*) from products where code is not null group by code having count(*) > 1
+union all select 'salespersons', 'code', code, count(*) from salespersons where code is not null group by code having count(*) > 1
+union all select 'shops', 'code', code, count(*) from shops where code is not null group by code having count(*) > 1
+union all select 'product_categories', 'code', code, count(*) from product_categories where code is not null
+  group by code having count(*) > 1
+union all select 'product_categories', 'value', value, count(*) from product_categories where value is not null
+  group by value having count(*) > 1
+union all select 'salesperson_stock', 'salesperson_id,product_id', salesperson_id || '|' || product_id, count(*)
+  from salesperson_stock where salesperson_id is not null and product_id is not null
+  group by salesperson_id, product_id having count(*) > 1
+"""
+_DUPE_T = ("districts", "towns", "routes", "products", "salespersons", "shops", "product_categories", "salesperson_stock")
 
 
-@register("duplicate_keys", "C4", _dupes_sql())
+@register("duplicate_keys", "C4", sql(_DUPES, *_DUPE_T))
 def _c4(t):
     return C.duplicate_keys(t)
 
 
-@register("invalid_facts", "C5", sql("""
+_INVALID = """
 select 'sales' as "table", id as ref_id, 'total_amount missing' as rule from sales where total_amount is null
 union all select 'sales', id, 'shop_id missing' from sales where shop_id is null
 union all select 'sales', id, 'salesperson_id missing' from sales where salesperson_id is null
 union all select 'sales', id, 'negative amount' from sales where paid_amount < 0 or balance_amount < 0
-union all select 'sale_items', sale_id, 'quantity not positive' from sale_items where not (quantity > 0)
+union all select 'sale_items', sale_id, 'quantity not positive' from sale_items where coalesce(not (quantity > 0), true)
 union all select 'sale_items', sale_id, 'product_id missing' from sale_items where product_id is null
-union all select 'collections', id, 'amount not positive' from collections where not (amount > 0)
+union all select 'collections', id, 'amount not positive' from collections where coalesce(not (amount > 0), true)
 union all select 'collections', id, 'shop_id missing' from collections where shop_id is null
 union all select 'collections', id, 'salesperson_id missing' from collections where salesperson_id is null
 union all select 'stock_issues', cast(null as bigint), 'quantity not positive' from stock_issues
-  where not (quantity_issued > 0)
+  where coalesce(not (quantity_issued > 0), true)
 union all select 'stock_returns', cast(null as bigint), 'quantity not positive' from stock_returns
-  where not (quantity_returned > 0)""", "sales", "sale_items", "collections", "stock_issues", "stock_returns"))
+  where coalesce(not (quantity_returned > 0), true)"""
+_INVALID_T = ("sales", "sale_items", "collections", "stock_issues", "stock_returns")
+
+
+@register("invalid_facts", "C5", sql(_INVALID, *_INVALID_T))
 def _c5(t):
     return C.invalid_facts(t)
 
 
+# The checks on a bundle with flaws (projections of the same tables, alike here and in the SQL), so that they find something.
+def _flawed(t):
+    c = F.col
+    hit = lambda n: c("id") % n == 0
+    return t.with_tables(
+        products=t.products.withColumn("code", F.when(hit(7), F.lit("TWICE")).when(hit(11), None).otherwise(c("code")))
+        .withColumn("stock_quantity", F.when(hit(5), -c("stock_quantity") - 1).otherwise(c("stock_quantity"))),
+        shops=t.shops.withColumn("code", F.when(hit(13), None).otherwise(c("code"))),
+        sales=t.sales.withColumn("shop_id", F.when(hit(17), -c("id")).when(hit(19), None).otherwise(c("shop_id")))
+        .withColumn("total_amount", F.when(hit(23), None).otherwise(c("total_amount")))
+        .withColumn("paid_amount", F.when(hit(29), F.lit(-1)).otherwise(c("paid_amount")).cast("decimal(18,2)")),
+        sale_items=t.sale_items.withColumn("quantity", F.when(c("sale_id") % 31 == 0, None).when(c("sale_id") % 37 == 0, 0).otherwise(c("quantity"))),
+        collections=t.collections.withColumn("amount", F.when(hit(41), None).otherwise(c("amount")))
+        .withColumn("salesperson_id", F.when(hit(43), F.lit(10 ** 9)).otherwise(c("salesperson_id"))),
+        salesperson_stock=t.salesperson_stock.withColumn("product_id", F.when(c("product_id") % 3 == 0, F.lit(3)).otherwise(c("product_id"))))
+
+
+_FLAWS = """
+with _products as (select * replace (case when id % 7 = 0 then 'TWICE' when id % 11 = 0 then null else code end as code,
+    case when id % 5 = 0 then -stock_quantity - 1 else stock_quantity end as stock_quantity) from products),
+_shops as (select * replace (case when id % 13 = 0 then null else code end as code) from shops),
+_sales as (select * replace (case when id % 17 = 0 then -id when id % 19 = 0 then null else shop_id end as shop_id,
+    case when id % 23 = 0 then null else total_amount end as total_amount, case when id % 29 = 0 then -1 else paid_amount end as paid_amount) from sales),
+_sale_items as (select * replace (case when sale_id % 31 = 0 then null when sale_id % 37 = 0 then 0 else quantity end as quantity) from sale_items),
+_collections as (select * replace (case when id % 41 = 0 then null else amount end as amount,
+    case when id % 43 = 0 then 1000000000 else salesperson_id end as salesperson_id) from collections),
+_salesperson_stock as (select * replace (case when product_id % 3 = 0 then 3 else product_id end as product_id) from salesperson_stock)
+"""
+
+
+def _on_flaws(body: str) -> str:
+    import re
+    return _FLAWS + re.sub(r"(from|FROM) (products|shops|sales|sale_items|collections|salesperson_stock)\b", r"from _\2", body)
+
+
+@register("flawed_negative_stock", "C1", sql(_on_flaws("""
+select 'warehouse' as resource, id as k1, cast(-1 as bigint) as k2, cast(stock_quantity as double) as level
+from products where stock_quantity < 0
+union all
+select 'field', salesperson_id, product_id, cast(quantity as double) from salesperson_stock where quantity < 0"""),
+                                             "products", "shops", "sales", "sale_items", "collections", "salesperson_stock"))
+def _c1f(t):
+    return C.negative_stock(_flawed(t))
+
+
+@register("flawed_orphan_keys", "C3", sql(_on_flaws("""
+select 'sales' as "table", 'shop_id' as "column", shop_id as value, count(*) as "rows" from sales
+  where shop_id is not null and not exists (select 1 from shops s where s.id = shop_id) group by shop_id
+union all select 'collections', 'salesperson_id', salesperson_id, count(*) from collections
+  where salesperson_id is not null and not exists (select 1 from salespersons p where p.id = salesperson_id) group by salesperson_id"""),
+                                          "products", "shops", "sales", "sale_items", "collections", "salesperson_stock", "salespersons"))
+def _c3f(t):
+    return C.orphan_keys(_flawed(t))
+
+
+@register("flawed_duplicate_keys", "C4", sql(_on_flaws(_DUPES), *_DUPE_T, "sales", "sale_items", "collections"))
+def _c4f(t):
+    return C.duplicate_keys(_flawed(t))
+
+
+@register("flawed_invalid_facts", "C5", sql(_on_flaws(_INVALID), *_INVALID_T, "products", "shops", "salesperson_stock"))
+def _c5f(t):
+    return C.invalid_facts(_flawed(t))
+
+
 @register("credit_breaches", "C6", sql(f"""
 select id, code, name, {_m("-current_balance", "debt")}, {_m("credit_limit", "credit_limit")},
   {_m("-current_balance - credit_limit", "excess")}

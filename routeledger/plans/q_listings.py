@@ -214,14 +214,14 @@ def _t2(t):
 from (select * from shops where district_id = 3 order by current_balance asc nulls first, id asc nulls first
       limit 1000) x""", "shops"))
 def _t2b(t):
-    return L.list_records(t, "shops", {"district_id": 3}, "current_balance ASC", limit=5000).select(
+    return L.list_records(t, "shops", {"district_id": 3}, "current_balance ASC", limit=5000, clamp=True).select(
         "id", "code", "name", F.col("current_balance").cast("double").alias("current_balance"))
 
 
 @register("ordered_collections", "T1", sql(f"""select id, date, {_m("amount", "amount")} from (
-  select * from collections order by amount desc nulls last, id desc nulls last limit 20) x""", "collections"))
+  select * from collections) x""", "collections"))
 def _t1(t):
-    return L.ordered(t.collections, "collections", "amount", "DESC").limit(20).select(
+    return L.ordered(t.collections, "collections", "amount", "DESC").select(
         "id", "date", F.col("amount").cast("double").alias("amount"))
 
 

@@ -30,9 +30,16 @@ def snapshot(t: Tables, root: str, ts: dt.datetime) -> str:
         (t.get(name).withColumn("snapshot", F.lit(tag)).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("snapshot")
          .parquet(f"{root.rstrip('/')}/{name}"))
+    # The manifest is written last: a snapshot without one is incomplete.
+    t.districts.sparkSession.range(1).select(F.lit(tag).alias("tag"), F.lit(len(Tables.names())).alias("tables")).write.mode(
+        "overwrite").parquet(_manifest(root, tag))
     return tag
 
 
+def _manifest(root: str, tag: str) -> str:
+    return f"{root.rstrip('/')}/_manifests/{tag}"
+
+
 def read_snapshot(spark: SparkSession, root: str, name: str, tag: str) -> DataFrame:
     return spark.read.parquet(f"{root.rstrip('/')}/{name}").filter(F.col("snapshot") == tag).drop("snapshot")
 
@@ -43,24 +50,21 @@ def _fs(spark: SparkSession, path: str):
 
 
 def list_snapshots(spark: SparkSession, root: str) -> list[str]:
-    """Snapshot tags present for every table's folder (sorted)."""
-    tags = None
-    for name in Tables.names():
-        p, fs = _fs(spark, f"{root.rstrip('/')}/{name}")
-        found = set()
-        if fs.exists(p):
-            for st in fs.listStatus(p):
-                n = st.getPath().getName()
-                if n.startswith("snapshot="):
-                    found.add(n.split("=", 1)[1])
-        tags = found if tags is None else tags | found
-    return sorted(tags or [])
+    """Tags of the complete snapshots, those whose manifest was written (sorted)."""
+    p, fs = _fs(spark, f"{root.rstrip('/')}/_manifests")
+    if not fs.exists(p):
+        return []
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return sorted(st.getPath().getName() for st in fs.listStatus(p) if fs.exists(path(st.getPath(), "_SUCCESS")))
 
 
 def expire(spark: SparkSession, root: str, keep_days: int, now: dt.datetime) -> list[str]:
     """Drop snapshots older than ``keep_days`` before ``now``; returns the dropped tags."""
     cutoff = (now - dt.timedelta(days=keep_days)).strftime(SNAPSHOT_FORMAT)
     dropped = [tag for tag in list_snapshots(spark, root) if tag < cutoff]
+    for tag in dropped:  # the manifest first: a half-dropped snapshot is not listed
+        p, fs = _fs(spark, _manifest(root, tag))
+        fs.delete(p, True)
     for name in Tables.names():
         for tag in dropped:
             p, fs = _fs(spark, f"{root.rstrip('/')}/{name}/snapshot={tag}")

@@ -30,17 +30,28 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*cols)
 
 
+def rejects(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Rows of ``df`` of which ``conform`` turns a given value into NULL, with the columns' names in ``bad_columns``."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    bad = [F.when(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull(), F.lit(f.name))
+           for f in schema.fields if f.name in types and types[f.name] != f.dataType]
+    if not bad:
+        return df.limit(0).withColumn("bad_columns", F.array().cast("array<string>"))
+    return df.withColumn("bad_columns", F.filter(F.array(*bad), lambda x: x.isNotNull())).filter(F.size("bad_columns") > 0)
+
+
 def load_table(spark: SparkSession, path: str, name: str, fmt: str = "parquet") -> DataFrame:
     """Typed read of one field-sales table.
 
     Parquet is read with its own footer schema, then conformed (additive
     evolution; ``mergeSchema`` unifies old and new files in one folder).
-    CSV is read with the declared schema, never inferred."""
+    CSV columns are taken by their header names, as text, then conformed, so a
+    file of an older or reordered layout reads right (one layout per call)."""
     schema = SCHEMAS[name]
     if fmt == "parquet":
         df = spark.read.option("mergeSchema", "true").parquet(path)
     elif fmt == "csv":
-        df = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+        df = spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False).csv(path)
     else:
         df = spark.read.format(fmt).load(path)
     return conform(df, schema)

@@ -22,8 +22,8 @@ def test_running_totals_equal_plain_window_on_hot_key(spark, seed_no):
         ts = start + dt.timedelta(hours=rnd.randint(0, 24 * 40))
         rows.append((key, ts, i, rnd.randint(-50, 50)))
     df = spark.createDataFrame(rows, "k long, ts timestamp_ntz, id long, v long")
-    got = running_totals(df, ["k"], ["ts", "id"], {"run": "v"}, F.to_date("ts"), inclusive=True)
-    got_ex = running_totals(df, ["k"], ["ts", "id"], {"run": "v"}, F.to_date("ts"), inclusive=False)
+    got = running_totals(df, ["k"], ["ts", "id"], {"run": "v"}, inclusive=True)
+    got_ex = running_totals(df, ["k"], ["ts", "id"], {"run": "v"}, inclusive=False)
     w = Window.partitionBy("k").orderBy("ts", "id")
     plain = df.withColumn("run", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0))) \
               .withColumn("run_ex", F.coalesce(F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, -1)),
@@ -33,3 +33,14 @@ def test_running_totals_equal_plain_window_on_hot_key(spark, seed_no):
     c = {r.id: r.run for r in got_ex.collect()}
     assert a == {i: v[0] for i, v in b.items()}
     assert c == {i: v[1] for i, v in b.items()}
+
+
+def test_running_totals_keep_nulls_and_split_one_day(spark):
+    rows = [(None if i % 10 == 0 else 1, None if i % 7 == 0 else dt.datetime(2024, 1, 1), i, 1) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k long, ts timestamp_ntz, id long, v long")
+    got = running_totals(df, ["k"], ["ts", "id"], {"run": "v"})
+    plain = df.withColumn("run", F.sum("v").over(Window.partitionBy("k").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)))
+    assert sorted((r.id, r.run) for r in got.collect()) == sorted((r.id, r.run) for r in plain.collect())
+    from routeledger.session import materialize
+    ranged = materialize(df.repartitionByRange(4, "k", "ts", "id").withColumn("p", F.spark_partition_id()), "test-ranges")
+    assert ranged.filter("k = 1 and ts is not null").select("p").distinct().count() > 1
