@@ -62,6 +62,18 @@ def _explode_legs(df: DataFrame, legs: list[Column]) -> DataFrame:
     return df.select("cmd_id", "ts", F.explode(arr).alias("l")).select("cmd_id", "ts", "l.*")
 
 
+# Numbers of the fact families in the keys of resource ``fact``.
+FAMILIES = {"sale": 1, "collection": 2, "return": 3, "issue": 4}
+
+
+def family(kind: Column) -> Column:
+    """Family number of a referring command's fact."""
+    out = F.lit(None).cast("bigint")
+    for name, number in FAMILIES.items():
+        out = F.when(kind.startswith(name + "_"), F.lit(number).cast("bigint")).otherwise(out)
+    return out
+
+
 # ---------------------------------------------------------------- L3
 def to_legs(commands: DataFrame, t: Tables) -> tuple[DataFrame, DataFrame]:
     """L3: validate commands, consolidate lines per product, expand to legs.
@@ -87,21 +99,24 @@ def to_legs(commands: DataFrame, t: Tables) -> tuple[DataFrame, DataFrame]:
                       F.col("items")[0]["product_id"].alias("n_p"), F.col("items")[0]["quantity"].alias("n_q"))
     head = head.join(shops, "shop_id", "left")
 
-    item_kinds = [x for x in ("issue", "return", "sale") if x in present]
+    item_kinds = [x for x in ("issue", "return", "sale", "sale_update") if x in present]
     per_product = None
     if item_kinds:
         lines = (cmd.filter(k.isin(*item_kinds))
                  .select("cmd_id", "ts", "kind", "salesperson_id", F.explode_outer("items").alias("it"))
                  .select("cmd_id", "ts", "kind", "salesperson_id", F.col("it.product_id").alias("product_id"),
-                         F.col("it.quantity").alias("quantity")))
+                         F.col("it.quantity").alias("quantity"), F.col("it").isNotNull().cast("int").alias("given"),
+                         (F.col("it").isNotNull() & (F.col("it.product_id").isNull()
+                          | ~F.coalesce(F.col("it.quantity") > 0, F.lit(False)))).cast("int").alias("bad_line")))
         per_product = (lines.groupBy("cmd_id", "ts", "kind", "salesperson_id", "product_id")
-                       .agg(F.sum("quantity").alias("q"), F.min("quantity").alias("min_line"),
-                            F.count("quantity").alias("n_lines"))
-                       .join(products, "product_id", "left")).persist()
+                       .agg(F.sum("quantity").alias("q"), F.max("bad_line").alias("bad_line"),
+                            F.sum("given").alias("n_lines"))
+                       .join(products, "product_id", "left"))
+        per_product = materialize(per_product, "command-lines")
         flags = per_product.groupBy("cmd_id").agg(
             F.max(F.when(F.col("n_lines") == 0, 1).otherwise(0)).alias("no_items"),
-            F.max(F.when(F.col("min_line") <= 0, 1).otherwise(0)).alias("bad_qty"),
-            F.max(F.when((F.col("kind") != "sale") & (F.col("p_active").isNull() | (F.col("p_active") != 1)), 1)
+            F.max("bad_line").alias("bad_qty"),
+            F.max(F.when(F.col("kind").isin("issue", "return") & (F.col("p_active").isNull() | (F.col("p_active") != 1)), 1)
                   .otherwise(0)).alias("bad_product"))
         head = head.join(flags, "cmd_id", "left")
 
@@ -143,12 +158,14 @@ def to_legs(commands: DataFrame, t: Tables) -> tuple[DataFrame, DataFrame]:
         return F.col(name) if name in head.columns else F.lit(None)
 
     checks: list[Column] = [F.when(~k.isin(*KINDS) | k.isNull(), "unknown kind")]
-    is_item = k.isin("issue", "return", "sale")
+    is_item = k.isin("issue", "return", "sale", "sale_update")
+    checks.append(F.when(is_item & (F.col("salesperson_id").isNull() | (k.isin("sale", "sale_update") & F.col("shop_id").isNull())),
+                         "missing required fields"))
     checks += [F.when(is_item & (F.coalesce(col_or_null("no_items"), F.lit(1)) == 1), "no items"),
                F.when(is_item & (col_or_null("bad_qty") == 1), "quantity must be positive"),
                F.when(is_item & (col_or_null("bad_product") == 1), "product missing or inactive")]
     inactive = F.coalesce("s_active", F.lit(0)) != 1
-    checks.append(F.when((k == "sale") & (F.coalesce("amount", F.lit(0)) > 0) & inactive, "shop missing or inactive"))
+    checks.append(F.when(k.isin("sale", "sale_update") & (F.coalesce("amount", F.lit(0)) > 0) & inactive, "shop missing or inactive"))
     is_coll = k == "collection"
     checks += [F.when(is_coll & (F.col("shop_id").isNull() | F.col("salesperson_id").isNull()
                                  | F.col("amount").isNull()), "missing required fields"),
@@ -157,7 +174,7 @@ def to_legs(commands: DataFrame, t: Tables) -> tuple[DataFrame, DataFrame]:
     if sale_ref:
         is_s = k.isin("sale_update", "sale_delete")
         checks += [F.when(is_s & F.col("s_found").isNull(), "sale not found"),
-                   F.when(is_s & (F.coalesce("o_bal", F.lit(0)) > 0) & (F.coalesce("o_active", F.lit(0)) != 1),
+                   F.when((k == "sale_delete") & (F.coalesce("o_bal", F.lit(0)) > 0) & (F.coalesce("o_active", F.lit(0)) != 1),
                           "shop missing or inactive")]
     if coll_ref:
         is_c = k == "collection_delete"
@@ -175,7 +192,7 @@ def to_legs(commands: DataFrame, t: Tables) -> tuple[DataFrame, DataFrame]:
                           & (F.coalesce("n_p_active", F.lit(0)) != 1), "product missing or inactive"),
                    F.when(is_m & ~is_del & (F.coalesce("n_q2", F.lit(0)) <= 0), "quantity must be positive")]
     reasons = F.array_sort(F.array_distinct(F.filter(F.array(*checks), lambda x: x.isNotNull())))
-    checked = head.withColumn("_reasons", reasons).persist()
+    checked = materialize(head.withColumn("_reasons", reasons), "command-checks")
     rejects = checked.filter(F.size("_reasons") > 0).select("cmd_id", F.array_join("_reasons", "; ").alias("reason"))
     ok = checked.filter(F.size("_reasons") == 0)
 
@@ -201,6 +218,11 @@ def to_legs(commands: DataFrame, t: Tables) -> tuple[DataFrame, DataFrame]:
     if coll_ref:
         simple.append(_explode_legs(ok.filter(k == "collection_delete"),
                                     [_leg(1, "debt", F.col("c_shop"), -1, None, F.col("c_amount"))]))
+    referring = present - {"issue", "return", "sale", "collection"}
+    if referring:
+        # The referenced fact is a resource: a delete takes it away, whatever refers to it later finds its level below 0.
+        simple.append(_explode_legs(ok.filter(k.isin(*referring)), [
+            _leg(0, "fact", family(k), F.col("ref_id"), F.lit(0), F.when(k.endswith("_delete"), -1).otherwise(0))]))
     if sale_ref:
         s_ok = ok.filter(k.isin("sale_update", "sale_delete"))
         # Restore the old lines and balance, then (update) apply the new sale.
@@ -212,12 +234,10 @@ def to_legs(commands: DataFrame, t: Tables) -> tuple[DataFrame, DataFrame]:
                                      [_leg(2, "debt", F.col("o_shop"), -1, None, -F.col("o_bal"))]))
         ordered.append(_explode_legs(s_ok.filter((k == "sale_update") & (F.col("amount") > 0)),
                                      [_leg(4, "debt", F.col("shop_id"), -1, None, F.col("amount"))]))
-        upd_lines = (cmd.filter(k == "sale_update").join(ok.select("cmd_id"), "cmd_id", "left_semi")
-                     .select("cmd_id", "ts", "salesperson_id", F.explode("items").alias("it"))
-                     .groupBy("cmd_id", "ts", "salesperson_id", F.col("it.product_id").alias("product_id"))
-                     .agg(F.sum("it.quantity").alias("q")))
-        ordered.append(_explode_legs(upd_lines, [_leg(3, "field", F.col("salesperson_id"), F.col("product_id"),
-                                                      F.col("q"), -F.col("q"))]))
+        if "sale_update" in present:
+            upd_lines = per_product.filter(k == "sale_update").join(ok.select("cmd_id"), "cmd_id", "left_semi")
+            ordered.append(_explode_legs(upd_lines, [_leg(3, "field", F.col("salesperson_id"), F.col("product_id"),
+                                                          F.col("q"), -F.col("q"))]))
     if move_ref:
         osp, op, oq = F.col("m_sp"), F.col("m_p"), F.col("m_q")
         nsp, np_, nq = F.col("n_sp"), F.col("n_p2"), F.col("n_q2")
@@ -236,8 +256,8 @@ def to_legs(commands: DataFrame, t: Tables) -> tuple[DataFrame, DataFrame]:
                 other=[_leg(1, "field", osp, op, oq, -oq), _leg(2, "warehouse", np_, -1, nq, -nq),
                        _leg(3, "warehouse", op, -1, None, oq), _leg(4, "field", nsp, np_, None, nq)]),
         }
-        for family, legs_of in plans.items():
-            d = ok.filter(k.startswith(family + "_"))
+        for prefix, legs_of in plans.items():
+            d = ok.filter(k.startswith(prefix + "_"))
             is_del = k.endswith("_delete")
             ordered += [_explode_legs(d.filter(is_del), legs_of["delete"]),
                         _explode_legs(d.filter(~is_del & F.col("same_pair") & (dq > 0)), legs_of["up_pos"]),
@@ -366,20 +386,15 @@ def _window_flags(active: DataFrame) -> DataFrame:
                     (F.col("need").isNotNull() & (high < F.col("need"))).alias("_fail")))
 
 
-def _scan_flags(active: DataFrame, prev: DataFrame | None) -> DataFrame:
+def _scan_flags(active: DataFrame, prev: DataFrame) -> DataFrame:
     """Per open leg ``_ok``/``_fail`` from the per-key scan, using the
     previous round's leg flags (``prev``) to know what other keys said."""
-    if prev is None:
-        n = active.groupBy("cmd_id").agg(F.count(F.lit(1)).alias("_n"))
-        ext = active.join(n, "cmd_id").select("cmd_id", *KEYS, (F.col("_n") == 1).alias("ext_ok"),
-                                              F.lit(False).alias("ext_fail"))
-    else:
-        per_cmd = prev.groupBy("cmd_id").agg(F.sum(F.when(~F.col("_ok"), 1).otherwise(0)).alias("_nok"),
-                                             F.sum(F.when(F.col("_fail"), 1).otherwise(0)).alias("_nf"))
-        ext = prev.join(per_cmd, "cmd_id").select(
-            "cmd_id", *KEYS,
-            ((F.col("_nok") - F.when(~F.col("_ok"), 1).otherwise(0)) == 0).alias("ext_ok"),
-            ((F.col("_nf") - F.when(F.col("_fail"), 1).otherwise(0)) > 0).alias("ext_fail"))
+    per_cmd = prev.groupBy("cmd_id").agg(F.sum(F.when(~F.col("_ok"), 1).otherwise(0)).alias("_nok"),
+                                         F.sum(F.when(F.col("_fail"), 1).otherwise(0)).alias("_nf"))
+    ext = prev.join(per_cmd, "cmd_id").select(
+        "cmd_id", *KEYS,
+        ((F.col("_nok") - F.when(~F.col("_ok"), 1).otherwise(0)) == 0).alias("ext_ok"),
+        ((F.col("_nf") - F.when(F.col("_fail"), 1).otherwise(0)) > 0).alias("ext_fail"))
     x = (active.join(ext, ["cmd_id", *KEYS], "left")
          .select("cmd_id", "ts", *KEYS, "level", "status", "delta",
                  F.coalesce("need", F.lit(0).cast("bigint")).alias("need0"), F.col("need").isNotNull().alias("has_need"),
@@ -389,8 +404,7 @@ def _scan_flags(active: DataFrame, prev: DataFrame | None) -> DataFrame:
     return x.mapInPandas(_make_scan_keys(), _SCAN_SCHEMA)
 
 
-def admit(legs: DataFrame, levels: DataFrame, max_rounds: int = 10_000,
-          commands: DataFrame | None = None, scan_max_legs: int = 1_000_000) -> DataFrame:
+def admit(legs: DataFrame, levels: DataFrame, commands: DataFrame | None = None) -> DataFrame:
     """Exact first-come, all-or-nothing admission of multi-key commands.
 
     ``legs``: (cmd_id, ts, resource, k1, k2, need, delta), one per command
@@ -398,13 +412,13 @@ def admit(legs: DataFrame, levels: DataFrame, max_rounds: int = 10_000,
     absent keys start at 0.  Returns (cmd_id, status, round, method) for
     every command with legs, plus ``commands`` ids without legs as accepted.
 
-    While more than ``scan_max_legs`` legs are open, rounds are window
-    rounds: prefix sums split per (key, day), so a hot key stays spread over
-    many tasks.  Once at most ``scan_max_legs`` legs are open, rounds are
-    per-key scans (``_make_scan_keys``), which use the previous round's leg
-    verdicts and settle long chains in few rounds; a scan task streams at
-    most ``scan_max_legs`` rows even if every open leg is on one key.  Both
-    kinds are exact and each round settles at least one command."""
+    The rounds are the same for every batch size.  The first takes prefix sums
+    split by ranges of (key, order), which settle all legs without contention
+    (most) with a hot key spread over many tasks.  The later ones scan what is left
+    of each key in order (``_make_scan_keys``) with the previous round's leg
+    verdicts and settle long chains in few rounds; a scan streams a key with two
+    numbers of state, never holds it.  Both are exact and each settles at least
+    the earliest open command."""
     spark = legs.sparkSession
     ensure_checkpoint_dir(spark)
     # One row per key; written once so the rounds do not recompute it.
@@ -418,16 +432,13 @@ def admit(legs: DataFrame, levels: DataFrame, max_rounds: int = 10_000,
     zero = F.lit(0).cast("bigint")
     decided: list[DataFrame] = []
     n_open = legs.count()
-    rnd, prev_flags, scanning = 0, None, n_open <= scan_max_legs
-    while True:
+    rnd, prev_flags, scanning = 0, None, False
+    while n_open:
         rnd += 1
         t_round = time.perf_counter()
-        if rnd > max_rounds:
-            raise RuntimeError(f"admission did not finish in {max_rounds} rounds")
         method = "scan" if scanning else "window"
         flags = _scan_flags(active, prev_flags) if scanning else _window_flags(active)
-        if scanning or n_open <= 4 * scan_max_legs:
-            flags = materialize(flags, "admit-flags")  # read again by the next scan round
+        flags = materialize(flags, "admit-flags")  # read again by the next round
         verdict = (flags.groupBy("cmd_id")
                    .agg(F.bool_and("_ok").alias("all_ok"), F.bool_or("_fail").alias("any_fail"))
                    .select("cmd_id", F.when(F.col("any_fail"), F.lit(_REJ)).when(F.col("all_ok"), F.lit(_ACC))
@@ -450,15 +461,12 @@ def admit(legs: DataFrame, levels: DataFrame, max_rounds: int = 10_000,
                   .withColumn("level", F.col("level") + F.coalesce("_fold", zero))
                   .drop("_fold"))
         active = materialize(active, "admit-active")
-        n_open = active.filter(F.col("status") == _OPEN).count()
+        before_round, n_open = n_open, active.filter(F.col("status") == _OPEN).count()
+        if n_open >= before_round:
+            raise RuntimeError("an admission round settled nothing")
         log.info("admission round %d (%s): %d legs still open (flags %.1fs, state %.1fs)", rnd, method, n_open,
                  t_verdict - t_round, time.perf_counter() - t_verdict)
-        if n_open == 0:
-            break
-        scanning = n_open <= scan_max_legs
-        # A scan round reads the previous round's leg verdicts; after a
-        # window round those are the (lazy) window flags of that round.
-        prev_flags = flags if scanning else None
+        scanning, prev_flags = True, flags
     empty = spark.createDataFrame([], "cmd_id bigint, new_status int, round int, method string")
     out = _union(decided, empty)
     out = out.select("cmd_id", F.when(F.col("new_status") == _ACC, ACCEPTED).otherwise(REJECTED).alias("status"),
@@ -472,8 +480,8 @@ def admit(legs: DataFrame, levels: DataFrame, max_rounds: int = 10_000,
 
 def admit_single(legs: DataFrame, levels: DataFrame, **kw) -> DataFrame:
     """L4: admission when every command touches one key (checked).  A
-    per-key scan settles every command of a single-key batch in one round
-    (window rounds first while the batch exceeds ``scan_max_legs``)."""
+    per-key scan settles every command of a single-key batch in one round,
+    the second."""
     multi = legs.groupBy("cmd_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).limit(1).count()
     if multi:
         raise ValueError("admit_single needs commands with exactly one leg; use admit")
@@ -489,6 +497,9 @@ def accepted_deltas(legs: DataFrame, decisions: DataFrame) -> DataFrame:
 def decide(commands: DataFrame, t: Tables, **kw) -> tuple[DataFrame, DataFrame]:
     """L3 + L5: decisions for a command batch against the stored state.
 
+    A command that refers to a fact which an earlier command of the same batch
+    deletes is rejected.  A chain of updates on one fact needs the new values
+    in between: ``commands.apply_commands`` decides such batches.
     Returns (decisions (cmd_id, status, reason), legs)."""
     commands = materialize(commands, "admit-commands")   # read several times below
     legs, rejects = to_legs(commands, t)
