@@ -105,6 +105,18 @@ def _j7n(t):
     return L.sale_detail(t, P.filter_dates(t.sales, "date", FROM, TO).select("id"))
 
 
+@register("sale_detail_items", "J7", sql(f"""
+select s.id, cast(count(i.sale_id) over (partition by s.id) as integer) as n_items,
+  case when i.sale_id is not null then cast(row_number() over (partition by s.id order by i.product_id nulls first, i.quantity nulls first,
+    i.total_price nulls first) - 1 as integer) end as pos, i.product_id, i.quantity, p.name as product_name
+from sales s left join sale_items i on i.sale_id = s.id left join products p on p.id = i.product_id
+where {_between("s.date", FROM, TO)}""", "sales", "sale_items", "products"))
+def _j7i(t):
+    d = L.sale_detail(t, P.filter_dates(t.sales, "date", FROM, TO).select("id"))
+    return d.select("id", F.size("items").alias("n_items"), F.posexplode_outer("items").alias("pos", "it")).select(
+        "id", "n_items", "pos", "it.product_id", "it.quantity", "it.product_name")
+
+
 @register("collections_enriched", "J8", sql(f"""select c.id, c.date, c.shop_id, c.salesperson_id,
   {_m("c.amount", "amount")}, c.payment_method, cast(null as varchar) as reference_number,
   cast(null as varchar) as notes, sh.name as shop_name, sp.name as salesperson_name

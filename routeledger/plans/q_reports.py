@@ -116,14 +116,14 @@ _RISK = """case when s.credit_limit = 0 then 'No Credit' when s.current_balance
 
 
 @register("shop_outstanding", "A7", sql(f"""
-select s.id as shop_id, s.name as shop_name, s.owner_name, cast(null as varchar) as contact_number,
-  {_m("s.current_balance", "current_balance")}, {_m("s.credit_limit", "credit_limit")},
-  r.name as route_name, t.name as town_name, d.name as district_name, {_RISK} as risk_level
-from shops s
-left join routes r on s.route_id = r.id
-left join towns t on s.town_id = t.id
-left join districts d on s.district_id = d.id
-where s.current_balance < 0
+with debtors as (select *, -current_balance as debt from shops where current_balance < 0),
+places as (select r.id as route_id, r.name as route_name from routes r),
+banded as (select d.*, {_RISK.replace("s.", "d.")} as risk_level from debtors d)
+select id as shop_id, name as shop_name, owner_name, cast(null as varchar) as contact_number,
+  {_m("-debt", "current_balance")}, {_m("credit_limit", "credit_limit")}, route_name,
+  (select max(towns.name) from towns where towns.id = banded.town_id) as town_name,
+  (select max(districts.name) from districts where districts.id = banded.district_id) as district_name, risk_level
+from banded left join places using (route_id)
 """, "shops", "routes", "towns", "districts"))
 def _a7(t):
     return R.shop_outstanding(t)
@@ -167,27 +167,28 @@ _URG_RANK = """case when p.stock_quantity = 0 then 0 when p.stock_quantity <= p.
 
 
 @register("low_stock_alerts", "A9", sql(f"""
+with short as (select *, greatest(min_stock_level - stock_quantity, 0) as missing from products where is_active = 1
+               and min_stock_level >= stock_quantity)
 select p.id, p.code, p.name, p.category, p.stock_quantity, p.min_stock_level, {_m("p.unit_price", "unit_price")},
-  p.min_stock_level - p.stock_quantity as deficit, {_m("p.stock_quantity * p.unit_price", "current_value")},
-  {_m("p.min_stock_level * p.unit_price", "target_value")}, {_URG} as urgency, {_URG_RANK} as urgency_rank
-from products p where p.stock_quantity <= p.min_stock_level and p.is_active = 1
+  p.missing as deficit, {_m("(p.min_stock_level - p.missing) * p.unit_price", "current_value")},
+  {_m("(p.stock_quantity + p.missing) * p.unit_price", "target_value")}, {_URG} as urgency, {_URG_RANK} as urgency_rank
+from short p
 """, "products"))
 def _a9(t):
     return R.low_stock_alerts(t)
 
 
 @register("field_stock_distribution", "A10", sql(f"""
+with held as (
+  select ss.salesperson_id, count(distinct ss.product_id) as product_count, sum(ss.quantity) as total_quantity,
+    sum(ss.quantity * p.unit_price) as total_value, avg(cast(p.unit_price as double)) as mean_price,
+    cast(sum(p.unit_price) as double) as price_sum, count(p.unit_price) as priced
+  from salesperson_stock ss left join products p on p.id = ss.product_id group by ss.salesperson_id)
 select sp.id as salesperson_id, sp.name as salesperson_name, sp.code as salesperson_code, sp.vehicle_number,
-  count(distinct ss.product_id) as product_count, cast(coalesce(sum(ss.quantity), 0) as bigint) as total_quantity,
-  {_m("coalesce(sum(ss.quantity * p.unit_price), 0)", "total_value")},
-  coalesce(cast(sum(p.unit_price) as double) / cast(nullif(count(p.unit_price), 0) as double), 0.0)
-    as avg_product_price
-from salespersons sp
-left join salesperson_stock ss on sp.id = ss.salesperson_id
-left join products p on ss.product_id = p.id
-where sp.is_active = 1
-group by sp.id, sp.name, sp.code, sp.vehicle_number
-having coalesce(sum(ss.quantity), 0) > 0
+  held.product_count, cast(held.total_quantity as bigint) as total_quantity, {_m("coalesce(held.total_value, 0)", "total_value")},
+  case when held.priced > 0 then held.price_sum / held.priced else 0.0 end as avg_product_price
+from held join salespersons sp on sp.id = held.salesperson_id and sp.is_active = 1
+where held.total_quantity > 0
 """, "salespersons", "salesperson_stock", "products"))
 def _a10(t):
     return R.field_stock_distribution(t)
@@ -258,25 +259,27 @@ def _a15(t):
 
 
 @register("dashboard_stats", "A16", sql(f"""
-select (select count(*) from products where is_active = 1) as total_products,
-  (select count(*) from salespersons where is_active = 1) as total_salespersons,
-  (select count(*) from shops) as total_shops,
-  (select count(*) from sales where cast(date as date) = {_d(DAY)}) as today_sales,
-  (select {_m("coalesce(sum(total_amount), 0)", "x")} from sales where cast(date as date) = {_d(DAY)})
-    as today_sales_amount,
-  (select {_m("coalesce(sum(amount), 0)", "x")} from collections where cast(date as date) = {_d(DAY)})
-    as today_collections,
-  (select {_m("coalesce(sum(current_balance), 0)", "x")} from shops where current_balance < 0) as total_outstanding
+with facts as (
+  select 'product' as what, 1 as n, 0 as x from products where is_active = 1
+  union all select 'salesperson', 1, 0 from salespersons where is_active = 1
+  union all select 'shop', 1, least(current_balance, 0) from shops
+  union all select 'sale', 1, total_amount from sales where cast(date as date) = {_d(DAY)}
+  union all select 'collection', 1, amount from collections where cast(date as date) = {_d(DAY)})
+select count(*) filter (what = 'product') as total_products, count(*) filter (what = 'salesperson') as total_salespersons,
+  count(*) filter (what = 'shop') as total_shops, count(*) filter (what = 'sale') as today_sales,
+  cast(coalesce(sum(x) filter (what = 'sale'), 0) as double) as today_sales_amount,
+  cast(coalesce(sum(x) filter (what = 'collection'), 0) as double) as today_collections,
+  cast(coalesce(sum(x) filter (what = 'shop'), 0) as double) as total_outstanding
+from facts
 """, "products", "salespersons", "shops", "sales", "collections"))
 def _a16(t):
     return R.dashboard_stats(t, DAY)
 
 
 @register("category_product_counts", "A17", sql("""
-select c.id, c.code, c.value, c.name,
-  coalesce((select count(*) from products p where lower(coalesce(p.category, 'general')) = lower(c.value)), 0)
-    as product_count
-from product_categories c
+with n as (select lower(coalesce(category, 'general')) as k, count(*) as c from products group by 1)
+select pc.id, pc.code, pc.value, pc.name, coalesce(n.c, 0) as product_count
+from product_categories pc left join n on n.k = lower(pc.value)
 """, "product_categories", "products"))
 def _a17(t):
     return R.category_product_counts(t)
