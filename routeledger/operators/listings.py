@@ -322,7 +322,7 @@ def list_records(t: Tables, table: str, equals: dict | None = None, order_by: st
                  limit=None, offset=0, clamp: bool = False) -> DataFrame:
     """Generic filtered listing of one of the twelve allowed tables.
 
-    All rows unless ``limit`` is given; ``clamp`` asks for the interactive rule
+    All rows unless a ``limit`` above 0 is given; ``clamp`` asks for the interactive rule
     (1..1000 rows, ``clamp_limit``)."""
     from ..functions.predicates import filter_equals
     if table not in ORDER_COLUMNS:
@@ -339,7 +339,7 @@ def list_records(t: Tables, table: str, equals: dict | None = None, order_by: st
         df = df.offset(off)
     if clamp:
         return df.limit(clamp_limit(limit))
-    return df if limit is None else df.limit(max(0, int(limit)))
+    return df.limit(int(limit)) if limit and int(limit) > 0 else df
 
 
 def page(df: DataFrame, order: list, limit: int | None = None, offset: int | None = None) -> DataFrame:
