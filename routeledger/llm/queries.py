@@ -54,10 +54,10 @@ def op5_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 SQL["op5_positional_decontamination"] = r"""
 with words as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), w -> w <> '') as ws from documents),
+         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') as ws from documents),
 items as (
   select cast(item_id as varchar) as item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), w -> w <> '') as ws from benchmark),
+         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') as ws from benchmark),
 wins as (
   select distinct item, least(13, len(ws)) as size, array_to_string(list_slice(ws, k, k + least(13, len(ws)) - 1), ' ') as win
   from (select item, ws, unnest(generate_series(1, len(ws) - least(13, len(ws)) + 1)) as k from items where len(ws) > 0)),
@@ -79,6 +79,24 @@ def op6_bottomk_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottomk.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+SQL["op6_bottomk_near_dedup"] = r"""
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+'), lambda w: w <> '') as ws from documents),
+sets as (
+  select distinct doc_id, md5(array_to_string(list_slice(ws, k, k + 4), ' ')) as g
+  from (select doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 4, least(len(ws), 1)))) as k from words)),
+sizes as (select doc_id, count(*) as n from sets group by doc_id),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as c from sets a join sets b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+ways as (select a, b from links union all select b, a from links),
+reach as (select doc_id, doc_id as root from documents union select ways.b, reach.root from reach join ways on ways.a = reach.doc_id),
+named as (select doc_id, min(root) as component_id from reach group by doc_id)
+select d.doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, component_id, d.doc_id = component_id as kept
+from documents d join named using (doc_id) left join sizes using (doc_id)
+"""
+
+
 @register
 def op7_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
