@@ -12,54 +12,61 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routeledger.llm import bottomk, digest_index, packing, positional_index, quality
-from routeledger.llm.common import ship_package, staged, table
+from routeledger.llm.common import drop_work, ship_package, staged, table
+from routeledger.session import materialize
 
 #: The quality vote is not expressible in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
+def _begin(spark: SparkSession) -> None:
+    """A stage begins: its docs have been written, so the work tables of the stage before are done with."""
+    ship_package(spark)
+    drop_work(spark)
+
+
 def _stay(docs: DataFrame, kept: DataFrame, key: Column | None = None) -> DataFrame:
-    """Rows of ``docs`` whose doc_id (and key) is in ``kept(doc_id[, key])``; of rows alike in these, one stays."""
+    """By sort-merge joins at every size: rows of ``docs`` whose doc_id (and key) is in ``kept(doc_id[, key])``; of rows alike in these, one stays."""
     if key is None:
-        return docs.join(kept.select(F.col("doc_id").alias("_doc_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left_semi")
+        return docs.join(kept.select(F.col("doc_id").alias("_doc_id")).distinct().hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left_semi")
     counted = staged(kept.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")), "kept").withColumnsRenamed({"doc_id": "_doc_id", "key": "_key"})
     keyed = docs.withColumn("__key", key)
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("__key") == F.col("_key"))
-    once = keyed.join(counted.where("n = 1"), same, "left_semi")
+    once = keyed.join(counted.where("n = 1").hint("merge"), same, "left_semi")
     again = keyed.join(counted.where("n > 1"), same, "left_semi").dropDuplicates(["doc_id", "__key"])
     return once.unionByName(again).drop("__key")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the vote predicts to be good."""
-    ship_package(spark)
+    _begin(spark)
     scores = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
     return _stay(docs, staged(scores.where("predicted = 1").select("doc_id"), "good"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal normalised texts the one with the least doc_id."""
-    ship_package(spark)
+    _begin(spark)
     kept = digest_index.exact_duplicates(docs).where("kept").select("doc_id", F.col("text_sha256").alias("key"))
     return _stay(docs, kept, F.lower(F.hex(digest_index.digest(F.col("text").cast("string")))))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate group the document with the least doc_id."""
-    ship_package(spark)
+    _begin(spark)
     return _stay(docs, bottomk.near_duplicates(docs).where("kept"))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by the benchmark."""
-    ship_package(spark)
+    _begin(spark)
     found = positional_index.contamination(docs, table(spark, sf_dir, "benchmark"))
     return _stay(docs, staged(found.where("not contaminated").select("doc_id"), "clean"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents that are left, packed."""
-    ship_package(spark)
+    _begin(spark)
     return packing.pack_documents(docs)
 
 
@@ -71,5 +78,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order over the documents of ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
     return STAGES[-1][1](spark, docs, sf_dir)

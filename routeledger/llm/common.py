@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, materialize
+from ..session import ensure_checkpoint_dir
 
 #: Bytes of text that one numpy step works on; intermediate arrays are a few dozen times as large.
 BLOCK_BYTES = 1 << 20
@@ -26,14 +26,28 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+#: Folders that this application has written below the checkpoint folder and not dropped yet.
+_WORK: list[str] = []
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once below ``spark.checkpoint.dir`` and read back (lineage ends there)."""
-    return materialize(df, f"llm-{label}")
+    path = work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def work_path(spark: SparkSession, label: str) -> str:
     import uuid
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/routeledger/llm-{label}-{uuid.uuid4().hex}"
+    _WORK.append(f"{ensure_checkpoint_dir(spark).rstrip('/')}/routeledger/llm-{label}-{uuid.uuid4().hex}")
+    return _WORK[-1]
+
+
+def drop_work(spark: SparkSession) -> None:
+    """Delete the work folders written so far: for callers whose results have all been written elsewhere."""
+    while _WORK:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WORK.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
