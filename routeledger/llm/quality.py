@@ -72,13 +72,16 @@ def _rows(col: pa.Array):
 
 
 class QualityModel:
-    """idf, projection and labelled vectors; ``rate`` is the share of label 1 among all labelled rows."""
+    """idf, projection and labelled vectors; ``rate`` is the share of label 1 among all labelled rows.
+
+    ``x`` (rows x DIM) is weighted in place, the one large array of the fit."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, rate: float, rank: int = RANK):
         self.rate = rate
         self.y = y.astype(np.float32)
-        self.idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 1
-        x = self._weigh(x)
+        self.idf = np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))).astype(np.float32) + 1
+        x *= self.idf
+        x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
         rng = np.random.default_rng(7)
         q = rng.standard_normal((x.shape[1], min(rank + 16, max(len(x), 1)))).astype(np.float32)
         for _ in range(4):
@@ -130,11 +133,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Quali
 
     got = sample.mapInArrow(vectors, "y int, x binary").limit(4 * per_class).toArrow()
     y = np.array(got.column("y").to_pylist(), np.float32)
-    x = np.array([np.frombuffer(r, np.float16) for r in got.column("x").to_pylist()], np.float32).reshape(len(y), DIM)
     if len(set(y.tolist())) < 2:
         return None
-    order = np.lexsort((np.array([zlib.crc32(r.tobytes()) for r in x]), y))  # the same model whatever order the rows came in
-    return QualityModel(x[order], y[order], counts[1] / (counts[0] + counts[1]))
+    rows = [r.as_buffer() for r in got.column("x")]
+    order = np.lexsort((np.array([zlib.crc32(r) for r in rows]), y))  # the same model whatever order the rows came in
+    x = np.empty((len(y), DIM), np.float32)
+    for k, i in enumerate(order.tolist()):
+        x[k] = np.frombuffer(rows[i], np.float16)
+    del rows, got
+    return QualityModel(x, y[order], counts[1] / (counts[0] + counts[1]))
 
 
 def score(docs: DataFrame, model: QualityModel | None, threshold: float = THRESHOLD) -> DataFrame:
