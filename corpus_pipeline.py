@@ -8,21 +8,38 @@ A stage judges every row that its predecessor kept.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routeledger.llm import bottomk, digest_index, packing, positional_index, quality
-from routeledger.llm.common import drop_work, ship_package, staged, table
+from routeledger.llm.common import drop_work, ship_package, staged, table, work_mark, work_since
 from routeledger.session import materialize
 
 #: The quality vote is not expressible in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def _begin(spark: SparkSession) -> None:
-    """A stage begins: its docs have been written, so the work tables of the stage before are done with."""
-    ship_package(spark)
-    drop_work(spark)
+#: Work folders of the stage that ran last.
+_LAST: list[str] = []
+
+
+def _stage(first: bool = False):
+    """A stage that begins by dropping the work tables of the one before: that one's rows, its docs, are written by now.
+    The first stage drops nothing."""
+    def deco(fn):
+        @functools.wraps(fn)
+        def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            if not first:
+                drop_work(spark, _LAST)
+            mark = work_mark()
+            out = fn(spark, docs, sf_dir)
+            _LAST[:] = work_since(mark)
+            return out
+        return run_stage
+    return deco
 
 
 def _stay(docs: DataFrame, kept: DataFrame, key: Column | None = None) -> DataFrame:
@@ -37,36 +54,36 @@ def _stay(docs: DataFrame, kept: DataFrame, key: Column | None = None) -> DataFr
     return once.unionByName(again).drop("__key")
 
 
+@_stage(first=True)
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the vote predicts to be good."""
-    _begin(spark)
     scores = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
     return _stay(docs, staged(scores.where("predicted = 1").select("doc_id"), "good"))
 
 
+@_stage()
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal normalised texts the one with the least doc_id."""
-    _begin(spark)
     kept = digest_index.exact_duplicates(docs).where("kept").select("doc_id", F.col("text_sha256").alias("key"))
     return _stay(docs, kept, F.lower(F.hex(digest_index.digest(F.col("text").cast("string")))))
 
 
+@_stage()
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate group the document with the least doc_id."""
-    _begin(spark)
     return _stay(docs, bottomk.near_duplicates(docs).where("kept"))
 
 
+@_stage()
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by the benchmark."""
-    _begin(spark)
     found = positional_index.contamination(docs, table(spark, sf_dir, "benchmark"))
     return _stay(docs, staged(found.where("not contaminated").select("doc_id"), "clean"))
 
 
+@_stage()
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents that are left, packed."""
-    _begin(spark)
     return packing.pack_documents(docs)
 
 

@@ -26,7 +26,7 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-#: Folders that this application has written below the checkpoint folder and not dropped yet.
+#: Folders that this application has written below the checkpoint folder.
 _WORK: list[str] = []
 
 
@@ -43,10 +43,19 @@ def work_path(spark: SparkSession, label: str) -> str:
     return _WORK[-1]
 
 
-def drop_work(spark: SparkSession) -> None:
-    """Delete the work folders written so far: for callers whose results have all been written elsewhere."""
-    while _WORK:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WORK.pop())
+def work_since(mark: int) -> list[str]:
+    """Work folders named after the first ``mark`` of them."""
+    return _WORK[mark:]
+
+
+def work_mark() -> int:
+    return len(_WORK)
+
+
+def drop_work(spark: SparkSession, folders: list[str]) -> None:
+    """Delete work folders whose results have been written elsewhere."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
