@@ -181,6 +181,39 @@ def test_secret_layers():
     assert secret_scan.scan(cycle)[1] == []
 
 
+def test_secret_layers_to_the_fixpoint():
+    import base64
+    import bz2
+    import gzip
+    import lzma
+    inner = b"see token=abcdefghijk end"
+    b64 = lambda x: base64.b64encode(x).decode()
+    folded = [gzip.compress(zlib.compress(inner)), gzip.compress(gzip.compress(gzip.compress(inner))), lzma.compress(bz2.compress(inner)),
+              gzip.compress(b"first") + gzip.compress(inner), bz2.compress(b"first") + bz2.compress(inner), lzma.compress(b"first") + lzma.compress(inner),
+              gzip.compress(base64.b64encode(gzip.compress(inner))), gzip.compress("token=abcdefghijk".encode("utf-16"))]
+    try:
+        import zstandard
+        folded.append(zstandard.compress(b"first") + zstandard.compress(inner))
+    except ImportError:
+        pass
+    for data in folded:
+        text = f"x {b64(data)} y"
+        assert ("assign", 2, len(text) - 2) in secret_scan.scan(text)[1], data
+    odd = [b"\xa0 ", b"\xff\xfe\x80", "\u00a0\ufeff\u200b".encode(), b"\x00\x1b", b""]
+    for before in odd:
+        for after in odd:
+            assert any(k == "assign" for k, _, _ in secret_scan.scan(b64(before + b" token=abcdefghijk " + after))[1])
+    for code in ("utf-16", "utf-16-le", "utf-16-be", "utf-32", "utf-32-be"):
+        assert any(k == "assign" for k, _, _ in secret_scan.scan(b64("é token=abcdefghijk é".encode(code)))[1]), code
+    run = b64(b"some words before it " + inner + b" and some after")
+    lines = "\n".join(run[k:k + 20] for k in range(0, len(run), 20))
+    (kind, s, e), = secret_scan.scan(f"- {lines}\nEnd")[1]
+    at = run.index(b64(b"some words before it see")) + 32
+    assert kind == "assign" and s == 2 + at + at // 20 and "token=abcdefghijk" in base64.b64decode(lines[s - 2:e - 2].replace("\n", "")).decode()
+    many = gzip.compress(b"-" * 5000 + inner + b"-" * 5000)
+    assert secret_scan.scan(b64(many), most=1000)[1][0][0] == "assign" and secret_scan.scan(b64(many), most=1000)[3] == 1
+
+
 def test_personal_data(docs):
     got = [tuple(r) for r in pii.personal_data(docs).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans").collect()]
     want = []
