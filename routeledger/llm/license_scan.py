@@ -16,13 +16,12 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Short public licence notices by SPDX identifier.
-TEMPLATES = [
+#: Public licence texts by SPDX identifier, as notices, as paragraphs and (in comments without blank lines) whole.
+NOTICES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
     ("BSD-2-Clause", "Released under the BSD 2-Clause License"),
@@ -43,10 +42,56 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 ]
+
+_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS'
+_MIT = ('Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        _AS_IS + " OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.")
+_ISC = ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.')
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.')
+_APACHE = ('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+           "http://www.apache.org/licenses/LICENSE-2.0",
+           'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.')
+_MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+_UNLICENSE = ("This is free and unencumbered software released into the public domain.",
+              "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+              "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.")
+
+
+def _gnu(name: str, title: str, version: str, date: str) -> list[tuple[str, str]]:
+    """The title of a GNU licence's text, and the header of files under it."""
+    what = "library" if version == "2.1" else "program"
+    full = f"GNU {title}General Public License"
+    header = (f"This {what} is free software: you can redistribute it and/or modify it under the terms of the {full} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.",
+              f"This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {full} for more details.",
+              f"You should have received a copy of the {full} along with this {what}. If not, see <https://www.gnu.org/licenses/>.")
+    return [(name, f"{full} Version {version}, {date}"), (name, header[0]), (name, " ".join(header))]
+
+
+TEMPLATES = [
+    *NOTICES,
+    *(("MIT", t) for t in (*_MIT, " ".join(_MIT))),
+    *(("ISC", t) for t in (*_ISC, " ".join(_ISC))),
+    ("BSD-2-Clause", " ".join((*_BSD[:3], _BSD[4]))), ("BSD-3-Clause", _BSD[3]), ("BSD-3-Clause", " ".join(_BSD)),
+    *(("Apache-2.0", t) for t in ("Apache License Version 2.0, January 2004 http://www.apache.org/licenses/", _APACHE[0], _APACHE[2], " ".join(_APACHE))),
+    *_gnu("GPL-2.0", "", "2", "June 1991"), *_gnu("GPL-3.0", "", "3", "29 June 2007"), *_gnu("AGPL-3.0", "Affero ", "3", "19 November 2007"),
+    *_gnu("LGPL-2.1", "Lesser ", "2.1", "February 1999"), *_gnu("LGPL-3.0", "Lesser ", "3", "29 June 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"), ("MPL-2.0", _MPL),
+    *(("Unlicense", t) for t in _UNLICENSE[1:]),
+]
 #: dice >= THRESHOLD[0] / THRESHOLD[1].
 THRESHOLD = (4, 5)
 
 
+#: Short words that are as rare as words longer by so many letters.
+_RARE = {"cc": 9, "cc0": 9, "gnu": 9, "mpl": 9, "apache": 9, "bsd": 9, "mozilla": 9}
+
+
 def _words(text: str) -> list[str]:
     return re.findall("[a-z0-9]+", text.lower())
 
@@ -57,15 +102,19 @@ def _pairs(text: str) -> set[str]:
 
 
 def anchors(templates: list[tuple[str, str]], threshold: tuple[int, int]) -> list[str]:
-    """Words of which every text at the threshold holds one: of each template, one word of each pair of a
-    set of pairs that is too large to be missing."""
+    """Words of which every text at the threshold holds one: of each template, words (the longest
+    and those chosen before first) that stand in more of its pairs than may be missing."""
     num, den = threshold
-    uses = Counter(w for _, t in templates for w in set(_words(t)))
-    out = set()
-    for _, t in templates:
-        pairs = sorted(_pairs(t), key=lambda p: (-max(len(w) - 2 * uses[w] for w in p.split()), p))
+    out: set[str] = set()
+    for _, t in sorted(templates, key=lambda x: (len(x[1]), x)):
+        pairs = {p: p.split() for p in _pairs(t)}
         may_miss = len(pairs) - -(-len(pairs) * num // (2 * den - num))
-        out |= {max(p.split(), key=lambda w: (len(w) - 2 * uses[w], w)) for p in pairs[:may_miss + 1]}
+        left = [p for p in pairs.values() if not out & set(p)]
+        for w in sorted(set(_words(t)) - out, key=lambda w: (not w.isalpha(), -len(w) - _RARE.get(w, 0), w)):
+            if len(pairs) - len(left) > may_miss:
+                break
+            out.add(w)
+            left = [p for p in left if w not in p]
     return sorted(out)
 
 

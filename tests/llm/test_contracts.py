@@ -265,6 +265,27 @@ def test_licence_variants(corpus_spark):
     assert got == {1: "MIT", 2: "CC-BY-NC-4.0", 3: "", 4: "Apache-2.0,GPL-2.0"}
 
 
+def test_licence_texts(corpus_spark):
+    """Canonical texts, as they stand in files: a line a paragraph, wrapped, and in comments."""
+    import textwrap
+    mit = ["MIT License", "Copyright (c) 2020 A. Person", *license_scan._MIT]
+    isc = ["ISC License", "Copyright (c) 2020 A. Person", *license_scan._ISC]
+    bsd2, bsd3 = ["Copyright (c) 2020, A. Person", *license_scan._BSD[:3], license_scan._BSD[4]], ["Copyright (c) 2020, A. Person", *license_scan._BSD]
+    gpl = ["This file is part of Thing.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+           "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details."]
+    wrapped = lambda ps: "\n\n".join(textwrap.fill(p, 72) for p in ps)
+    comment = lambda ps: "\n".join(" * " + x for x in wrapped(ps).split("\n"))
+    want = {}
+    for name, ps, shapes in (("MIT", mit, ("\n".join, wrapped, comment)), ("ISC", isc, ("\n".join, wrapped, comment)), ("GPL-2.0", gpl, ("\n".join, wrapped)),
+                             ("BSD-2-Clause", bsd2, (comment,)), ("BSD-3-Clause", bsd3, ("\n".join, wrapped, comment)), ("Apache-2.0", license_scan._APACHE, ("\n".join, wrapped, comment)),
+                             ("GPL-3.0", ["GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007"], ("\n\n".join,)), ("MPL-2.0", [license_scan._MPL], (wrapped, comment))):
+        for shape in shapes:
+            want[len(want)] = (name, f"#include <x>\n\n{shape(ps)}\n\nint main;")
+    rows = [(i, t) for i, (_, t) in want.items()]
+    got = {r["doc_id"]: r["licences"] for r in license_scan.licenses(corpus_spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: n for i, (n, _) in want.items()}
+
+
 def test_quality_held_out(corpus_spark):
     d = "/root/testdata/sf0.01"
     docs, labels = corpus_spark.read.parquet(f"{d}/documents.parquet"), corpus_spark.read.parquet(f"{d}/labels.parquet")
