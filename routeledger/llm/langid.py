@@ -5,7 +5,8 @@ its byte pieces, so that every word can be spelled).  A word's probability is th
 over all its segmentations into pieces, by the forward algorithm; a text's is the
 product over its words.  Since words are independent, each distinct word of a block is
 scored once, for all languages together, and all words of a length step through
-the algorithm side by side.
+the algorithm side by side.  Long words, and words so improbable that their products
+could leave the range of a double, are scored in logarithms.
 
 Learning takes one expectation step over every training text: the forward-backward
 posteriors of the pieces under equal piece probabilities, summed per language.
@@ -26,10 +27,12 @@ from .quality import held_out
 from .tokens import tokenizer_file
 
 VOCABULARY, SMOOTHING, UNDETERMINED = "piece_bpe_32k.model", 0.05, "und"
-#: Bytes of a word (a longer one is scored as runs of that many), and of text between two counts of distinct words.
+#: Bytes of a word (with its blank) that steps through in products, and of text between two counts of distinct words.
 LONGEST, BLOCK = 40, 8 << 20
-#: Scales the probabilities per byte, so that products of 40 bytes stay within a double.
-_SCALE = 64.0
+#: Bytes of long words side by side; a letter run of more is scored as runs of that many.
+LONG_BYTES = 1 << 20
+#: Scales the probabilities per byte; a product of 40 bytes above _LEAST has lost nothing to underflow.
+_SCALE, _LEAST = 64.0, 1e-200
 
 _LETTERS = np.ones(256, bool)
 _LETTERS[65:91] = _LETTERS[97:123] = _LETTERS[128:] = False
@@ -75,6 +78,26 @@ class Pieces:
                     out.append((s, e, rows, self.ids[i[rows]]))
         return out
 
+    def long_lattice(self, words: np.ndarray, lens: np.ndarray):
+        """The same of words of ``lens`` bytes, padded: in few steps for long words, of which there may be few."""
+        n, length = words.shape
+        up, down = W._powers(length + 1)
+        sums = np.zeros((n, length + 1), np.uint64)
+        np.cumsum((words.astype(np.uint64) + np.uint64(1)) * up[:length], axis=1, out=sums[:, 1:])
+        found = []
+        for k in range(1, min(self.longest, length) + 1):
+            h = W.mix((sums[:, k:] - sums[:, :-k]) * down[:length - k + 1] + np.uint64(k * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
+            i = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            rows, at = np.nonzero(self.hashes[i] == h)
+            inside = at + k <= lens[rows]
+            rows, at = rows[inside], at[inside]
+            found.append((at, at + k, rows, self.ids[i[rows, at]]))
+        s, e, rows, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((rows, s, e))
+        s, e, rows, ids = s[order], e[order], rows[order], ids[order]
+        cuts = np.flatnonzero((np.diff(s) != 0) | (np.diff(e) != 0)) + 1
+        return [(int(s[a]), int(e[a]), rows[a:b], ids[a:b]) for a, b in zip([0, *cuts], [*cuts, len(s)], strict=True)]
+
 
 @functools.cache
 def pieces(name: str) -> Pieces:
@@ -96,19 +119,19 @@ def _words(data: np.ndarray, offsets: np.ndarray):
     end = inside.copy()
     end[:-1] &= ~inside[1:] | edge[1:]
     ends = np.flatnonzero(end) + 1
-    long = ends - starts > LONGEST - 1
+    long = ends - starts > LONG_BYTES
     if long.any():
-        cut = [np.arange(a, b, LONGEST - 1) for a, b in zip(starts[long], ends[long], strict=True)]
+        cut = [np.arange(a, b, LONG_BYTES) for a, b in zip(starts[long], ends[long], strict=True)]
         starts = np.sort(np.concatenate([starts[~long], *cut]))
-        ends = np.minimum(starts + LONGEST - 1, ends[np.searchsorted(ends, starts, side="right")])
+        ends = np.minimum(starts + LONG_BYTES, ends[np.searchsorted(ends, starts, side="right")])
     return low, starts, ends, np.searchsorted(starts, offsets)
 
 
 def _by_length(low: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-    """(indices, matrix of words with a blank before them) per word length, at most 20,000 words each."""
+    """(indices, matrix of words with a blank before them) per word length below ``LONGEST``, at most 20,000 words each."""
     lens = ends - starts
     order = np.argsort(lens, kind="stable")
-    for n in np.unique(lens):
+    for n in np.unique(lens[lens < LONGEST]):
         own = order[np.searchsorted(lens[order], n):np.searchsorted(lens[order], n, side="right")]
         for k in range(0, len(own), 20_000):
             part = own[k:k + 20_000]
@@ -126,12 +149,49 @@ def _forward(lattice, n: int, length: int, probs: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def _by_long_length(low: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """(indices, matrix of words with a blank before them, zeros after them, lengths with the blank) of the longer words, those of about the same length together."""
+    lens = ends - starts + 1
+    order = np.flatnonzero(lens > LONGEST)
+    order = order[np.argsort(lens[order], kind="stable")]
+    k = 0
+    while k < len(order):
+        most = int(lens[order[k]]) * 5 // 4
+        own = order[k:min(int(np.searchsorted(lens[order], most, side="right")), k + max(1, LONG_BYTES // 4 // most))]
+        at = np.arange(int(lens[own[-1]]) - 1)
+        m = np.full((len(own), len(at) + 1), 0x20, np.uint8)
+        m[:, 1:] = np.where(at < lens[own][:, None] - 1, low[np.minimum(starts[own][:, None] + at, len(low) - 1)], 0)
+        yield own, m, lens[own]
+        k += len(own)
+
+
+def _log_scores(vocab: Pieces, words: np.ndarray, lens: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """log probability of each word (padded, by ascending length) from the logs of the pieces' probabilities; positions older than a piece aren't kept."""
+    size = vocab.longest + 1
+    alpha = np.full((size, len(words), logs.shape[1]), -np.inf)
+    alpha[0] = 0
+    out, now = np.full((len(words), logs.shape[1]), -np.inf), 0
+    for s, e, rows, ids in vocab.long_lattice(words, lens):
+        if e != now:
+            now = e
+            alpha[e % size] = -np.inf
+        alpha[e % size, rows] = np.logaddexp(alpha[e % size, rows], alpha[s % size, rows] + logs[ids])
+        a, b = np.searchsorted(lens, (e, e + 1))
+        out[a:b] = alpha[e % size, a:b]
+    return out
+
+
 def word_scores(vocab: Pieces, low, starts, ends, probs: np.ndarray) -> np.ndarray:
     """log probability of each word under each language."""
-    out = np.zeros((len(starts), probs.shape[1]))
+    out, logs = np.zeros((len(starts), probs.shape[1])), np.log(probs)
     for own, m in _by_length(low, starts, ends):
-        alpha = _forward(vocab.lattice(m), len(m), m.shape[1], probs)
-        out[own] = np.log(alpha[-1]) - m.shape[1] * np.log(_SCALE)
+        last = _forward(vocab.lattice(m), len(m), m.shape[1], probs)[-1]
+        weak = (last < _LEAST).any(axis=1)
+        out[own] = np.log(np.maximum(last, _LEAST)) - m.shape[1] * np.log(_SCALE)
+        if weak.any():
+            out[own[weak]] = _log_scores(vocab, m[weak], np.full(weak.sum(), m.shape[1]), logs)
+    for own, m, lens in _by_long_length(low, starts, ends):
+        out[own] = _log_scores(vocab, m, lens, logs)
     return out
 
 
@@ -152,6 +212,18 @@ def expected_counts(vocab: Pieces, low, starts, ends, weights: np.ndarray) -> np
             share = alpha[s, rows] * beta[e, rows] * (p * _SCALE ** (e - s)) / alpha[length, rows]
             for k in range(weights.shape[1]):
                 total[:, k] += np.bincount(ids, share * weights[own[rows], k], vocab.size)
+    for own, m, lens in _by_long_length(low, starts, ends):
+        lattice = vocab.long_lattice(m, lens)
+        alpha, beta = (np.full((m.shape[1] + 1, len(m)), -np.inf) for _ in range(2))
+        alpha[0], beta[lens, np.arange(len(m))] = 0, 0
+        for s, e, rows, ids in lattice:
+            alpha[e, rows] = np.logaddexp(alpha[e, rows], alpha[s, rows] + np.log(p))
+        for s, e, rows, ids in reversed(lattice):
+            beta[s, rows] = np.logaddexp(beta[s, rows], beta[e, rows] + np.log(p))
+        used = [(ids, rows, np.exp(alpha[s, rows] + beta[e, rows] + np.log(p) - beta[0, rows])) for s, e, rows, ids in lattice]
+        ids, rows, share = (np.concatenate(x) for x in zip(*used, strict=True))
+        for k in range(weights.shape[1]):
+            total[:, k] += np.bincount(ids, share * weights[own[rows], k], vocab.size)
     return total
 
 
@@ -208,8 +280,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], vocabulary: st
                 if len(starts) and langs:
                     uniq, first, inverse = np.unique(W.span_hashes(low, starts, ends), return_index=True, return_inverse=True)
                     each = word_scores(vocab, low, starts[first], ends[first], p)[inverse]
-                    sums = np.concatenate([np.zeros((1, len(langs))), np.cumsum(each, axis=0)])
-                    logs = sums[at[1:]] - sums[at[:-1]]
+                    some = np.flatnonzero(at[1:] > at[:-1])
+                    logs[some] = np.add.reduceat(each, at[some], axis=0)
                 for r in range(j - i):
                     letters = at[r + 1] > at[r] and langs
                     if letters and not ((data[offsets[i + r]:offsets[i + r + 1]] | 32) - 97 < 26).any():

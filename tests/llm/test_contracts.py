@@ -335,6 +335,45 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(got, np.log([total(0, 0), total(0, 1)]))
 
 
+def test_improbable_and_long_words():
+    """Against a plain forward pass in logarithms; a language of 1e12 pieces has no infinite score."""
+    import numpy as np
+    vocab = langid.pieces(langid.VOCABULARY)
+    rng = np.random.default_rng(2)
+    probs = rng.dirichlet(np.ones(vocab.size), 2).T
+    words = ["ሰላም" * 4, "harbour", "ሰላም" * 40, "harbour" * 30, "ab" * 19 + "c", "ab" * 20, "sea" * 15, "seb" * 15]
+    texts = [w.encode() for w in words]
+    low, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+    starts = ends - [len(t) for t in texts]
+    for p in (probs, probs * [[1e-12, 1.0]]):
+        got = langid.word_scores(vocab, low, starts, ends, p)
+        for t, g in zip(texts, got, strict=True):
+            word = np.frombuffer(b" " + t, np.uint8)[None]
+            alpha = np.full((word.shape[1] + 1, 2), -np.inf)
+            alpha[0] = 0
+            for s, e, _, ids in vocab.lattice(word):
+                alpha[e] = np.logaddexp(alpha[e], alpha[s] + np.log(p[ids[0]]))
+            assert np.isfinite(g).all() and np.allclose(g, alpha[-1], rtol=1e-12)
+    uses = langid.expected_counts(vocab, low, starts, ends, np.ones((len(words), 1)))[:, 0]
+    lens = np.zeros(vocab.size)
+    for t in texts:
+        for s, e, _, ids in vocab.lattice(np.frombuffer(b" " + t, np.uint8)[None]):
+            lens[ids] = e - s
+    assert np.isclose((uses * lens).sum(), len(low) + len(words))  # every byte is covered once
+
+
+def test_language_after_improbable_text(corpus_spark):
+    import numpy as np
+    vocab = langid.pieces(langid.VOCABULARY)
+    probs = np.full((vocab.size, 2), 1e-14)
+    probs[:100, 1] = 1e-3
+    docs = corpus_spark.createDataFrame([(1, "ሰላምሰላምሰላምሰላም" * 3), (2, "plain words"), (3, "more of them")], "doc_id long, text string").coalesce(1)
+    got = langid.predict(docs, (["aa", "bb"], probs)).collect()
+    alone = langid.predict(docs.where("doc_id > 1"), (["aa", "bb"], probs)).collect()
+    assert all(0.5 <= r["score"] <= 1 for r in got)
+    same([(r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in got if r["doc_id"] > 1], [(r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in alone])
+
+
 @pytest.mark.parametrize("run", [
     lambda d: digest_index.exact_duplicates(d), lambda d: bottomk.near_duplicates(d), lambda d: packing.pack_documents(d), lambda d: secret_scan.secrets(d),
     lambda d: pii.personal_data(d), lambda d: license_scan.licenses(d), lambda d: positional_index.contamination(d, d.selectExpr("doc_id as item_id", "text"))])
