@@ -42,10 +42,22 @@ def _stage(first: bool = False):
     return deco
 
 
-def _stay(docs: DataFrame, kept: DataFrame, key: Column | None = None) -> DataFrame:
-    """By sort-merge joins at every size: rows of ``docs`` whose doc_id (and key) is in ``kept(doc_id[, key])``; of rows alike in these, one stays."""
-    if key is None:
-        return docs.join(kept.select(F.col("doc_id").alias("_doc_id")).distinct().hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left_semi")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` written with a number for each row, which stands for the doc_id in a stage's verdicts: doc_ids may be null or repeated."""
+    return staged(docs.withColumn("__key", F.monotonically_increasing_id()), "keyed")
+
+
+def _by_key(keyed: DataFrame) -> DataFrame:
+    return keyed.select(F.col("__key").alias("doc_id"), "text")
+
+
+def _rows_of(keyed: DataFrame, kept: DataFrame) -> DataFrame:
+    """By a sort-merge join at every size: the rows whose number is in ``kept(doc_id)``."""
+    return keyed.join(kept.select(F.col("doc_id").alias("_key")).hint("merge"), F.col("__key") == F.col("_key"), "left_semi").drop("__key")
+
+
+def _stay(docs: DataFrame, kept: DataFrame, key: Column) -> DataFrame:
+    """By sort-merge joins at every size: rows of ``docs`` whose doc_id and key are in ``kept(doc_id, key)``; of rows alike in these, one stays."""
     counted = staged(kept.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")), "kept").withColumnsRenamed({"doc_id": "_doc_id", "key": "_key"})
     keyed = docs.withColumn("__key", key)
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("__key") == F.col("_key"))
@@ -57,8 +69,9 @@ def _stay(docs: DataFrame, kept: DataFrame, key: Column | None = None) -> DataFr
 @_stage(first=True)
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the vote predicts to be good."""
-    scores = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
-    return _stay(docs, staged(scores.where("predicted = 1").select("doc_id"), "good"))
+    keyed = _keyed(docs)
+    scores = quality.score(_by_key(keyed), quality.fit(docs, table(spark, sf_dir, "labels")))
+    return _rows_of(keyed, staged(scores.where("predicted = 1").select("doc_id"), "good"))
 
 
 @_stage()
@@ -70,15 +83,20 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage()
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document with the least doc_id."""
-    return _stay(docs, bottomk.near_duplicates(docs).where("kept"))
+    """Of each near-duplicate group the document with the least doc_id (a null one last), one row."""
+    keyed = _keyed(docs)
+    groups = bottomk.near_duplicates(_by_key(keyed)).select(F.col("doc_id").alias("__key"), "component_id")
+    named = keyed.select("__key", F.col("doc_id").cast("long").alias("doc_id")).hint("merge").join(groups, "__key")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")).alias("first"))
+    return _rows_of(keyed, staged(first.select(F.col("first.__key").alias("doc_id")), "firsts"))
 
 
 @_stage()
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by the benchmark."""
-    found = positional_index.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _stay(docs, staged(found.where("not contaminated").select("doc_id"), "clean"))
+    keyed = _keyed(docs)
+    found = positional_index.contamination(_by_key(keyed), table(spark, sf_dir, "benchmark"))
+    return _rows_of(keyed, staged(found.where("not contaminated").select("doc_id"), "clean"))
 
 
 @_stage()
