@@ -149,9 +149,11 @@ def _search(postings: DataFrame, wins: DataFrame, slop: int | None) -> DataFrame
         places = flat[np.repeat(first[tab[:, 0]] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())] if len(live) else flat[:0]
         if slop is None:
             places = places - off[win, 0]
+            inside = places >= 0  # the rarest term stands nearer to the block's start than in the window
+            win, places = win[inside], places[inside]
         for c in range(1, width):
             if slop is None:
-                want = tab[win, c] << 34 | np.maximum(places + off[win, c], 0)
+                want = tab[win, c] << 34 | places + off[win, c]
                 at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
                 ok = keys[at] == want
             else:

@@ -140,6 +140,14 @@ def test_contamination(corpus_spark, docs):
     same([tuple(r) for r in got.collect()], B.contamination(B.rows(docs), [tuple(r) for r in items.collect()]))
 
 
+def test_contamination_at_the_start_of_a_block(corpus_spark):
+    """A window of a repeated word, of which the first document starts with the tail only."""
+    docs = corpus_spark.createDataFrame([(1, "no no yes and some words"), (2, "ships wait here"), (3, "no " * 12 + "yes"), (4, "words at the end one two")], "doc_id long, text string").coalesce(1)
+    items = corpus_spark.createDataFrame([(1, "no " * 12 + "yes"), (2, "one two")], "item_id long, text string")
+    got = positional_index.contamination(docs, items).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    same([tuple(r) for r in got.collect()], B.contamination(B.rows(docs), [tuple(r) for r in items.collect()]))
+
+
 def test_proximity(corpus_spark):
     docs = corpus_spark.createDataFrame([(1, "red a b green c blue"), (2, "red a b c d e f g h green blue"), (3, "blue green red")], "doc_id long, text string")
     path = work_path(corpus_spark, "test-positions")
