@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (bottomk, digest_index, langid, license_scan, packing, pii, positional_index, quality, secret_scan,
-               token_store)
+from . import (bottomk, digest_index, langid, license_scan, maxscore, packing, pii, positional_index, quality, secret_scan,
+               shallot, token_store, whitening)
 from .common import ship_package, table, work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,60 @@ def op10_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op2_layered_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(table(spark, sf_dir, "documents"))
+
+
+@register
+def op11_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+@register
+def op12_shallot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shallot.clusters(table(spark, sf_dir, "embeddings")).drop("second_cluster")
+
+
+def _clusters_sql(k: int = shallot.CENTROIDS, rounds: int = shallot.ROUNDS) -> str:
+    nearest = lambda c: f"""  -- nearest centroid, ties to the smaller number
+a{c} as (select r, arg_min(c, (dist, c)) as c, min(dist) as dist from (
+  select v.r, m.c, sum((v.x - m.x) * (v.x - m.x)) as dist from v join m{c} m on v.d = m.d group by v.r, m.c) group by r),
+"""
+    moved = lambda c: f"""
+m{c + 1} as (select m.c, m.d, coalesce(n.x, m.x) as x from m{c} m left join (
+  select a.c, v.d, cast((sum(v.x) - ((sum(v.x) % count(*)) + count(*)) % count(*)) // count(*) as bigint) as x
+  from a{c} a join v on v.r = a.r group by a.c, v.d) n on n.c = m.c and n.d = m.d),
+"""
+    return f"""
+with kept as (
+  select row_number() over () as r, vec_id, embedding as e from embeddings
+  where len(embedding) = {shallot.SIZE} and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+v as (select r, vec_id, d, cast(floor({shallot.SCALE} * cast(e[d] as double)) as bigint) as x from (select r, vec_id, e, unnest(generate_series(1, {shallot.SIZE})) as d from kept)),
+seeds as (select r, row_number() over (order by sha256('2:' || cast(vec_id as varchar)), r) - 1 as c from kept),
+m0 as (select c, d, x from seeds join v using (r) where c < {k}),
+""" + "".join(nearest(c) + moved(c) for c in range(rounds)) + nearest(rounds) + f"""
+named as (select c, sha256(string_agg(cast(x as varchar), ',' order by d)) as centroid_sha256 from m{rounds} group by c),
+spread as (select c, sum(dist) as s from a{rounds} group by c)
+select k.vec_id, cast(a.c as integer) as cluster, cast(a.dist as bigint) as distance, cast(s.s as bigint) as cluster_inertia,
+       cast((select sum(dist) from a{rounds}) as bigint) as inertia, n.centroid_sha256
+from kept k join a{rounds} a using (r) join spread s on s.c = a.c join named n on n.c = a.c
+"""
+
+
+SQL["op12_shallot_clusters"] = _clusters_sql()
+
+
+@register
+def op13_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op13_maxscore_top_k"] = f"""
+with kept as (
+  select row_number() over () as r, vec_id, embedding as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+v as (select r, vec_id, d, cast(floor({maxscore.SCALE} * cast(e[d] as double)) as bigint) as x from (select r, vec_id, e, unnest(generate_series(1, len(e))) as d from kept)),
+scored as (
+  select q.r, o.r as other, q.vec_id as query_id, o.vec_id, sum(q.x * o.x) as score
+  from v q join v o on q.d = o.d and q.r <> o.r where q.vec_id % {maxscore.EVERY} = 0 group by q.r, o.r, q.vec_id, o.vec_id),
+ranked as (select *, row_number() over (partition by r order by score desc, vec_id nulls last) as rank from scored)
+select query_id, cast(rank as integer) as rank, vec_id, cast(score as bigint) as score from ranked where rank <= {maxscore.TOP}
+"""
