@@ -24,16 +24,18 @@ from .common import drop_work, staged, work_mark, work_since
 from .vectors import blocks, integer_vectors, matrix, pack
 
 SCALE, COMPONENTS = 256, 4
-#: Vectors of one packed block, and bytes of packed vectors that one task of a pass reads.
+#: Vectors of one packed block and bytes of packed vectors that one task of a pass reads.
 ROWS, TASK_BYTES = 4096, 32 << 20
+#: Partial sums that one task, and the driver, adds up.
+FAN = 1024
 #: Relative residual at which a triplet has converged, and singular value (relative to the first) that counts as 0.
 CONVERGED, RANK = 1e-14, 1e-9
 
 _OUT = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
 
 
-def _parts(packed: DataFrame, dim: int, take, width: int, kind: str) -> list:
-    """The sum over all blocks of ``take(block)``, ``width`` numbers: a row from each task, added up by Spark, one row to the driver."""
+def _parts(packed: DataFrame, tasks: int, dim: int, take) -> np.ndarray:
+    """The sum over all blocks of ``take(block)``: tasks add up their own, and groups of ``FAN`` tasks theirs until ``FAN`` rows are left for the driver."""
     def run(batches):
         total = None
         for b in batches:
@@ -41,10 +43,19 @@ def _parts(packed: DataFrame, dim: int, take, width: int, kind: str) -> list:
                 got = take(np.frombuffer(block.as_buffer(), "<i4").reshape(-1, dim))
                 total = got if total is None else total + got
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.int64() if kind == "long" else pa.float64()))], ["t"])
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([total.dtype.str])], ["t", "kind"])
 
-    row = packed.mapInArrow(run, f"t array<{kind}>").agg(*[F.sum(F.col("t")[i]).alias(f"t{i}") for i in range(width)]).first()
-    return [x or 0 for x in row]
+    def add(batches):
+        rows = [(t, kind) for b in batches for t, kind in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        if rows:
+            total = sum(np.frombuffer(t, kind) for t, kind in rows)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([total.dtype.str])], ["t", "kind"])
+
+    got = packed.mapInArrow(run, "t binary, kind string")
+    while tasks > FAN:
+        tasks = -(-tasks // FAN)
+        got = got.repartition(tasks).mapInArrow(add, "t binary, kind string")
+    return sum(np.frombuffer(r["t"], r["kind"]) for r in got.collect())
 
 
 class Fit:
@@ -60,7 +71,7 @@ class Fit:
                 data = matrix(b.column("x").combine_chunks(), dim)
                 yield pa.RecordBatch.from_arrays([pack(data, np.array([0, data.nbytes]))], ["x"])
 
-        tasks = max(spark.sparkContext.defaultParallelism, -(-n * dim * 4 // TASK_BYTES))
+        self.tasks = tasks = max(spark.sparkContext.defaultParallelism, -(-n * dim * 4 // TASK_BYTES))
         self.packed = staged(once.coalesce(tasks).mapInArrow(packing, "x binary"), "blocks").coalesce(tasks)
         drop_work(spark, old)
         self.dim, self.n = dim, n
@@ -70,7 +81,7 @@ class Fit:
             sq = x * x
             return np.concatenate([x.sum(axis=0), [(sq & ((1 << 27) - 1)).sum(), (sq >> 27).sum()]])
 
-        *self.sums, low, high = _parts(self.packed, dim, exact, dim + 2, "long")
+        *self.sums, low, high = _parts(self.packed, tasks, dim, exact).tolist()
         #: n^2 times the trace of the covariance, exact.
         self.spread = n * (low + (high << 27)) - sum(s * s for s in self.sums)
         self.mean = np.array([s / n for s in self.sums]) if n else np.zeros(dim)
@@ -84,7 +95,7 @@ class Fit:
             y = x @ z
             return np.append(y @ x, y @ y)
 
-        got = np.array(_parts(self.packed, self.dim, take, self.dim + 1, "double"))
+        got = _parts(self.packed, self.tasks, self.dim, take)
         return got[:-1], float(got[-1])
 
     def bidiagonalise(self, wanted: int = COMPONENTS) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +170,7 @@ def whitened(rows: DataFrame, components: int = COMPONENTS, scale: int = SCALE)
         y = (x - mean) @ turn
         return np.concatenate([y.sum(axis=0), (y.T @ y).ravel()])
 
-    got = np.array(_parts(fit.packed, dim, moments, keep + keep * keep, "double")) / n
+    got = _parts(fit.packed, fit.tasks, dim, moments) / n
     covariance = got[keep:].reshape(keep, keep) - np.outer(got[:keep], got[:keep])
     error = float(np.abs(covariance - np.eye(keep)).max())
     explained = [float(s * s / (fit.spread / n)) for s in sigma]
