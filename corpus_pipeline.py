@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routeledger.llm import bottomk, digest_index, packing, positional_index, quality
@@ -43,52 +43,48 @@ def _stage(first: bool = False):
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` written with a number for each row, which stands for the doc_id in a stage's verdicts: doc_ids may be null or repeated."""
-    return staged(docs.withColumn("__key", F.monotonically_increasing_id()), "keyed")
+    """``docs`` written as (row, key): whole rows, whatever their columns' names, each with a number that stands for the doc_id in a stage's
+    verdicts (doc_ids may be null or repeated)."""
+    row = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+    return staged(docs.select(row.alias("row"), F.monotonically_increasing_id().alias("key")), "keyed")
 
 
 def _by_key(keyed: DataFrame) -> DataFrame:
-    return keyed.select(F.col("__key").alias("doc_id"), "text")
+    return keyed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text"))
 
 
 def _rows_of(keyed: DataFrame, kept: DataFrame) -> DataFrame:
     """By a sort-merge join at every size: the rows whose number is in ``kept(doc_id)``."""
-    return keyed.join(kept.select(F.col("doc_id").alias("_key")).hint("merge"), F.col("__key") == F.col("_key"), "left_semi").drop("__key")
+    return keyed.join(kept.select(F.col("doc_id").alias("key")).hint("merge"), "key", "left_semi").select("row.*")
 
 
-def _stay(docs: DataFrame, kept: DataFrame, key: Column) -> DataFrame:
-    """By sort-merge joins at every size: rows of ``docs`` whose doc_id and key are in ``kept(doc_id, key)``; of rows alike in these, one stays."""
-    counted = staged(kept.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")), "kept").withColumnsRenamed({"doc_id": "_doc_id", "key": "_key"})
-    keyed = docs.withColumn("__key", key)
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("__key") == F.col("_key"))
-    once = keyed.join(counted.where("n = 1").hint("merge"), same, "left_semi")
-    again = keyed.join(counted.where("n > 1"), same, "left_semi").dropDuplicates(["doc_id", "__key"])
-    return once.unionByName(again).drop("__key")
+def _least(keyed: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of each group of ``groups(key, one)`` the row with the least doc_id (a null one last)."""
+    named = keyed.select("key", F.col("row.doc_id").cast("long").alias("doc_id")).hint("merge").join(groups, "key")
+    first = named.groupBy("one").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
+    return _rows_of(keyed, staged(first.select(F.col("first.key").alias("doc_id")), "firsts"))
 
 
 @_stage(first=True)
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the vote predicts to be good."""
     keyed = _keyed(docs)
-    scores = quality.score(_by_key(keyed), quality.fit(docs, table(spark, sf_dir, "labels")))
+    scores = quality.score(_by_key(keyed), quality.fit(keyed.select("row.doc_id", "row.text"), table(spark, sf_dir, "labels")))
     return _rows_of(keyed, staged(scores.where("predicted = 1").select("doc_id"), "good"))
 
 
 @_stage()
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal normalised texts the one with the least doc_id."""
-    kept = digest_index.exact_duplicates(docs).where("kept").select("doc_id", F.col("text_sha256").alias("key"))
-    return _stay(docs, kept, F.lower(F.hex(digest_index.digest(F.col("text").cast("string")))))
+    """Of equal normalised texts the one with the least doc_id (a null one last), one row."""
+    keyed = _keyed(docs)
+    return _least(keyed, digest_index.exact_duplicates(_by_key(keyed)).select(F.col("doc_id").alias("key"), F.col("keep_id").alias("one")))
 
 
 @_stage()
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate group the document with the least doc_id (a null one last), one row."""
     keyed = _keyed(docs)
-    groups = bottomk.near_duplicates(_by_key(keyed)).select(F.col("doc_id").alias("__key"), "component_id")
-    named = keyed.select("__key", F.col("doc_id").cast("long").alias("doc_id")).hint("merge").join(groups, "__key")
-    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")).alias("first"))
-    return _rows_of(keyed, staged(first.select(F.col("first.__key").alias("doc_id")), "firsts"))
+    return _least(keyed, bottomk.near_duplicates(_by_key(keyed)).select(F.col("doc_id").alias("key"), F.col("component_id").alias("one")))
 
 
 @_stage()

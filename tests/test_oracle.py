@@ -6,7 +6,7 @@ import pytest
 
 from routeledger.plans.catalog import REGISTRY
 from routeledger.plans.compare import compare_one
-from conftest import SF_SMALL
+from small_data import SF_SMALL
 
 ORACLE = sorted(n for n, e in REGISTRY.items() if e.oracle is not None)
 
