@@ -11,15 +11,13 @@ similarity, and votes of a class weigh as the class does among all labelled rows
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as W
-from .common import row_blocks, text_buffer, texts
+from .common import row_blocks, staged, text_buffer, texts
 
 GRAMS, SHAPES, REPEATS = 1 << 12, 1 << 9, 16
 DIM = GRAMS + SHAPES + REPEATS
@@ -92,6 +90,13 @@ class QualityModel:
         share = max(float(self.y.mean()), 1e-6) if len(y) else 1.0
         self.weight = np.where(self.y > 0, rate / share, (1 - rate) / max(1 - share, 1e-6)).astype(np.float32)
 
+    @classmethod
+    def of(cls, rate: float, y, idf, basis, vectors, weight) -> QualityModel:
+        """A model of fitted parts."""
+        model = cls.__new__(cls)
+        model.rate, model.y, model.idf, model.basis, model.vectors, model.weight = rate, y, idf, basis, vectors, weight
+        return model
+
     @staticmethod
     def _unit(x: np.ndarray) -> np.ndarray:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
@@ -113,35 +118,46 @@ class QualityModel:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> QualityModel | None:
     """Model of labels 0 and 1 (None unless both are there).
 
-    Only rows that aren't held out are read; of each class the ``per_class`` documents
-    that come first by a hash of doc_id make the sample (several labels of one document all
-    count).  The class shares come from all labelled rows.
+    Only rows that aren't held out are read; of each class the ``per_class`` labelled documents
+    that come first by a hash of doc_id, then doc_id and features, make the sample (several labels of
+    one document all count).  The class shares come from all labelled rows.  One task of an executor
+    weighs and projects the sample (at most 2 * per_class * DIM numbers); the driver gets
+    basis, vectors and weights alone.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where(
         F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     counts = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     if set(counts) != {0, 1}:
         return None
-    picks = [marks.where(F.col("y") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
-    picked = picks[0].unionByName(picks[1])
-    sample = texts(docs).join(picked, "doc_id").select("y", "text")
+    rate = counts[1] / (counts[0] + counts[1])
+    by = [F.xxhash64("doc_id"), "doc_id"]
+    picked = [marks.where(F.col("y") == c).orderBy(*by).limit(per_class) for c in (0, 1)]
+    sample = texts(docs).join(picked[0].unionByName(picked[1]), "doc_id").select("doc_id", "y", "text")
 
     def vectors(batches):
         for b in batches:
-            for a, x in _rows(b.column(1)):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, len(x)), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], ["y", "x"])
-
-    got = sample.mapInArrow(vectors, "y int, x binary").limit(4 * per_class).toArrow()
-    y = np.array(got.column("y").to_pylist(), np.float32)
-    if len(set(y.tolist())) < 2:
+            for a, x in _rows(b.column(2)):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, len(x)), b.column(1).slice(a, len(x)), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())],
+                                                 ["doc_id", "y", "x"])
+
+    given = staged(sample.mapInArrow(vectors, "doc_id long, y int, x binary"), "quality-sample")
+    parts = [given.where(F.col("y") == c).orderBy(*by, "x").limit(per_class) for c in (0, 1)]
+    bound = parts[0].unionByName(parts[1]).select(F.lit(0).alias("one"), "y", "x")
+
+    def train(part: pa.Table) -> pa.Table:
+        rows = [(y, r.as_buffer()) for y, r in zip(part.column("y").to_pylist(), (r for c in part.column("x").chunks for r in c), strict=True)]
+        rows.sort(key=lambda r: (r[0], r[1].to_pybytes()))  # the same model whatever order the rows came in
+        x = np.empty((len(rows), DIM), np.float32)
+        for k, (_, r) in enumerate(rows):
+            x[k] = np.frombuffer(r, np.float16)
+        m = QualityModel(x, np.array([y for y, _ in rows], np.float32), rate)
+        out = [m.y, m.idf, m.basis, m.vectors, m.weight]
+        return pa.table({"at": pa.array(range(len(out)), pa.int32()), "rows": pa.array([len(o) for o in out], pa.int32()), "v": pa.array([o.astype(np.float32).tobytes() for o in out], pa.binary())})
+
+    got = {r["at"]: np.frombuffer(r["v"], np.float32).reshape(r["rows"], -1) for r in bound.groupBy("one").applyInArrow(train, "at int, rows int, v binary").collect()}
+    if not got or len(set(got[0].ravel().tolist())) < 2:
         return None
-    rows = [r.as_buffer() for r in got.column("x")]
-    order = np.lexsort((np.array([zlib.crc32(r) for r in rows]), y))  # the same model whatever order the rows came in
-    x = np.empty((len(y), DIM), np.float32)
-    for k, i in enumerate(order.tolist()):
-        x[k] = np.frombuffer(rows[i], np.float16)
-    del rows, got
-    return QualityModel(x, y[order], counts[1] / (counts[0] + counts[1]))
+    return QualityModel.of(rate, got[0].ravel(), got[1].ravel(), got[2], got[3], got[4].ravel())
 
 
 def score(docs: DataFrame, model: QualityModel | None, threshold: float = THRESHOLD) -> DataFrame:

@@ -304,6 +304,27 @@ def test_quality_held_out(corpus_spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in got)
 
 
+def test_quality_votes_equal_plain_ones(corpus_spark, documents):
+    # The neighbours by all cosines of one document with every labelled vector, sorted, one document at a time.
+    import numpy as np
+    import pyarrow as pa
+    labels = corpus_spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = quality.fit(documents, labels, per_class=60)
+    again = quality.fit(documents.repartition(7), labels, per_class=60)
+    assert all((getattr(model, f) == getattr(again, f)).all() for f in ("y", "idf", "basis", "vectors", "weight"))
+    got = {r["doc_id"]: r for r in quality.score(documents, model).collect()}
+    for d, t in B.rows(documents):
+        x = next(x for _, x in quality._rows(pa.array([t])))[0]
+        want = model.rate
+        if x.any():
+            v = x * model.idf
+            v = v / np.linalg.norm(v) @ model.basis
+            cos = sorted(((max(float(v @ u / np.linalg.norm(v)), 0.0), k) for k, u in enumerate(model.vectors)), reverse=True)[:quality.NEIGHBOURS]
+            total = sum(c ** quality.POWER * model.weight[k] for c, k in cos)
+            want = sum(c ** quality.POWER * model.weight[k] for c, k in cos if model.y[k] == 1) / total if total else model.rate
+        assert abs(got[d]["score"] - want) < 1e-3 and got[d]["predicted"] == int(got[d]["score"] >= quality.THRESHOLD), d
+
+
 def test_quality_edges(corpus_spark, edge, nothing):
     labels = corpus_spark.createDataFrame([(1, 1, 0), (8, 0, 0), (None, 1, 0), (9, None, 0), (10, 5, 1), (99, 1, 0), (1, 1, 1)], "doc_id long, quality int, toxic int")
     assert quality.score(edge, quality.fit(edge, labels)).count() == edge.count()

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import brute as B
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from routeledger.llm.common import staged
 
@@ -70,3 +72,16 @@ def test_stages_judge_rows_of_null_and_repeated_ids(corpus_spark, edge):
     scored = quality.score(corpus_spark.createDataFrame(list(enumerate(t for _, t in before)), "doc_id long, text string"), model)
     good = {r["doc_id"] for r in scored.collect() if r["predicted"] == 1}
     assert sorted(B.rows(P.quality_stage(corpus_spark, docs, d)), key=key) == sorted((r for k, r in enumerate(before) if k in good), key=key)
+
+
+def test_columns_of_any_name_stay(corpus_spark, edge):
+    d = "/root/testdata/sf0.001"
+    names = ["_key", "__key", "key", "row", "_doc_id", "one", "a.b", "first", "component_id2"]
+    docs = edge
+    for k, n in enumerate(names):
+        docs = docs.withColumn(n, F.lit(k))
+    for name, stage in P.STAGES[:-1]:
+        got = stage(corpus_spark, docs, d)
+        assert got.columns == docs.columns, name
+        rows = got.collect()
+        assert (rows or name == "quality classifier") and all(r[n] == k for r in rows for k, n in enumerate(names)), name
