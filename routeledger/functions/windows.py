@@ -6,6 +6,7 @@ also one whose rows all fall on one day - spreads over as many ranges as its
 share of the rows.  Totals per (key, range) are prefix-summed per key (one row
 per range), and the running sum inside a range is a window partitioned by
 (key, range).  NULL keys and NULL order values are keys and values like others.
+``running_latest`` finds the last value before each row in the same two levels.
 
 ``dense_ids``: consecutive ids ``base + 1 ..`` in a given order without a
 single-partition window: range-partition on the order, number rows inside
@@ -22,33 +23,47 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, str],
-                   inclusive: bool = True) -> DataFrame:
-    """Add one running sum per ``values`` item (``out -> value column``):
-    the sum over earlier rows of the same key in ``order`` (NULLs first; and the
-    row itself when ``inclusive``).  No row is lost to a NULL key or order."""
+def _running(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, str], inclusive: bool, fold, both) -> DataFrame:
+    """One running ``fold`` per ``values`` item; ``both`` joins the fold of earlier ranges with that inside a range."""
     keys, p = list(keys), "_range"
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Written once, so the totals and the rows come from one evaluation of the ranges.
     from ..session import materialize
     d = materialize(df.repartitionByRange(n, *keys, *order).withColumn(p, F.spark_partition_id()), "ranges")
-    totals = d.groupBy(*keys, p).agg(*[F.sum(v).alias(f"_bt_{o}") for o, v in values.items()])
+    totals = d.groupBy(*keys, p).agg(*[fold(v).alias(f"_bt_{o}") for o, v in values.items()])
     w_b = Window.partitionBy(*keys).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(p).alias("_k_range"),
-                            *[F.coalesce(F.sum(f"_bt_{o}").over(w_b), F.lit(0)).alias(f"_off_{o}") for o in values])
+                            *[fold(f"_bt_{o}").over(w_b).alias(f"_off_{o}") for o in values])
     w_in = (Window.partitionBy(*keys, p).orderBy(*order)
             .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
     for o, v in values.items():
-        d = d.withColumn(f"_in_{o}", F.coalesce(F.sum(v).over(w_in), F.lit(0)))
+        d = d.withColumn(f"_in_{o}", fold(v).over(w_in))
     same = F.col(p) == F.col("_k_range")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     d = d.join(offsets, same)
     for o in values:
-        d = d.withColumn(o, F.col(f"_off_{o}") + F.col(f"_in_{o}"))
+        d = d.withColumn(o, both(F.col(f"_off_{o}"), F.col(f"_in_{o}")))
     return d.drop(p, "_k_range", *[f"_k_{k}" for k in keys], *[f"_in_{o}" for o in values], *[f"_off_{o}" for o in values])
 
 
+def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, str],
+                   inclusive: bool = True) -> DataFrame:
+    """Add one running sum per ``values`` item (``out -> value column``):
+    the sum over earlier rows of the same key in ``order`` (NULLs first; and the
+    row itself when ``inclusive``).  No row is lost to a NULL key or order."""
+    return _running(df, keys, order, values, inclusive, F.sum,
+                    lambda before, inside: F.coalesce(before, F.lit(0)) + F.coalesce(inside, F.lit(0)))
+
+
+def running_latest(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, str]) -> DataFrame:
+    """Add, per ``values`` item, the value of the last earlier row of the same key whose value isn't NULL.
+
+    Each value column is a struct that begins with the ``order`` columns, so the last one is
+    the largest; NULL where no earlier row has one."""
+    return _running(df, keys, order, values, False, F.max, F.greatest)
+
+
 def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
                   out: str = "running", inclusive: bool = True) -> DataFrame:
     """One running sum (see ``running_totals``)."""

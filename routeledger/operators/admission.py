@@ -75,9 +75,37 @@ def family(kind: Column) -> Column:
 
 
 # ---------------------------------------------------------------- L3
-def to_legs(commands: DataFrame, t: Tables) -> tuple[DataFrame, DataFrame]:
+def stored_values(commands: DataFrame, t: Tables) -> dict[str, DataFrame]:
+    """What the facts hold that updates and deletes refer to, per command, as stored:
+    ``sale`` (cmd_id, o_sp, o_shop, o_bal), ``lines`` (cmd_id, product_id, o_q), ``collection``
+    (cmd_id, c_shop, c_amount) and ``move`` (cmd_id, m_sp, m_p, m_q); no row where there is no such fact."""
+    k = F.lower(F.trim("kind"))
+    refs = commands.select("cmd_id", "ref_id", k.alias("kind")).filter(F.col("ref_id").isNotNull())
+    sales = refs.filter(F.col("kind").isin("sale_update", "sale_delete"))
+    facts = lambda df, *cols: df.select(F.col("id").alias("ref_id"), *cols)
+    lines = t.sale_items.groupBy(F.col("sale_id").alias("ref_id"), "product_id").agg(F.sum("quantity").alias("o_q"))
+
+    def moved(name, table, qty):
+        return (refs.filter(F.col("kind").isin(f"{name}_update", f"{name}_delete"))
+                .join(facts(table, F.col("salesperson_id").alias("m_sp"), F.col("product_id").alias("m_p"), F.col(qty).alias("m_q")), "ref_id")
+                .select("cmd_id", "m_sp", "m_p", "m_q"))
+
+    return {
+        "sale": sales.join(facts(t.sales, F.col("salesperson_id").alias("o_sp"), F.col("shop_id").alias("o_shop"),
+                                 F.col("balance_amount").alias("o_bal")), "ref_id").select("cmd_id", "o_sp", "o_shop", "o_bal"),
+        "lines": sales.join(lines, "ref_id").select("cmd_id", "product_id", "o_q"),
+        "collection": refs.filter(F.col("kind") == "collection_delete").join(
+            facts(t.collections, F.col("shop_id").alias("c_shop"), F.col("amount").alias("c_amount")), "ref_id").select("cmd_id", "c_shop", "c_amount"),
+        "move": moved("return", t.stock_returns, "quantity_returned").unionByName(moved("issue", t.stock_issues, "quantity_issued")),
+    }
+
+
+def to_legs(commands: DataFrame, t: Tables, old: dict[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """L3: validate commands, consolidate lines per product, expand to legs.
 
+    ``old``: what the facts that commands refer to hold at each command's turn
+    (``stored_values``, the default, or ``chains.values_at_turn``).
+
     Returns ``(legs, rejects)``: legs ``(cmd_id, ts, resource, k1, k2,
     need, delta)`` with one leg per command and key, and commands refused
     by a shape or reference rule (they consume nothing) with the reasons.
@@ -120,39 +148,24 @@ def to_legs(commands: DataFrame, t: Tables) -> tuple[DataFrame, DataFrame]:
                   .otherwise(0)).alias("bad_product"))
         head = head.join(flags, "cmd_id", "left")
 
-    # Referenced old facts, one left join per family present.
+    # What the referenced facts hold, one left join per family present.
+    old = old or stored_values(cmd, t)
     sale_ref = present & {"sale_update", "sale_delete"}
     coll_ref = "collection_delete" in present
     move_ref = present & {"return_update", "return_delete", "issue_update", "issue_delete"}
     o_active = shops.select(F.col("shop_id").alias("o_shop"), F.col("s_active").alias("o_active"))
     if sale_ref:
-        old = (t.sales.select(F.col("id").alias("ref_id"), F.col("salesperson_id").alias("o_sp"),
-                              F.col("shop_id").alias("o_shop"), F.col("balance_amount").alias("o_bal"),
-                              F.lit(True).alias("s_found"), F.lit("sale").alias("_fam"))
-               .join(o_active, "o_shop", "left"))
-        head = head.join(old, (head["ref_id"] == old["ref_id"]) & k.startswith("sale_"), "left").drop(old["ref_id"])
+        head = head.join(old["sale"].withColumn("s_found", F.lit(True)).join(o_active, "o_shop", "left"), "cmd_id", "left")
     if coll_ref:
-        old = (t.collections.select(F.col("id").alias("ref_id"), F.col("shop_id").alias("c_shop"),
-                                    F.col("amount").alias("c_amount"))
-               .join(o_active.withColumnRenamed("o_shop", "c_shop").withColumnRenamed("o_active", "c_active"),
-                     "c_shop", "left"))
-        head = head.join(old, (head["ref_id"] == old["ref_id"]) & (k == "collection_delete"), "left") \
-                   .drop(old["ref_id"])
+        head = head.join(old["collection"].join(o_active.withColumnsRenamed({"o_shop": "c_shop", "o_active": "c_active"}),
+                                                "c_shop", "left"), "cmd_id", "left")
     if move_ref:
-        def fam(df, qty, name):
-            return df.select(F.col("id").alias("ref_id"), F.col("salesperson_id").alias("m_sp"),
-                             F.col("product_id").alias("m_p"), F.col(qty).alias("m_q"), F.lit(name).alias("m_fam"))
-        old = fam(t.stock_returns, "quantity_returned", "return").unionByName(
-            fam(t.stock_issues, "quantity_issued", "issue"))
-        old = old.join(products.select(F.col("product_id").alias("m_p"), F.col("p_active").alias("m_p_active")),
-                       "m_p", "left")
-        head = head.join(old, (head["ref_id"] == old["ref_id"]) & k.startswith(old["m_fam"]), "left") \
-                   .drop(old["ref_id"])
-        head = head.join(products.select(F.col("product_id").alias("n_p"), F.col("p_active").alias("n_p_active")),
-                         "n_p", "left")
+        moved = old["move"].join(products.select(F.col("product_id").alias("m_p"), F.col("p_active").alias("m_p_active")), "m_p", "left")
+        head = head.join(moved, "cmd_id", "left")
         head = (head.withColumn("n_sp", F.coalesce("salesperson_id", "m_sp"))
                 .withColumn("n_p2", F.coalesce("n_p", "m_p")).withColumn("n_q2", F.coalesce("n_q", "m_q"))
                 .withColumn("same_pair", (F.col("n_sp") == F.col("m_sp")) & (F.col("n_p2") == F.col("m_p"))))
+        head = head.join(products.select(F.col("product_id").alias("n_p2"), F.col("p_active").alias("n_p_active")), "n_p2", "left")
 
     def col_or_null(name):
         return F.col(name) if name in head.columns else F.lit(None)
@@ -226,9 +239,7 @@ def to_legs(commands: DataFrame, t: Tables) -> tuple[DataFrame, DataFrame]:
     if sale_ref:
         s_ok = ok.filter(k.isin("sale_update", "sale_delete"))
         # Restore the old lines and balance, then (update) apply the new sale.
-        old_lines = (t.sale_items.select(F.col("sale_id").alias("ref_id"), "product_id", "quantity")
-                     .groupBy("ref_id", "product_id").agg(F.sum("quantity").alias("o_q")))
-        ordered.append(_explode_legs(s_ok.select("cmd_id", "ts", "ref_id", "o_sp").join(old_lines, "ref_id"),
+        ordered.append(_explode_legs(s_ok.select("cmd_id", "ts", "o_sp").join(old["lines"], "cmd_id"),
                                      [_leg(1, "field", F.col("o_sp"), F.col("product_id"), None, F.col("o_q"))]))
         ordered.append(_explode_legs(s_ok.filter(F.col("o_bal") > 0),
                                      [_leg(2, "debt", F.col("o_shop"), -1, None, -F.col("o_bal"))]))
@@ -494,15 +505,15 @@ def accepted_deltas(legs: DataFrame, decisions: DataFrame) -> DataFrame:
     return legs.join(ok, "cmd_id", "left_semi").select(*KEYS, "delta")
 
 
-def decide(commands: DataFrame, t: Tables, **kw) -> tuple[DataFrame, DataFrame]:
+def decide(commands: DataFrame, t: Tables, old: dict[str, DataFrame] | None = None, **kw) -> tuple[DataFrame, DataFrame]:
     """L3 + L5: decisions for a command batch against the stored state.
 
     A command that refers to a fact which an earlier command of the same batch
     deletes is rejected.  A chain of updates on one fact needs the new values
-    in between: ``commands.apply_commands`` decides such batches.
+    in between: ``chains.settle`` decides such batches, with ``old`` at each command's turn.
     Returns (decisions (cmd_id, status, reason), legs)."""
     commands = materialize(commands, "admit-commands")   # read several times below
-    legs, rejects = to_legs(commands, t)
+    legs, rejects = to_legs(commands, t, old)
     legs = materialize(legs, "admit-legs")
     dec = admit(legs, opening_levels(t), commands=commands.join(rejects, "cmd_id", "left_anti"), **kw)
     out = (dec.select("cmd_id", "status", F.lit(None).cast("string").alias("reason"))
