@@ -33,11 +33,10 @@ from ..functions.windows import dense_ids, running_totals
 from ..schema import MONEY
 from ..session import ensure_checkpoint_dir, materialize
 from ..tables import Tables
+from .hotkeys import KEYS, ORDER, split_hot_keys
 
 log = logging.getLogger(__name__)
 
-KEYS = ["resource", "k1", "k2"]
-ORDER = ["ts", "cmd_id"]
 ACCEPTED, REJECTED, OPEN = "accepted", "rejected", "open"
 
 # The command kinds of the batch interface.
@@ -319,21 +318,24 @@ _OPEN, _ACC, _REJ = 0, 1, 2
 _SCAN_SCHEMA = "cmd_id long, resource string, k1 long, k2 long, _ok boolean, _fail boolean"
 
 
-def _make_scan_keys():
+def _make_scan_keys(incoming=None):
     """The scan as a closure: cloudpickle ships it by value, so executors
-    need only numpy and pandas, not this package."""
-    accepted = _ACC
+    need only numpy and pandas, not this package.
+
+    ``incoming``: (lowest, highest) level before a part of a split key, by (key, part)."""
+    accepted, incoming = _ACC, incoming or {}
 
     def scan_keys(batches):
         """Per-key sequential bound scan (runs inside ``mapInPandas``).
 
-        Rows arrive hash-partitioned by key and sorted by (key, ts, cmd_id);
-        the state is two numbers per current key, so a key of any length is
+        Rows arrive hash-partitioned by (key, part) and sorted by (key, part, ts, cmd_id);
+        the state is two numbers per current part, so a key of any length is
         streamed, never held.  For each open leg: ``ok`` if the lowest possible
         level covers the need, ``fail`` if even the highest cannot.  A leg whose
         command is known to fail elsewhere moves nothing; one that is ok here
         and whose other legs were ok last round is certainly accepted and moves
-        the level exactly; otherwise the bounds widen by the delta."""
+        the level exactly; otherwise the bounds widen: to what is left if it is accepted
+        (at least need + delta) and if it isn't (below the need, if only this leg can refuse)."""
         import numpy as np
         import pandas as pd
         cur, lo, hi = None, 0, 0
@@ -342,6 +344,7 @@ def _make_scan_keys():
             res = pdf["resource"].to_numpy()
             k1 = pdf["k1"].to_numpy()
             k2 = pdf["k2"].to_numpy()
+            part = pdf["part"].to_numpy()
             level = pdf["level"].to_numpy()
             status = pdf["status"].to_numpy()
             delta = pdf["delta"].to_numpy()
@@ -353,9 +356,10 @@ def _make_scan_keys():
             fail_out = np.zeros(n, dtype=bool)
             keep = np.zeros(n, dtype=bool)
             for i in range(n):
-                key = (res[i], k1[i], k2[i])
+                key = (res[i], k1[i], k2[i], part[i])
                 if key != cur:
-                    cur, lo, hi = key, int(level[i]), int(level[i])
+                    cur = key
+                    lo, hi = incoming.get(key, (int(level[i]), int(level[i])))
                 d = int(delta[i])
                 if status[i] == accepted:
                     lo += d
@@ -369,6 +373,10 @@ def _make_scan_keys():
                 if ok and ext_ok[i]:
                     lo += d
                     hi += d
+                elif d < 0 and not ok:
+                    lo = min(lo, int(need[i]) + d)
+                    if ext_ok[i]:
+                        hi = max(hi + d, int(need[i]) - 1)
                 elif d < 0:
                     lo += d
                 else:
@@ -397,7 +405,7 @@ def _window_flags(active: DataFrame) -> DataFrame:
                     (F.col("need").isNotNull() & (high < F.col("need"))).alias("_fail")))
 
 
-def _scan_flags(active: DataFrame, prev: DataFrame) -> DataFrame:
+def _scan_flags(active: DataFrame, prev: DataFrame, split_legs: int | None = None) -> DataFrame:
     """Per open leg ``_ok``/``_fail`` from the per-key scan, using the
     previous round's leg flags (``prev``) to know what other keys said."""
     per_cmd = prev.groupBy("cmd_id").agg(F.sum(F.when(~F.col("_ok"), 1).otherwise(0)).alias("_nok"),
@@ -411,11 +419,12 @@ def _scan_flags(active: DataFrame, prev: DataFrame) -> DataFrame:
                  F.coalesce("need", F.lit(0).cast("bigint")).alias("need0"), F.col("need").isNotNull().alias("has_need"),
                  F.coalesce("ext_ok", F.lit(False)).alias("ext_ok"),
                  F.coalesce("ext_fail", F.lit(False)).alias("ext_fail")))
-    x = x.repartition(*KEYS).sortWithinPartitions(*KEYS, *ORDER)
-    return x.mapInPandas(_make_scan_keys(), _SCAN_SCHEMA)
+    x, incoming = split_hot_keys(x, split_legs)
+    x = x.repartition(*KEYS, "part").sortWithinPartitions(*KEYS, "part", *ORDER)
+    return x.mapInPandas(_make_scan_keys(incoming), _SCAN_SCHEMA)
 
 
-def admit(legs: DataFrame, levels: DataFrame, commands: DataFrame | None = None) -> DataFrame:
+def admit(legs: DataFrame, levels: DataFrame, commands: DataFrame | None = None, split_legs: int | None = None) -> DataFrame:
     """Exact first-come, all-or-nothing admission of multi-key commands.
 
     ``legs``: (cmd_id, ts, resource, k1, k2, need, delta), one per command
@@ -428,8 +437,9 @@ def admit(legs: DataFrame, levels: DataFrame, commands: DataFrame | None = None)
     (most) with a hot key spread over many tasks.  The later ones scan what is left
     of each key in order (``_make_scan_keys``) with the previous round's leg
     verdicts and settle long chains in few rounds; a scan streams a key with two
-    numbers of state, never holds it.  Both are exact and each settles at least
-    the earliest open command."""
+    numbers of state, never holds it.  A key with very many open legs is cut into parts
+    that are scanned at once, from levels found by composing the parts' effects
+    (``hotkeys``; ``split_legs`` overrides its threshold).  Both are exact and each settles at least the earliest open command."""
     spark = legs.sparkSession
     ensure_checkpoint_dir(spark)
     # One row per key; written once so the rounds do not recompute it.
@@ -448,7 +458,7 @@ def admit(legs: DataFrame, levels: DataFrame, commands: DataFrame | None = None)
         rnd += 1
         t_round = time.perf_counter()
         method = "scan" if scanning else "window"
-        flags = _scan_flags(active, prev_flags) if scanning else _window_flags(active)
+        flags = _scan_flags(active, prev_flags, split_legs) if scanning else _window_flags(active)
         flags = materialize(flags, "admit-flags")  # read again by the next round
         verdict = (flags.groupBy("cmd_id")
                    .agg(F.bool_and("_ok").alias("all_ok"), F.bool_or("_fail").alias("any_fail"))
