@@ -68,6 +68,23 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     return sc.getCheckpointDir() or target
 
 
+#: Work folders that this application has written, in order.
+_WRITTEN: list[str] = []
+
+
+def written() -> int:
+    """A mark for ``drop_written``."""
+    return len(_WRITTEN)
+
+
+def drop_written(spark: SparkSession, since: int) -> None:
+    """Delete the work tables that ``materialize`` wrote since the mark, once no DataFrame on them is used any more."""
+    for folder in _WRITTEN[since:]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    del _WRITTEN[since:]
+
+
 def materialize(df, label: str):
     """Cut lineage by writing ``df`` as a Parquet table in the shared
     checkpoint folder and reading it back (one job; ``Dataset.checkpoint``
@@ -76,5 +93,6 @@ def materialize(df, label: str):
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{root}/routeledger/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
