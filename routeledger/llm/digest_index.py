@@ -39,6 +39,10 @@ class DigestIndex:
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def forget(self) -> None:
+        """Take the table out of the catalog; its files, and DataFrames that read them, stay."""
+        self.spark.sql(f"drop table if exists {self.name}")
+
     def add(self, digests: DataFrame, batch: int) -> None:
         """Append the digests of ``digests(doc_id, digest)`` that the index lacks, each with its least doc_id."""
         least = digests.groupBy("digest").agg(F.min("doc_id").alias("keep_id"))
@@ -83,4 +87,5 @@ def exact_duplicates(docs: DataFrame, batches: int = 2) -> DataFrame:
     elif not rows.isEmpty():
         index.add(rows, 0)
     out = decisions(rows, index.table())
+    index.forget()
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))

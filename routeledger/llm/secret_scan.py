@@ -43,9 +43,9 @@ _WIDE = re.compile(rb"(?:\0[\t-\r\x20-\x7e]){12,}+(?!\0)|(?:[\t-\r\x20-\x7e]\0){
 _STRAY = re.compile("[\udc80-\udcff]")
 _ZLIB = type(zlib.decompressobj())
 _PIECE = 1 << 20
-#: A compressed run that unfolds to more bytes than this is entered in overlapping blocks, up to
-#: ``MOST_STREAMED`` bytes; it is counted in ``n_unopened``.
-MOST_BYTES, MOST_STREAMED = 1 << 26, 1 << 30
+#: A compressed run that unfolds to more bytes than this is entered in overlapping blocks to its end and counted in
+#: ``n_unopened``; so many compressions in one another, each of a layer beyond that size, are taken off.
+MOST_BYTES, MOST_LARGE = 1 << 26, 100
 
 
 def matches(text: str) -> list[tuple[str, int, int]]:
@@ -120,37 +120,64 @@ def _inflate(chunks):
             data = b""
 
 
-def _unfold(data: bytes, most: int, more=()):
-    """Compressed data (``more``: further chunks of it) with every compression taken off, as one block; a
-    larger layer as None and then blocks of ``most`` bytes that overlap by half.  Unsound data come as they are, too."""
-    source, block, large, total, sound = _inflate(itertools.chain([data], more)), bytearray(), False, 0, True
-    try:
+def _blocks(source, block: bytearray, most: int, seen: set):
+    """A stream that begins with ``block`` in blocks of ``most`` bytes that overlap by half; one that is compressed again is unpacked
+    first.  Blocks that repeat come once: all of a run's layers stand at the same place."""
+    for _ in range(MOST_LARGE):
+        if _member(block) is None:
+            break
+        source, block = _inflate(itertools.chain([bytes(block)], source)), bytearray()
         for piece in source:
             block += piece
-            total += len(piece)
-            while len(block) > most:
-                if not large:
-                    large = True
-                    yield None
-                    if _member(block) is not None:
-                        yield from _unfold(bytes(block), most, source)
-                        return
+            if len(block) > 5:
+                break
+    for piece in itertools.chain([b""], source):
+        block += piece
+        while len(block) > most:
+            key = hashlib.sha256(block[:most]).digest()
+            if key not in seen:
+                seen.add(key)
                 yield bytes(block[:most])
-                del block[:most - most // 2]
-            if total > MOST_STREAMED:
-                return
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-        sound = False
-    except Exception as e:  # zstandard's own error
-        if type(e).__name__ != "ZstdError":
-            raise
-        sound = False
-    if block and not large and _member(block) is not None:
-        yield from _unfold(bytes(block), most)
-    elif block:
+            del block[:most - most // 2]
+    if block:
         yield bytes(block)
-    if not sound:
-        yield data
+
+
+def _unfold(data: bytes, most: int):
+    """Compressed data with every compression taken off: the blocks in which they end.
+
+    A worklist of compressed layers: what one unpacks to is entered again while it is compressed itself, and
+    a layer seen before is not, so nesting of any depth and data that unpack to themselves end.
+    A layer larger than ``most`` comes as None and then in blocks (``_blocks``), whatever its length.
+    Unsound data come as they are, too."""
+    work, seen = [data], set()
+    while work:
+        layer = work.pop()
+        key = hashlib.sha256(layer).digest()
+        if key in seen:
+            continue
+        seen.add(key)
+        source, block, sound = _inflate([layer]), bytearray(), True
+        try:
+            for piece in source:
+                block += piece
+                if len(block) > most:
+                    yield None
+                    whole, block = block, bytearray()
+                    yield from _blocks(source, whole, most, seen)
+                    break
+        except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+            sound = False
+        except Exception as e:  # zstandard's own error
+            if type(e).__name__ != "ZstdError":
+                raise
+            sound = False
+        if block and _member(block) is not None:
+            work.append(bytes(block))
+        elif block:
+            yield bytes(block)
+        if not sound:
+            yield layer
 
 
 class _Whole:

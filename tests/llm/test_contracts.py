@@ -96,6 +96,12 @@ def test_exact_duplicates(docs):
     same(got, [(d, least.get(h), size[h], d == least.get(h), h) for d, h in plain])
 
 
+def test_digest_tables_leave_the_catalog(corpus_spark, docs):
+    got = digest_index.exact_duplicates(docs)
+    assert not [t.name for t in corpus_spark.catalog.listTables() if t.name.startswith("digest_index_")]
+    assert got.count() == docs.count()
+
+
 def test_digest_index_persists(corpus_spark):
     path = work_path(corpus_spark, "test-index")
     name = "test_index_" + path[-8:]
@@ -222,6 +228,32 @@ def test_secret_layers_to_the_fixpoint():
     assert secret_scan.scan(b64(many), most=1000)[1][0][0] == "assign" and secret_scan.scan(b64(many), most=1000)[3] == 1
 
 
+def test_compressions_of_any_depth_and_cycles(monkeypatch):
+    import base64
+    import gzip
+    import os
+    inner = b"see token=abcdefghijk end"
+    b64 = lambda x: base64.b64encode(x).decode()
+    data = inner
+    for _ in range(5000):
+        data = gzip.compress(data, 1)
+    assert ("assign", 0, len(b64(data))) in secret_scan.scan(b64(data))[1]
+    # longer than two blocks, noise and a secret past the first gigabyte's share of blocks; and a large layer within a large one
+    noise = os.urandom(6000).hex(" ").encode()
+    large = gzip.compress(noise + inner)
+    assert secret_scan.scan(b64(large), most=2000)[1][-1][0] == "assign" and secret_scan.scan(b64(large), most=2000)[3] == 1
+    twice = gzip.compress(gzip.compress(gzip.compress(noise + inner)))
+    found, unopened = secret_scan.scan(b64(twice), most=2000)[1], secret_scan.scan(b64(twice), most=2000)[3]
+    assert ("assign", 0, len(b64(twice))) in found and unopened == 1
+    bomb = gzip.compress(b"-" * 5_000_000 + inner)
+    blocks = [x for x in secret_scan._unfold(bomb, 1 << 16) if x]
+    assert len(blocks) < 10 and inner in blocks[-1]  # repeated blocks come once
+    # data that unpack to themselves
+    real = secret_scan._inflate
+    monkeypatch.setattr(secret_scan, "_inflate", lambda chunks: iter(chunks) if [*chunks] == [large] else real(chunks))
+    assert list(secret_scan._unfold(large, 1 << 20)) == []
+
+
 def test_personal_data(docs):
     got = [tuple(r) for r in pii.personal_data(docs).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans").collect()]
     want = []
