@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import staged, work_path
 
+#: Least number of buckets of a new index.
 BUCKETS = 64
 
 
@@ -25,11 +26,20 @@ def digest(text: Column | str) -> Column:
 
 
 class DigestIndex:
-    """A digest index kept as the bucketed table ``name`` at ``path`` (made if it isn't there)."""
+    """A digest index kept as the bucketed table ``name`` at ``path`` (made if it isn't there).
 
-    def __init__(self, spark: SparkSession, name: str, path: str, buckets: int = BUCKETS):
-        self.spark, self.name, self.path, self.buckets = spark, name, path, buckets
-        if not spark.catalog.tableExists(name):
+    A new index takes as many buckets as the session has shuffle partitions (at least
+    ``BUCKETS``), so that a batch reduced by digest already lies as the buckets do and
+    each task writes one file; an index that is there keeps the number it was made with.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, path: str, buckets: int | None = None):
+        self.spark, self.name, self.path = spark, name, path
+        if spark.catalog.tableExists(name):
+            said = spark.sql(f"describe extended {name}").where("col_name = 'Num Buckets'").first()
+            self.buckets = int(said["data_type"])
+        else:
+            self.buckets = buckets or max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
             self._write(spark.createDataFrame([], "digest binary, keep_id long, batch int"))
 
     def _write(self, rows: DataFrame) -> None:

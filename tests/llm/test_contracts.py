@@ -108,7 +108,8 @@ def test_digest_index_persists(corpus_spark):
     index = digest_index.DigestIndex(corpus_spark, name, path, 4)
     make = lambda rows: corpus_spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", digest_index.digest("text").alias("digest"))
     index.add(make([(5, "a"), (3, "a"), (4, "b")]), 0)
-    again = digest_index.DigestIndex(corpus_spark, name, path, 4)
+    again = digest_index.DigestIndex(corpus_spark, name, path)
+    assert again.buckets == 4
     again.add(make([(1, "a"), (9, "c"), (8, "c")]), 1)
     again.add(make([]), 2)
     assert sorted((r["keep_id"], r["batch"]) for r in again.table().collect()) == [(3, 0), (4, 0), (8, 1)]
