@@ -85,12 +85,13 @@ def apply_levels(t: Tables, deltas: DataFrame) -> Tables:
     """New state tables = old state + summed deltas (field stock is upserted).
 
     ``deltas``: (resource, k1, k2, delta).  Deltas are summed per key first,
-    so each state table meets one row per key in a single join."""
+    so each state table meets one row per key in a single join.  A delta of a
+    product or shop that isn't there changes nothing: ``level_rejects``."""
     d = deltas.groupBy(*KEYS).agg(F.sum("delta").alias("_d"))
     wh = d.filter(F.col("resource") == "warehouse").select(F.col("k1").alias("id"), "_d")
     products = t.products.join(wh, "id", "left").withColumn(
         "stock_quantity", (F.col("stock_quantity") + F.coalesce("_d", F.lit(0))).cast("bigint")).drop("_d")
-    fd = d.filter(F.col("resource") == "field").select(
+    fd = d.filter("resource = 'field' and k1 is not null and k2 is not null").select(
         F.col("k1").alias("salesperson_id"), F.col("k2").alias("product_id"), "_d")
     ss = t.salesperson_stock.join(fd, ["salesperson_id", "product_id"], "full").withColumn(
         "quantity", (F.coalesce("quantity", F.lit(0)) + F.coalesce("_d", F.lit(0))).cast("bigint")).drop("_d")
@@ -102,6 +103,22 @@ def apply_levels(t: Tables, deltas: DataFrame) -> Tables:
                          shops=shops.select(*t.shops.columns))
 
 
+def level_rejects(t: Tables, deltas: DataFrame) -> DataFrame:
+    """What ``apply_levels`` cannot apply, summed per key: (resource, k1, k2, delta, reason).
+
+    Warehouse deltas of absent products, debt deltas of absent shops, unknown
+    resources and keys that are NULL.  Field stock is upserted and refuses only NULL keys."""
+    d = deltas.groupBy(*KEYS).agg(F.sum("delta").alias("delta"))
+    there = (t.products.select(F.lit("warehouse").alias("resource"), F.col("id").alias("k1"))
+             .unionByName(t.shops.select(F.lit("debt").alias("resource"), F.col("id").alias("k1"))))
+    absent = d.filter(~F.col("resource").eqNullSafe("field")).join(there, ["resource", "k1"], "left_anti")
+    absent = absent.unionByName(d.filter("resource = 'field' and (k1 is null or k2 is null)"))
+    known = F.coalesce(F.col("resource").isin("warehouse", "field", "debt"), F.lit(False))
+    missing = F.col("k1").isNull() | ((F.col("resource") == "field") & F.col("k2").isNull())
+    return absent.select(*KEYS, "delta", F.when(~known, "unknown resource").when(missing, "key missing")
+                         .otherwise("not found").alias("reason"))
+
+
 # ---------------------------------------------------------------- L7
 def append_facts(base: DataFrame, new: DataFrame, order: list[str], id_col: str = "id") -> DataFrame:
     """Append ``new`` rows with ids continuing after ``max(base.id)``,
@@ -287,5 +304,5 @@ def adjust_levels(df: DataFrame, deltas: DataFrame, column: str, key: str = "id"
     return new, rejects
 
 
-__all__ = ["state_levels", "positions", "shop_statement", "apply_levels", "append_facts", "merge_records", "merge_rejects", "recategorise_rejects",
+__all__ = ["state_levels", "positions", "shop_statement", "apply_levels", "level_rejects", "append_facts", "merge_records", "merge_rejects", "recategorise_rejects",
            "delete_outcome", "delete_records", "normalise_master", "recategorise", "adjust_levels", "KEYS"]

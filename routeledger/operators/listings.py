@@ -79,7 +79,7 @@ SALE_COLS = ("id", "date", "shop_id", "salesperson_id", "route_id", "total_amoun
              "balance_amount", "payment_type", "payment_method")
 
 
-def _sale_names(sales: DataFrame, t: Tables) -> DataFrame:
+def sale_names(sales: DataFrame, t: Tables) -> DataFrame:
     out = _names(sales, t.shops, "shop_id", shop_name="name")
     out = _names(out, t.salespersons, "salesperson_id", salesperson_name="name")
     return _names(out, t.routes, "route_id", route_name="name")
@@ -91,19 +91,18 @@ def _sale_out(df: DataFrame) -> DataFrame:
                      "shop_name", "salesperson_name", "route_name")
 
 
-def sales_named(t: Tables, from_=None, to_=None, salesperson_id=None, shop_id=None, route_id=None) -> DataFrame:
-    """Filtered sales with names; money still DECIMAL (shared by J6 and A25)."""
-    s = where(t.sales.select(*SALE_COLS), date_range("date", from_, to_),
-              None if salesperson_id is None else F.col("salesperson_id") == salesperson_id,
-              None if shop_id is None else F.col("shop_id") == shop_id,
-              None if route_id is None else F.col("route_id") == route_id)
-    return _sale_names(s, t)
+def sales_filtered(t: Tables, from_=None, to_=None, salesperson_id=None, shop_id=None, route_id=None) -> DataFrame:
+    """Filtered sales, money still DECIMAL (shared by J6 and A25)."""
+    return where(t.sales.select(*SALE_COLS), date_range("date", from_, to_),
+                 None if salesperson_id is None else F.col("salesperson_id") == salesperson_id,
+                 None if shop_id is None else F.col("shop_id") == shop_id,
+                 None if route_id is None else F.col("route_id") == route_id)
 
 
 def sales_enriched(t: Tables, from_=None, to_=None, salesperson_id=None, shop_id=None, route_id=None,
                    ordered: bool = True) -> DataFrame:
     """Sales with shop, salesperson and route names, newest first."""
-    out = _sale_out(sales_named(t, from_, to_, salesperson_id, shop_id, route_id))
+    out = _sale_out(sale_names(sales_filtered(t, from_, to_, salesperson_id, shop_id, route_id), t))
     return out.orderBy(F.desc("date"), F.desc("id")) if ordered else out
 
 
@@ -125,20 +124,23 @@ def sale_detail(t: Tables, sale_ids) -> DataFrame:
     nested = (items.groupBy("sale_id")
               .agg(F.sort_array(F.collect_list(F.struct("product_id", "quantity", "unit_price", "total_price",
                                                         "product_name", "product_code"))).alias("items")))
-    headers = _sale_out(_sale_names(lookup(t.sales.select(*SALE_COLS), sale_ids), t))
+    headers = _sale_out(sale_names(lookup(t.sales.select(*SALE_COLS), sale_ids), t))
     out = headers.join(nested.withColumnRenamed("sale_id", "id"), "id", "left")
     return out.withColumn("items", F.coalesce("items", F.array().cast(nested.schema["items"].dataType)))
 
 
-def collections_named(t: Tables, from_=None, to_=None, shop_id=None, salesperson_id=None, ids=None) -> DataFrame:
-    """Filtered collections with names; money still DECIMAL (shared by J8 and A26)."""
+def collections_filtered(t: Tables, from_=None, to_=None, shop_id=None, salesperson_id=None, ids=None) -> DataFrame:
+    """Filtered collections, money still DECIMAL (shared by J8 and A26)."""
     c = t.collections.select("id", "date", "shop_id", "salesperson_id", "amount", "payment_method",
                              "reference_number", "notes")
     if ids is not None:
         c = lookup(c, ids)
-    c = where(c, date_range("date", from_, to_),
-              None if shop_id is None else F.col("shop_id") == shop_id,
-              None if salesperson_id is None else F.col("salesperson_id") == salesperson_id)
+    return where(c, date_range("date", from_, to_),
+                 None if shop_id is None else F.col("shop_id") == shop_id,
+                 None if salesperson_id is None else F.col("salesperson_id") == salesperson_id)
+
+
+def collection_names(c: DataFrame, t: Tables) -> DataFrame:
     out = _names(c, t.shops, "shop_id", shop_name="name")
     return _names(out, t.salespersons, "salesperson_id", salesperson_name="name")
 
@@ -146,7 +148,7 @@ def collections_named(t: Tables, from_=None, to_=None, shop_id=None, salesperson
 def collections_enriched(t: Tables, from_=None, to_=None, shop_id=None, salesperson_id=None, ids=None,
                          ordered: bool = True) -> DataFrame:
     """Collections with shop and salesperson names, newest first."""
-    out = collections_named(t, from_, to_, shop_id, salesperson_id, ids).select(
+    out = collection_names(collections_filtered(t, from_, to_, shop_id, salesperson_id, ids), t).select(
         "id", "date", "shop_id", "salesperson_id", _dbl("amount"), "payment_method",
         "reference_number", "notes", "shop_name", "salesperson_name")
     return out.orderBy(F.desc("date"), F.desc("id")) if ordered else out
@@ -377,7 +379,7 @@ def keyset_page(df: DataFrame, order: list[str], limit: int, after: dict | None
 def recent_sales(t: Tables, n: int = 10) -> DataFrame:
     """T4: newest n sales; the top-k runs before the dimension joins."""
     top = t.sales.select(*SALE_COLS).orderBy(F.desc("date"), F.desc("id")).limit(n)
-    return _sale_out(_sale_names(top, t)).orderBy(F.desc("date"), F.desc("id"))
+    return _sale_out(sale_names(top, t)).orderBy(F.desc("date"), F.desc("id"))
 
 
 def products_by_name(t: Tables, active_only: bool = True) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import category_key, date_range, filter_sales, id_frame, where
 from ..functions.scalars import (as_date, day_of, risk_level, stock_status, to_double,
                                  urgency, urgency_rank)
+from ..session import materialize
 from ..tables import Tables
 
 
@@ -459,12 +460,15 @@ def inventory_value(t: Tables) -> DataFrame:
 
 
 # ---------------------------------------------------------------- A25..A28
-def _with_total(detail: DataFrame, sums: dict[str, str], counts_name: str = "row_count") -> DataFrame:
+def _with_total(detail: DataFrame, sums: dict[str, str], counts_name: str = "row_count",
+                facts: DataFrame | None = None) -> DataFrame:
     """Detail rows plus one grand-total row (``is_total`` = 1).
 
     The total is a global partial/final aggregate unioned to the detail:
-    cheaper than GROUPING SETS, which would shuffle every detail row."""
-    total = detail.agg(F.count(F.lit(1)).alias(counts_name),
+    cheaper than GROUPING SETS, which would shuffle every detail row.  It is
+    taken from ``facts``, the detail before its names are joined: names are looked
+    up by unique keys (C4) and neither add nor drop rows, so every join runs once."""
+    total = (detail if facts is None else facts).agg(F.count(F.lit(1)).alias(counts_name),
                        *[F.sum(c).alias(out) for out, c in sums.items()])
     det = detail.select("*", F.lit(1).cast("bigint").alias(counts_name), F.lit(0).alias("is_total"))
     return det.unionByName(total.withColumn("is_total", F.lit(1)), allowMissingColumns=True)
@@ -472,33 +476,37 @@ def _with_total(detail: DataFrame, sums: dict[str, str], counts_name: str = "row
 
 def sales_report(t: Tables, **filters) -> DataFrame:
     """Filtered sales with names, plus a grand-total row."""
-    from .listings import sales_named
-    d = sales_named(t, **filters).select(
+    from .listings import sale_names, sales_filtered
+    s = sales_filtered(t, **filters)
+    d = sale_names(s, t).select(
         "id", "date", "shop_name", "salesperson_name", "route_name", "payment_type",
         "total_amount", "paid_amount", "balance_amount")
     out = _with_total(d, {"total_amount": "total_amount", "paid_amount": "paid_amount",
-                          "balance_amount": "balance_amount"})
+                          "balance_amount": "balance_amount"}, facts=s)
     return out.select("id", "date", "shop_name", "salesperson_name", "route_name", "payment_type",
                       _dbl("total_amount"), _dbl("paid_amount"), _dbl("balance_amount"), "row_count", "is_total")
 
 
 def collections_report(t: Tables, **filters) -> DataFrame:
     """Filtered collections with names, plus a grand-total row."""
-    from .listings import collections_named
-    d = collections_named(t, **filters).select(
-        "id", "date", "shop_name", "salesperson_name", "payment_method", "amount")
-    out = _with_total(d, {"amount": "amount"})
+    from .listings import collection_names, collections_filtered
+    c = collections_filtered(t, **filters)
+    d = collection_names(c, t).select("id", "date", "shop_name", "salesperson_name", "payment_method", "amount")
+    out = _with_total(d, {"amount": "amount"}, facts=c)
     return out.select("id", "date", "shop_name", "salesperson_name", "payment_method", _dbl("amount"),
                       "row_count", "is_total")
 
 
 def issues_report(t: Tables, **filters) -> DataFrame:
-    """Filtered issues with units and value (quantity × unit price), plus a total row."""
+    """Filtered issues with units and value (quantity × unit price), plus a total row.
+
+    Search and value need the joined names and prices, so the detail is staged
+    once as a table and the total reads two of its columns."""
     from .listings import issues_filtered
     d = issues_filtered(t, **filters).select(
         "date", "salesperson_id", "salesperson_name", "product_id", "product_code", "product_name",
         F.col("quantity_issued").alias("units"), (F.col("quantity_issued") * F.col("unit_price")).alias("value"))
-    out = _with_total(d, {"units": "units", "value": "value"})
+    out = _with_total(materialize(d, "issues-report"), {"units": "units", "value": "value"})
     return out.select("date", "salesperson_id", "salesperson_name", "product_id", "product_code", "product_name",
                       "units", _dbl("value"), "row_count", "is_total")
 

@@ -88,7 +88,7 @@ def _t3(t):
 where s.salesperson_id = 7 and {_between('s.date', FROM, TO)}""", *_SALE_T))
 def _f4(t):
     s = P.filter_sales(t.sales, salesperson_id=7, from_=FROM, to_=TO)
-    return L._sale_out(L._sale_names(s.select(*L.SALE_COLS), t))
+    return L._sale_out(L.sale_names(s.select(*L.SALE_COLS), t))
 
 
 @register("sale_items_detail", "J7", sql(f"""select si.sale_id, si.product_id, si.quantity,
@@ -273,6 +273,32 @@ def _f11(t):
     return P.routes_in_town(t, t.towns.select("id")).select("id", "code", "name", "town_id", "town_name")
 
 
+@register("towns_of_selected_districts", "F10", sql("""select id, code, name, district_id from towns
+where district_id in (select id from districts where name like 'A%')""", "towns", "districts"))
+def _f10s(t):
+    return P.towns_in_district(t, t.districts.filter(F.col("name").startswith("A")).select("id")).select(
+        "id", "code", "name", "district_id")
+
+
+@register("routes_of_selected_towns", "F11", sql("""select r.id, r.code, r.name, r.town_id, tw.name as town_name
+from routes r left join towns tw on r.town_id = tw.id
+where r.town_id in (select tw2.id from towns tw2 join districts d on tw2.district_id = d.id where d.name like 'A%')""",
+                                                  "routes", "towns", "districts"))
+def _f11s(t):
+    chosen = P.towns_in_district(t, t.districts.filter(F.col("name").startswith("A")).select("id")).select("id")
+    return P.routes_in_town(t, chosen).select("id", "code", "name", "town_id", "town_name")
+
+
+@register("stock_of_high_targets", "J11", sql("""select sp.id as salesperson_id, sp.code as salesperson_code,
+  sp.name as salesperson_name, sp.vehicle_number, ss.product_id, ss.quantity as stock_quantity,
+  p.name as product_name, p.code as product_code, cast(p.unit_price as double) as unit_price
+from salespersons sp left join salesperson_stock ss on sp.id = ss.salesperson_id
+left join products p on ss.product_id = p.id
+where sp.is_active = 1 and sp.target_amount > 1500000""", "salespersons", "salesperson_stock", "products"))
+def _j11s(t):
+    return L.salesperson_with_stock(t, t.salespersons.filter("target_amount > 1500000").select("id"))
+
+
 @register("products_in_category", "F12", sql("""select id, code, name, category from products
 where lower(coalesce(category, 'general')) in ('standard', 'general')""", "products"))
 def _f12(t):

@@ -57,6 +57,65 @@ def load_table(spark: SparkSession, path: str, name: str, fmt: str = "parquet")
     return conform(df, schema)
 
 
+#: Text of a CSV row that doesn't split into the header's columns.
+_BROKEN = "_broken_row"
+
+
+def _csv_values(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """Rows of CSV files as text, with the record where it doesn't fit the header; the text of each column given."""
+    names = spark.read.option("header", True).csv(path).columns
+    text = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _BROKEN]])
+    raw = (spark.read.option("header", True).option("enforceSchema", False).option("mode", "PERMISSIVE")
+           .option("columnNameOfCorruptRecord", _BROKEN).option("columnPruning", False).schema(text).csv(path))
+    raw = raw.select(F.col("_metadata.file_path").alias("_file"), F.col(_BROKEN).isNotNull().alias("_unread"),
+                     F.coalesce(_BROKEN, F.to_csv(F.struct(*[F.col(f"`{n}`") for n in names]))).alias("_record"),
+                     *[F.col(f"`{n}`").alias(f"_t_{n}") for n in names])
+    return raw, {n: (F.lit(True), F.col(f"`_t_{n}`")) for n in names}
+
+
+def _json_values(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, dict]:
+    """JSON lines as a map of texts in one pass, without inferring a schema; blank lines are no rows."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), F.col("value").alias("_record"))
+    raw = lines.filter(F.trim("_record") != "").withColumn("_values", F.from_json("_record", "map<string,string>"))
+    # A line that ends early gives the values before its end: it is no record unless it reads as a whole.
+    raw = raw.withColumn("_unread", F.col("_values").isNull() | F.get_json_object("_record", "$").isNull())
+    return raw, {f.name: (F.map_contains_key("_values", f.name), F.element_at("_values", F.lit(f.name))) for f in schema.fields}
+
+
+def parse_table(spark: SparkSession, path: str, name: str, fmt: str = "csv") -> tuple[DataFrame, DataFrame]:
+    """Text files (``csv`` with a header, or ``json`` lines) as (rows, rejects).
+
+    Every source row is in exactly one of the two.  ``rows`` has the table's schema; a column that the source
+    doesn't give (no such header, no such key) takes its default.  ``rejects`` is (source_file, record,
+    bad_columns, reason): rows that don't read as a record, and rows with a value that isn't of its column's
+    type, named in ``bad_columns``.  Text after the end of a JSON record is not looked at, as in Spark's own
+    reader.  A narrow pass over the files each, without a shuffle."""
+    schema = SCHEMAS[name]
+    if fmt == "csv":
+        raw, given = _csv_values(spark, path)
+    elif fmt == "json":
+        raw, given = _json_values(spark, path, schema)
+    else:
+        raise ValueError(f"no text format: {fmt!r}")
+    cols, bad = [], []
+    for f in schema.fields:
+        default = F.lit(f.metadata.get("default")).cast(f.dataType)
+        if f.name not in given:
+            cols.append(default.alias(f.name))
+            continue
+        there, text = given[f.name]
+        value = text.try_cast(f.dataType)
+        cols.append(F.when(there, value).otherwise(default).alias(f.name))
+        bad.append(F.when(there & text.isNotNull() & value.isNull(), F.lit(f.name)))
+    flaws = F.filter(F.array(*bad), lambda x: x.isNotNull()) if bad else F.array().cast("array<string>")
+    raw = raw.withColumn("bad_columns", F.when(F.col("_unread"), F.array().cast("array<string>")).otherwise(flaws))
+    fine = ~F.col("_unread") & (F.size("bad_columns") == 0)
+    rejects = raw.filter(~fine).select(
+        F.col("_file").alias("source_file"), F.col("_record").alias("record"), "bad_columns",
+        F.when(F.col("_unread"), "not a record").otherwise("value of another type").alias("reason"))
+    return raw.filter(fine).select(*cols), rejects
+
+
 def empty_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], SCHEMAS[name])
 

@@ -52,3 +52,10 @@ def test_scan_reads_only_needed_columns(star):
 def test_top_k_is_take_ordered(star):
     p = plan(L.recent_sales(star, 10))
     assert "TakeOrderedAndProject" in p
+
+
+@pytest.mark.parametrize("report,joins", [(R.sales_report, 3), (R.collections_report, 2), (R.issues_report, 0)])
+def test_reports_join_names_once(seed, report, joins):
+    """Detail and total from one evaluation: each name is joined once (those of the issues in the staged detail)."""
+    optimised = report(seed)._jdf.queryExecution().optimizedPlan().toString()
+    assert optimised.count("Join LeftOuter") == joins
