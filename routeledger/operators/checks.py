@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import to_double
 from ..functions.windows import running_total
-from ..schema import MONEY
 from ..tables import Tables
 from .activity import movements
 from .ledger import KEYS, positions, state_levels
@@ -37,16 +36,22 @@ def first_negative(t: Tables, opening: DataFrame | None = None) -> DataFrame:
 
     Movements are summed per (key, timestamp) first; the running level uses
     the range-split prefix sum, so a hot key does not serialise one task."""
-    per_ts = movements(t).groupBy(*KEYS, "ts").agg(F.sum("delta").alias("delta"))
+    neg = levels_below_zero(movements(t), opening)
+    return neg.select(*KEYS, "first_negative_ts", to_double(F.col("level_then")).alias("level_then"))
+
+
+def levels_below_zero(legs: DataFrame, opening: DataFrame | None = None) -> DataFrame:
+    """C2 on any legs: (KEYS, first_negative_ts, level_then) with exact levels."""
+    per_ts = legs.groupBy(*KEYS, "ts").agg(F.sum("delta").alias("delta"))
     run = running_total(per_ts, KEYS, ["ts"], "delta", out="_run")
     if opening is not None:
-        o = opening.select(*KEYS, F.col("level").cast(MONEY).alias("_open"))
-        run = run.join(o, KEYS, "left").withColumn("_run", F.col("_run") + F.coalesce("_open", F.lit(0)))
+        o = opening.select(*[F.col(k).alias(f"_{k}") for k in KEYS], F.col("level").cast("decimal(28,2)").alias("_open"))
+        same = F.col("resource").eqNullSafe(F.col("_resource")) & F.col("k1").eqNullSafe(F.col("_k1")) & F.col("k2").eqNullSafe(F.col("_k2"))
+        run = run.join(o, same, "left").withColumn("_run", F.col("_run") + F.coalesce("_open", F.lit(0)))
     neg = run.filter(F.col("_run") < 0)
     return (neg.groupBy(*KEYS)
             .agg(F.min_by(F.struct("ts", "_run"), "ts").alias("_first"))
-            .select(*KEYS, F.col("_first.ts").alias("first_negative_ts"),
-                    to_double(F.col("_first._run")).alias("level_then")))
+            .select(*KEYS, F.col("_first.ts").alias("first_negative_ts"), F.col("_first._run").alias("level_then")))
 
 
 # ---------------------------------------------------------------- C3
