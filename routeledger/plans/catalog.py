@@ -68,4 +68,4 @@ def _m(expr: str, name: str) -> str:
 
 
 # Load all query modules so their @register decorators run.
-from . import q_reports, q_listings, q_ledger, q_streams, q_chains, q_sources, q_master, q_closings  # noqa: E402,F401
+from . import q_reports, q_listings, q_ledger, q_streams, q_chains, q_sources, q_master, q_closings, q_search  # noqa: E402,F401
