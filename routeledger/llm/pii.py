@@ -1,14 +1,16 @@
 """Personal data: base rules, and identifiers that seed contexts discover, in DataFrame expressions alone.
 
 One pass over the texts cuts each text at the matches of each rule.  Of the
-pieces only their lengths, the matches and the two words before each match go on, one
+pieces only their lengths, the matches and the last two words of the others go on, one
 row per document, and positions are running sums of lengths.
 
 The bootstrap then works on a bipartite graph.  Instances are the valid base matches (the
-seeds) and all blank-delimited tokens with a digit or @; patterns are the two words before
-them.  In turn a pattern is trusted by the share of its instances that are
+seeds), all blank-delimited tokens with a digit or @, and runs of such tokens parted by single
+blanks (grouped numbers), which take the place of their first token; patterns are the two words
+before them, however long, where an earlier match of the rule counts as the word ``<rule>``.  In turn a pattern is trusted by the share of its instances that are
 known to be of a kind, and an instance by its best pattern, for ``ROUNDS`` rounds.  Tokens
-of trusted patterns that overlap no base span are the added spans.
+and groups of trusted patterns that overlap no base span are the added spans, of those that begin at one
+place the longest.
 """
 
 from __future__ import annotations
@@ -33,17 +35,20 @@ RULES = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "token": r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+",
+    "group": r"(?<!\S)[^\s0-9@]*+[0-9][^\s@]*+(?:(?<![.,;:!?])\x20[^\s0-9@]*+[0-9][^\s@]*+(?!\S))++",
 }
-_HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "token": "[0-9@]"}
+_HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "token": "[0-9@]",
+          "group": r"(?<!\S)[^\s0-9@]*+[0-9][^\s@]*+\x20[^\s0-9@]*+[0-9]"}
+_UNNAMED = ("token", "group")
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 
 
 def _pieces(text: Column, kind: str) -> Column:
-    """array<(len, match, before)>: stretches between matches and matches by turns, empty if nothing matches."""
+    """array<(len, match, before)>: stretches between matches (with their last one or two words) and matches by turns, empty if nothing matches."""
     cut = F.split(F.regexp_replace(text, RULES[kind], f"{_CUT}$0{_CUT}"), _CUT, -1)
-    turns = F.transform(cut, lambda p, i: F.struct(
-        F.length(p).alias("len"), F.when(i % 2 == 1, p).alias("match"),
-        F.when(i % 2 == 0, F.lower(F.regexp_extract(F.right(p, F.lit(80)), r"(\S++\s++\S++)\s*+$", 1))).alias("before")))
+    # Read backwards, so that the last words are found from the end, whatever their length.
+    last = lambda p: F.lower(F.reverse(F.regexp_extract(F.reverse(p), r"^\s*+(\S++(?:\s++\S++)?+)", 1)))
+    turns = F.transform(cut, lambda p, i: F.struct(F.length(p).alias("len"), F.when(i % 2 == 1, p).alias("match"), F.when(i % 2 == 0, last(p)).alias("before")))
     return F.when(text.rlike(_HINTS[kind]), turns).otherwise(F.array().cast("array<struct<len:int,match:string,before:string>>"))
 
 
@@ -68,18 +73,36 @@ def _found(rows: DataFrame) -> DataFrame:
     each = reduce(DataFrame.unionByName, [rows.select("rid", F.lit(k).alias("kind"), F.posexplode(k).alias("i", "p")) for k in RULES])
     w = Window.partitionBy("rid", "kind").orderBy("i")
     each = each.select("rid", "kind", F.sum(F.col("p.len").cast("long")).over(w).alias("end"), F.col("p.len").alias("len"),
-                       F.col("p.match").alias("match"), F.lag("p.before").over(w).alias("before"))
+                       F.col("p.match").alias("match"), _before(lambda n: F.lag("p.before", n).over(w)).alias("before"))
     return each.where("match is not null").select("rid", "kind", (F.col("end") - F.col("len")).alias("start"), "end", "match", "before")
 
 
+def _before(stretch) -> Column:
+    """Two words before a match: of the stretch before it, else with the match before that (``<rule>``) and what stands before that one; else empty.
+    ``stretch(1)`` and ``stretch(3)`` are the last words of the two stretches before, NULL where the text begins."""
+    near, far, mark = stretch(1), stretch(3), F.concat(F.lit("<"), F.col("kind"), F.lit(">"))
+    older = F.reverse(F.regexp_extract(F.reverse(far), r"^(\S++)", 1))
+    return (F.when(near.rlike(r"\s"), near).when(far.isNull(), F.lit("")).when(near != "", F.concat_ws(" ", mark, near))
+            .when(far != "", F.concat_ws(" ", older, mark)).when(stretch(5).isNull(), F.lit("")).otherwise(F.concat_ws(" ", mark, mark)))
+
+
+def _grouped(found: DataFrame) -> DataFrame:
+    """Adds ``covered``: a token in a group, its first one included; a group takes over its first token's context."""
+    at = Window.partitionBy("rid").orderBy("start")
+    reach = F.max(F.when(F.col("kind") == "group", F.col("end"))).over(at.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    context = F.max(F.when(F.col("kind") == "token", F.col("before"))).over(Window.partitionBy("rid", "start"))
+    return found.withColumn("covered", (F.col("kind") == "token") & (F.coalesce(reach, F.lit(0)) > F.col("start"))).withColumn(
+        "before", F.when(F.col("kind") == "group", context).otherwise(F.col("before")))
+
+
 def _name(match: Column) -> Column:
     return F.lower(F.regexp_replace(match, r"^[^A-Za-z0-9+]+|[^A-Za-z0-9]+$", ""))
 
 
 def trusted_patterns(found: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, support: int = SUPPORT) -> DataFrame:
     """(before, kind, trust) of the patterns that the seeds induce."""
-    some = found.where("before <> ''").withColumn("what", _name(F.col("match"))).where("what <> ''")
-    seeds = staged(some.where("kind <> 'token'").groupBy("what").agg(F.min("kind").alias("kind")).withColumn("known", F.lit(1.0)), "seeds")
+    some = found.where("before <> '' and not covered").withColumn("what", _name(F.col("match"))).where("what <> ''")
+    seeds = staged(some.where(~F.col("kind").isin(*_UNNAMED)).groupBy("what").agg(F.min("kind").alias("kind")).withColumn("known", F.lit(1.0)), "seeds")
     edges = staged(some.select("before", "what").distinct(), "edges")
     degree = staged(edges.groupBy("before").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support), "patterns")
     known, patterns = seeds, None
@@ -106,17 +129,20 @@ def personal_data(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t"))
     rows = staged(docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), *[_pieces(F.col("t"), k).alias(k) for k in RULES]), "pieces")
     found = _found(rows)
-    found = staged(found.where(_valid(F.col("kind"), F.col("match"))), "found")
+    found = staged(_grouped(found.where(_valid(F.col("kind"), F.col("match")))), "found")
     patterns = trusted_patterns(found)
 
     # Tokens beside base spans: running bounds of the base spans of a document tell whether one overlaps.
-    is_base = F.col("kind") != "token"
+    is_base = ~F.col("kind").isin(*_UNNAMED)
     w = Window.partitionBy("rid").orderBy("start", "end")
     beside = found.join(found.where(~is_base).select("rid").distinct(), "rid", "left_semi")
     beside = (beside.withColumn("left", F.max(F.when(is_base, F.col("end"))).over(w.rowsBetween(Window.unboundedPreceding, -1)))
               .withColumn("right", F.min(F.when(is_base, F.col("start"))).over(w.rowsBetween(1, Window.unboundedFollowing)))
               .where(~is_base & (F.coalesce("left", F.lit(0)) <= F.col("start")) & (F.coalesce("right", F.col("end")) >= F.col("end"))))
-    added = beside.drop("kind").join(patterns.select("before", "kind"), "before").select("rid", "kind", "start", "end", F.lit(1).alias("added"))
+    added = beside.drop("kind").join(patterns.select("before", "kind"), "before").groupBy("rid", "start").agg(F.max(F.struct("end", "kind")).alias("x"))
+    reach = F.max("x.end").over(Window.partitionBy("rid").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    added = added.withColumn("reach", reach).where(F.coalesce("reach", F.lit(0)) <= F.col("start")).select(
+        "rid", "x.kind", "start", "x.end", F.lit(1).alias("added"))
     spans = found.where(is_base).select("rid", "kind", "start", "end", F.lit(0).alias("added")).unionByName(added)
 
     listed = F.array(*map(F.lit, KINDS))

@@ -273,6 +273,31 @@ def test_personal_data_discovers_by_context(corpus_spark):
     assert got[101]["spans"] == "" and got[102]["spans"] == "" and got[3]["n_added"] == 0
 
 
+def test_personal_data_discovers_grouped_numbers_whole(corpus_spark):
+    rows = [(i, f"Reach me: phone +49 (030) 555-{1000 + i} any day") for i in range(30)]
+    new = {100: ("Reach me: phone 030 555 7713 any day", "030 555 7713"), 101: ("Reach me: phone DE12 3456 7890 12", "DE12 3456 7890 12"),
+           102: ("Reach me: phone 030 5557713. 2 days", "030 5557713."), 103: ("reach ME: phone 0305557713", "0305557713"),
+           104: ("Reach me: phone 4711 1.2.3.4 now", "4711"), 105: ("see 12 34 56 of it", None)}
+    rows += [(i, t) for i, (t, _) in new.items()]
+    got = {r["doc_id"]: r for r in pii.personal_data(corpus_spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (t, span) in new.items():
+        own = [x for x in got[i]["spans"].split(",") if x.startswith("phone")]
+        assert own == ([f"phone:{t.index(span)}:{t.index(span) + len(span)}"] if span else []), i
+    assert all(got[i]["n_added"] == 0 and got[i]["n_phone"] == 1 for i in range(30))
+
+
+def test_personal_data_context_is_whole(corpus_spark):
+    long = "w" * 300
+    rows = [(i, f"{'x' * i} {long}{i % 2} {long}: u{i}@a.example.org") for i in range(12)]  # (a digit at the end: an earlier token)
+    rows += [(i, f"my a{i}@b.example.org or c{i}@b.example.org") for i in range(20, 32)]
+    rows += [(50, f"{long}0 {long}: name(at)x1"), (51, f"{long[1:]}0 {long[1:]}: name(at)x1"), (52, "my a52@b.example.org or me(at)x2")]
+    got = {r["doc_id"]: r["n_added"] for r in pii.personal_data(corpus_spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[52] == 1 and sum(got[i] for i in range(12)) == 0 and got[51] == 0
+    plain = [(i, f"{long} {long}: u{i}@a.example.org") for i in range(12)] + [(50, f"{long} {long}: name(at)x1"), (51, f"{long[1:]} {long}: name(at)x1")]
+    got = {r["doc_id"]: r["n_added"] for r in pii.personal_data(corpus_spark.createDataFrame(plain, "doc_id long, text string")).collect()}
+    assert got[50] == 1 and got[51] == 0
+
+
 def test_personal_data_rules_on_hard_runs(corpus_spark):
     texts = ["a@b.c_d@e.f x.@y.z @a.b a@@b.c", "1.2.3.4.5.6.7.8 0000255.1.1.1 1..2.3.4 256.1.1.1", "4929-3483 8514 6306 49 4929348385146306 1", "+1 555 +12 345 678 9) +123456789012345678",
              "x" * 3000 + "@" + "y" * 50, "1" * 5000, "a@b.cc1.2.3.4", "日本a@b.cc語 1.2.3.4"]
