@@ -11,7 +11,11 @@ levels before all parts of a key come from one fold over its parts (a parallel p
   where the legs leave no doubt beyond the level itself and the levels are not too many.
   Folding tables is exact, so a contended key settles in one round, all its parts at once.
 
-Where there is no table the parts start from bounds, and later rounds tell more; the first
+* Where the levels are too many for a table, all parts of a key are run at once from supposed levels, and again
+  from those that the parts before them left, until these agree: a key that empties now and then forgets
+  its start within a part; every turn settles at least the earliest part in doubt and runs only the parts that start anew.
+
+Where that doesn't tell either the parts start from bounds, and later rounds tell more; the first
 part always starts from the exact level.  What comes to the driver are the keys with more
 legs than a task's share (fewer than there are tasks), and per part of them a
 row of ``STATES`` numbers at most.
@@ -136,10 +140,51 @@ def _before(parts: list, exact: dict) -> dict:
     return out
 
 
+def _run_tables(ranged: DataFrame, ranges: dict) -> dict:
+    """(key, part) -> levels after the part for the levels before it in ``ranges``."""
+    import numpy as np
+    ranged = ranged.filter(F.col("part").isin(sorted({part for *_, part in ranges}))) if ranges else ranged
+    rows = ranged.mapInPandas(_make_tables(ranges), "resource string, k1 long, k2 long, part int, after binary").collect() if ranges else []
+    return {(r["resource"], r["k1"], r["k2"], r["part"]): np.frombuffer(r["after"], "<i8") for r in rows}
+
+
+def _run_supposed(ranged: DataFrame, by_key: dict, exact: dict) -> None:
+    """Add to ``exact`` the parts whose level before them is found by running them from supposed levels; ``by_key``: keys whose legs
+    leave no doubt beyond the level."""
+    tried: dict = {}
+    while True:
+        todo = {}
+        for key, parts in by_key.items():
+            bounds, tables = _before(parts, exact.get(key, {})), exact.setdefault(key, {})
+            level, sure = parts[0]["level"], True
+            for p in parts:
+                at = (*key, p["part"])
+                start, step, after = tables.get(p["part"], (0, 0, None))
+                if after is not None and 0 <= level - start and (step == 0 and level == start or step and (level - start) // step < len(after)):
+                    level = int(after[(level - start) // step if step else 0])
+                    continue
+                ends = tried.setdefault(at, {})
+                if level in ends:
+                    if sure:
+                        tables[p["part"]] = (level, 0, [ends[level]])
+                    level = ends[level]
+                    continue
+                todo[at] = (level, 0, 1)
+                sure = False
+                if ends:
+                    level = next(reversed(ends.values()))  # where it ended from the last level tried
+                else:
+                    low, high = bounds[p["part"]]
+                    level = level if low <= _LOWEST // 2 else max(low, min(level, high))
+        if not todo:
+            return
+        for at, after in _run_tables(ranged, todo).items():
+            tried[at][todo[at][0]] = int(after[0])
+
+
 def split_hot_keys(x: DataFrame, split_legs: int | None = None, states: int | None = None) -> tuple[DataFrame, dict]:
     """``x`` (legs with ``level``, ``status``, ``ext_ok``, ``ext_fail``) with a ``part`` number, and the levels before the parts of
     split keys as ``{(resource, k1, k2, part): (lowest, highest)}``; keys that aren't cut are part 0."""
-    import numpy as np
     split_legs, states = SPLIT_LEGS if split_legs is None else split_legs, STATES if states is None else states
     tasks = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = x.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
@@ -162,9 +207,8 @@ def split_hot_keys(x: DataFrame, split_legs: int | None = None, states: int | No
             if p["sure"] and 1 <= n <= states:
                 ranges[(*key, p["part"])] = (start, step, n)
     exact: dict = {}
-    if ranges:
-        for r in ranged.mapInPandas(_make_tables(ranges), "resource string, k1 long, k2 long, part int, after binary").collect():
-            key = (r["resource"], r["k1"], r["k2"])
-            exact.setdefault(key, {})[r["part"]] = (*ranges[(*key, r["part"])][:2], np.frombuffer(r["after"], "<i8"))
+    for (*key, part), after in _run_tables(ranged, ranges).items():
+        exact.setdefault(tuple(key), {})[part] = (*ranges[(*key, part)][:2], after)
+    _run_supposed(ranged, {k: parts for k, parts in by_key.items() if all(p["sure"] for p in parts)}, exact)
     incoming = {(*key, part): bounds for key, parts in by_key.items() for part, bounds in _before(parts, exact.get(key, {})).items()}
     return x.join(keys, KEYS, "left_anti").withColumn("part", F.lit(0)).unionByName(cut), incoming

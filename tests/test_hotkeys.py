@@ -96,3 +96,16 @@ def test_tables_hold_every_level():
             if r.status == 1 or (not r.ext_fail and (not r.has_need or x >= r.need0)):
                 x += r.delta
         assert after[start] == x
+
+
+@pytest.mark.parametrize("restock", [0.3, 0.6])
+def test_levels_beyond_a_table_settle_in_one_round(spark, monkeypatch, restock):
+    monkeypatch.setattr(H, "SPLIT_LEGS", 40)
+    monkeypatch.setattr(H, "STATES", 0)  # no tables at all
+    legs = spark.createDataFrame([(*r[:5], *(None if v is None else v * 997 + Decimal(r[0] % 89) * (1 if v > 0 else -1) for v in r[5:]))
+                                  for r in _legs(7, 800, 1, restock)], LEGS)
+    levels = spark.createDataFrame([("warehouse", 0, -1, Decimal(30))], "resource string, k1 long, k2 long, level decimal(18,2)")
+    got = {r["cmd_id"]: (r["status"], r["round"]) for r in A.admit(legs, levels).collect()}
+    want, _ = sequential([r.asDict() for r in legs.collect()], [r.asDict() for r in levels.collect()])
+    assert {k: v[0] for k, v in got.items()} == want and len(set(want.values())) == 2
+    assert max(r for _, r in got.values()) == 2
