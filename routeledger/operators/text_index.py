@@ -70,7 +70,9 @@ def build(texts: DataFrame, path: str, buckets: int = 64) -> None:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = texts.filter("text is not null").withColumn("gram", F.explode(_grams(F.lower("text")))).withColumn("bucket", _bucket(F.col("gram"), buckets))
     order = ["bucket", "gram", "kind", "id", "text"]
-    rows.repartitionByRange(n, *order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    # By bucket and a share of its texts, so that a long list is many tasks.  By hash: ranges would need a sample, and every gram made twice.
+    share = F.pmod(F.xxhash64("kind", "field", "id", "text"), F.lit(-(-4 * n // buckets)))
+    rows.repartition(n, "bucket", share).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     held = spark.read.schema(f"gram string, {TEXT_SCHEMA}, bucket int").parquet(f"{path}/postings")
     (held.groupBy("bucket", "gram").agg(F.count(F.lit(1)).alias("n")).repartition("bucket")
      .sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/counts"))

@@ -84,3 +84,16 @@ def test_movements_without_keys_and_unfinished_index(spark, seed, scratch):
     assert X.search_products(spark, f"{scratch}/none", "a").count() == 0
     with pytest.raises(FileNotFoundError):
         X.search_products(spark, f"{scratch}/absent", "a")
+
+
+def test_texts_are_read_once(spark, scratch):
+    read = spark.sparkContext.accumulator(0)
+
+    def name(i):
+        read.add(1)
+        return f"name {i}"
+    name = F.udf(name, "string").asNondeterministic()  # so that a plan holds it once
+    rows = spark.range(40).select(F.lit("shop").alias("kind"), F.lit("name").alias("field"), "id", name("id").alias("text"), F.lit("c").alias("code"),
+                                  F.lit("n").alias("name"), F.lit(1).alias("is_active"))
+    X.build(rows, scratch, buckets=4)
+    assert X.matches(spark, scratch, "NAME 1").count() == 11 and read.value == 40
