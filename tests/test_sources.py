@@ -160,3 +160,14 @@ def test_every_row_parses_into_one_side(spark, seed, scratch):
             seed.get(name).write.option("header", True).option("ignoreNullFields", False).format(fmt).save(f"{scratch}/all_{fmt}_{name}")
             rows, rejects = parse_table(spark, f"{scratch}/all_{fmt}_{name}", name, fmt)
             assert rejects.isEmpty() and rows.exceptAll(seed.get(name)).isEmpty() and rows.count() == seed.get(name).count()
+
+
+def test_json_record_is_parsed_once(spark, tmp_path):
+    """A filter on the parsed values doesn't parse the record again for every column."""
+    path = str(tmp_path / "lines")
+    spark.createDataFrame([('{"id":1,"shop_id":2,"amount":"3.50"}',), ('{"id":2,"shop_id":"x"}',), ('{"id":3,',)], "value string").write.text(path)
+    rows, rejects = parse_table(spark, path, "collections", "json")
+    for df in (rows, rejects):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    assert [(r["id"], r["shop_id"], str(r["amount"])) for r in rows.collect()] == [(1, 2, "3.50")]
+    assert sorted((r["reason"], r["bad_columns"]) for r in rejects.collect()) == [("not a record", []), ("value of another type", ["shop_id"])]
