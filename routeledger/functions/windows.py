@@ -30,7 +30,13 @@ def _running(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: d
     # Written once, so the totals and the rows come from one evaluation of the ranges.
     from ..session import materialize
     d = materialize(df.repartitionByRange(n, *keys, *order).withColumn(p, F.spark_partition_id()), "ranges")
-    totals = d.groupBy(*keys, p).agg(*[fold(v).alias(f"_bt_{o}") for o, v in values.items()])
+    # Ranges follow one another by key: a key that is in several of them is the first of all but one, so the
+    # totals of earlier ranges are two rows a range at most.
+    first = d.groupBy(p).agg(F.min(F.struct(*keys)).alias("_f")).select("_f").distinct()
+    mine = F.lit(True)
+    for k in keys:
+        mine = mine & F.col(k).eqNullSafe(F.col(f"_f.{k}"))
+    totals = d.join(F.broadcast(first), mine, "left_semi").groupBy(*keys, p).agg(*[fold(v).alias(f"_bt_{o}") for o, v in values.items()])
     w_b = Window.partitionBy(*keys).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(p).alias("_k_range"),
                             *[fold(f"_bt_{o}").over(w_b).alias(f"_off_{o}") for o in values])
@@ -41,7 +47,7 @@ def _running(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: d
     same = F.col(p) == F.col("_k_range")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    d = d.join(offsets, same)
+    d = d.join(F.broadcast(offsets), same, "left")
     for o in values:
         d = d.withColumn(o, both(F.col(f"_off_{o}"), F.col(f"_in_{o}")))
     return d.drop(p, "_k_range", *[f"_k_{k}" for k in keys], *[f"_in_{o}" for o in values], *[f"_off_{o}" for o in values])
@@ -71,8 +77,8 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
 
 
 def dense_ids(df: DataFrame, order: Sequence[str], base: Column | int = 0, out: str = "id",
-              partitions: int | None = None) -> DataFrame:
-    """Number rows ``base + 1, base + 2, ..`` following ``order`` (a total order)."""
+              partitions: int | None = None, keep: Sequence[str] | None = None) -> DataFrame:
+    """Number rows ``base + 1, base + 2, ..`` following ``order`` (a total order); ``keep``: the columns that are kept."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     tagged = ranged.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
@@ -82,7 +88,9 @@ def dense_ids(df: DataFrame, order: Sequence[str], base: Column | int = 0, out:
     # spark.checkpoint.dir) so the per-partition counts and the rows come
     # from one evaluation, also after a lost executor.
     from ..session import materialize
-    tagged = materialize(tagged, "dense-ids")
+    if keep is not None:
+        tagged = tagged.select(*keep, "_p", "_pos")
+    tagged = materialize(tagged.drop("_m"), "dense-ids")
     counts = tagged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     # One row per partition: the only single-partition window here is over
@@ -91,4 +99,4 @@ def dense_ids(df: DataFrame, order: Sequence[str], base: Column | int = 0, out:
     base_col = base if isinstance(base, Column) else F.lit(base)
     return (tagged.join(F.broadcast(offsets), "_p")
             .withColumn(out, (base_col + F.col("_off") + F.col("_pos") + 1).cast("bigint"))
-            .drop("_p", "_m", "_pos", "_off"))
+            .drop("_p", "_pos", "_off"))

@@ -44,3 +44,21 @@ def test_running_totals_keep_nulls_and_split_one_day(spark):
     from routeledger.session import materialize
     ranged = materialize(df.repartitionByRange(4, "k", "ts", "id").withColumn("p", F.spark_partition_id()), "test-ranges")
     assert ranged.filter("k = 1 and ts is not null").select("p").distinct().count() > 1
+
+
+def test_running_totals_join_no_sorted_rows(spark):
+    """The rows aren't shuffled and sorted once more for the totals of earlier ranges, at any size of the rows."""
+    df = spark.createDataFrame([(k, i, i % 7 - 3) for k in (None, 1, 2, 3) for i in range(200)], "k int, ts int, v int")
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {c: spark.conf.get(c) for c in names}
+    try:
+        for c in names:
+            spark.conf.set(c, "-1")
+        got = running_totals(df, ["k"], ["ts"], {"run": "v"})
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+        rows = {(r["k"], r["ts"]): r["run"] for r in got.collect()}
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert rows == {(k, i): sum(j % 7 - 3 for j in range(i + 1)) for k in (None, 1, 2, 3) for i in range(200)}
