@@ -237,3 +237,44 @@ def test_apply_commands_moves_facts_and_levels_together(spark, seed):
     assert (new["shop_id"], float(new["balance_amount"])) == (1, 50.0) and t.sale_items.filter(F.col("sale_id") == new["id"]).count() == 1
     assert t.stock_issues.count() == seed.stock_issues.count() + 2
     assert t.stock_returns.filter("id = 1").count() == 0
+
+
+def _mixed(spark):
+    return cmds(spark, [(1, 1, "issue", 1, None, None, None, [(1, 3)]), (2, 2, "issue", 1, None, None, None, [(1, 3), (2, 1)]),
+                        (3, 3, "return", 1, None, None, None, [(1, 0)]), (4, 4, "return", None, None, None, None, None),
+                        (5, 5, "sale", 1, 1, None, 5, [(1, 2), (2, 1), (1, 4)]), (6, 6, "sale", 1, 1, None, 0, [(3, 1)]),
+                        (7, 7, "sale", 1, 99, None, 5, [(3, 1)]), (7, 7, "sale", 1, 1, None, 5, [(3, 2)]), (8, 8, "collection", 1, 1, None, 2, None),
+                        (9, 9, "collection", 1, None, None, -2, None), (10, 10, "sale", 1, 1, None, 1, [(None, 1)]),
+                        (11, 11, "issue", 1, None, None, None, [(99, 1)]), (12, 12, "sale", 1, 99, None, 0, [(99, 1)]),
+                        (13, 13, "other", 1, 1, None, 1, None)])
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_plain_commands_have_the_legs_of_grouped_ones(spark, seed, twice):
+    """Also where products and shops are stored twice, once active and once not."""
+    t = seed
+    if twice:
+        double = lambda df: df.unionByName(df.withColumn("is_active", F.lit(0).cast(df.schema["is_active"].dataType)).filter("id <> 2"))
+        t = seed.with_tables(products=seed.products.unionByName(seed.products.filter("id <> 2")), shops=double(seed.shops))
+    got, want = A.to_legs(_mixed(spark), t), A._grouped_legs(_mixed(spark), t)
+    for a, b in zip(got, want, strict=True):
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert got[0].schema == want[0].schema
+
+
+def test_work_tables_of_rounds_are_dropped(spark, seed):
+    from routeledger import session
+    mark = session.written()
+    dec, _ = A.decide(_mixed(spark), seed)
+    left = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in session._WRITTEN[mark:]]
+    assert not {"admit-active", "admit-flags", "admit-updated", "admit-first", "ranges"} & set(left)
+    assert dec.count() == 14
+
+
+def test_feed_of_one_kind_numbers_no_movements(spark, seed):
+    from routeledger import session
+    mark = session.written()
+    got = A.commands_from_history(seed, ("collection",))
+    assert session.written() == mark
+    whole = A.commands_from_history(seed).filter("kind = 'collection'")
+    assert sorted(map(str, got.collect())) == sorted(map(str, whole.collect()))
