@@ -98,11 +98,13 @@ _FILLED = {
 }
 
 
-def _digests(t: Tables, **more) -> DataFrame:
-    """(table_name, column_name, n_rows, n_given, digest) of every filled column: the digest is the sum of the
-    first 32 bits of the values' MD5, so it doesn't depend on the order of the rows."""
+def _digests(t: Tables, only=None, **more) -> DataFrame:
+    """(table_name, column_name, n_rows, n_given, digest) of every filled column (of the tables ``only``): the digest is the
+    sum of the first 32 bits of the values' MD5, so it doesn't depend on the order of the rows."""
     parts = []
     for name, cols in _FILLED.items():
+        if only is not None and name not in only:
+            continue
         df, aggs, out = t.get(name), [F.count(F.lit(1)).alias("_n")], []
         for c in cols.split():
             text = F.date_format(c, "yyyy-MM-dd HH:mm:ss") if c == "date" else F.col(c).cast("string")
@@ -189,6 +191,11 @@ def _s5_all(spark, sf_dir):
     assert dropped == tags[:1] and sinks.list_snapshots(spark, root) == tags[1:]
     first, second = (sinks.snapshot_versions(spark, root, tag) for tag in tags[1:])
     again = [n for n in Tables.names() if first[n] != second[n]]
-    return (_digests(sinks.load_snapshot(spark, root, tags[1]), snapshot="first").withColumn("written_again", F.lit(False))
-            .unionByName(_digests(sinks.load_snapshot(spark, root, tags[2]), snapshot="second")
-                         .withColumn("written_again", F.col("table_name").isin(again))))
+    # A version that both snapshots name is one set of files: it is read and digested once, for both.
+    old, new = sinks.load_snapshot(spark, root, tags[1]), sinks.load_snapshot(spark, root, tags[2])
+    shared = [n for n in _FILLED if n not in again]
+    own = [n for n in _FILLED if n in again]
+    out = [_digests(old, shared).select(F.explode(F.array(F.lit("first"), F.lit("second"))).alias("snapshot"), "*")] if shared else []
+    if own:
+        out += [_digests(old, own, snapshot="first"), _digests(new, own, snapshot="second")]
+    return reduce(DataFrame.unionByName, out).withColumn("written_again", (F.col("snapshot") == "second") & F.col("table_name").isin(again))

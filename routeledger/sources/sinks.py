@@ -51,12 +51,23 @@ def _remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+#: Bits of a row hash in each of its three sums: added as longs these don't overflow below 2^41 rows.
+_BITS = 21
+
+
 def _content(df: DataFrame, name: str) -> DataFrame:
-    """One row: the table's row count and two sums of 64-bit row hashes, whatever the order of the rows."""
+    """One row: the table's row count and two sums of 64-bit row hashes, whatever the order of the rows; a sum comes in three parts."""
     cols = [F.col(f"`{c}`") for c in df.columns]
     given = F.concat(*[F.when(c.isNull(), "0").otherwise("1") for c in cols])
-    total = lambda seed: F.coalesce(F.sum(F.xxhash64(F.lit(seed), given, *cols).cast("decimal(20,0)")), F.lit(0)).cast("string")
-    return df.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("n"), total(1).alias("a"), total(2).alias("b"))
+    rows = df.select(*[F.xxhash64(F.lit(seed), given, *cols).alias(h) for seed, h in ((1, "a"), (2, "b"))])
+    low = (1 << _BITS) - 1
+    part = lambda h, i: F.shiftright(h, i * _BITS) if i == 2 else F.shiftright(h, i * _BITS).bitwiseAND(F.lit(low).cast("bigint"))
+    total = lambda h: F.array(*[F.coalesce(F.sum(part(h, i)), F.lit(0).cast("bigint")) for i in range(3)])
+    return rows.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("n"), total("a").alias("a"), total("b").alias("b"))
+
+
+def _sum(parts: list[int]) -> int:
+    return sum(x << (i * _BITS) for i, x in enumerate(parts))
 
 
 def table_versions(t: Tables, names=None) -> dict[str, str]:
@@ -66,7 +77,7 @@ def table_versions(t: Tables, names=None) -> dict[str, str]:
     if not names:
         return {}
     rows = reduce(DataFrame.unionByName, [_content(t.get(n), n) for n in names]).collect()
-    return {r["table"]: hashlib.sha256(f"{t.get(r['table']).schema.simpleString()}|{r['n']}|{r['a']}|{r['b']}".encode()).hexdigest()[:32]
+    return {r["table"]: hashlib.sha256(f"{t.get(r['table']).schema.simpleString()}|{r['n']}|{_sum(r['a'])}|{_sum(r['b'])}".encode()).hexdigest()[:32]
             for r in rows}
 
 
