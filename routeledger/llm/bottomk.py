@@ -139,9 +139,12 @@ def _split(held: DataFrame, sets: DataFrame, wide: int, num: int, den: int) -> t
     """The members of the wide lists as (v, node, n, w, c), and the pairs of them that share a rare shingle.
 
     Over the members' full sets a shingle is common if more than ``wide`` of them
-    hold it: w and c count a member's common and other shingles.
+    hold it: w and c count a member's common and other shingles.  Each set is posted
+    once, so the rows are the sum of the members' set sizes.  By the merge hint they are
+    dealt by node at every size: a broadcast of ``held`` would leave them to the tasks
+    that read ``sets``, in which members may lie unevenly.
     """
-    each = staged(_posts(sets.join(held.select("node", "n"), "node"), F.col("vals")), "members")
+    each = staged(_posts(sets.join(held.select("node", "n").hint("merge"), "node"), F.col("vals")), "members")
     common = (each.join(_wide_of(each, wide), "v", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("w")))
     counted = (held.join(common, "node", "left").withColumn("w", F.coalesce("w", F.lit(0)))
                .select("node", "n", "w", (F.col("n") - F.col("w")).alias("c"), F.explode("lists").alias("v")))

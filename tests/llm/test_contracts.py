@@ -138,6 +138,39 @@ def test_near_duplicates_of_wide_lists(corpus_spark):
     same(got, B.components(rows))
 
 
+def test_members_are_posted_once_and_dealt_by_node(corpus_spark, monkeypatch):
+    """Twice the members, twice the rows; members that lie in one of eight partitions are spread over all tasks."""
+    from pyspark.sql import functions as F
+    dealt = []
+    work = bottomk.staged
+
+    def staged(df, label):
+        if label == "members":
+            dealt.append([r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()])
+        return work(df, label)
+    monkeypatch.setattr(bottomk, "staged", staged)
+    conf = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: corpus_spark.conf.get(k) for k in conf}
+    node, n = "cast(unhex(sha1(cast(id as string))) as binary) as node", "30L as n"
+    try:
+        for k, v in conf.items():
+            corpus_spark.conf.set(k, v)
+        for size in (400, 800):
+            parts = corpus_spark.range(0, size, 1, 1)
+            for i in range(7):
+                parts = parts.union(corpus_spark.range(10_000 + 10 * i, 10_010 + 10 * i, 1, 1))
+            # 25 shingles of all, 5 of each one's own
+            sets = work(parts.selectExpr(node, "concat(sequence(1L, 25L), transform(sequence(1L, 5L), i -> 1000 + 5 * id + i)) as vals"), "test-sets")
+            held = work(parts.selectExpr(node, n, "array(1L, 2L) as lists"), "test-held")
+            out, shared = bottomk._split(held, sets, 48, 3, 4)
+            assert out.select("n", "w", "c").distinct().collect() == [(30, 25, 5)] and shared.isEmpty()
+            assert sum(dealt[-1]) == 30 * (size + 70)
+            assert max(dealt[-1]) * 8 <= 2 * sum(dealt[-1]), dealt[-1]
+    finally:
+        for k, v in old.items():
+            corpus_spark.conf.set(k, v)
+
+
 def test_contamination(corpus_spark, docs):
     items = corpus_spark.createDataFrame([(1, " ".join("ships of many sizes wait for the tide and their crews tell each other what they".split())), (2, "one two"),
                                           (2, "ONE, two!"), (None, "bytes here"), (4, None), (5, "...")], "item_id long, text string")
