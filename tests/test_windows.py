@@ -62,3 +62,22 @@ def test_running_totals_join_no_sorted_rows(spark):
         for c, v in before.items():
             spark.conf.set(c, v)
     assert rows == {(k, i): sum(j % 7 - 3 for j in range(i + 1)) for k in (None, 1, 2, 3) for i in range(200)}
+
+
+def test_keys_of_a_task_s_share_are_shuffled_once(spark, monkeypatch):
+    """Small keys are written nowhere and shuffled once; hot keys are spread; both give the plain window's rows."""
+    from routeledger.functions import windows
+    rows = [(None if i % 3 == 0 else i % 40, None if i % 7 == 0 else i // 5, i, i % 9 - 4) for i in range(1200)]
+    df = spark.createDataFrame(rows, "k int, ts int, id int, v int")
+    w = Window.partitionBy("k").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
+    want = sorted((r.id, r.run or 0) for r in df.withColumn("run", F.sum("v").over(w)).collect())
+    cold, hot = windows.split_hot(df, ["k"])
+    assert hot is None and cold.count() == 1200
+    got = running_totals(df, ["k"], ["ts", "id"], {"run": "v"}, inclusive=False)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted((r.id, r.run) for r in got.collect()) == want
+    monkeypatch.setattr(windows, "HOT_ROWS", 100)
+    cold, hot = windows.split_hot(df, ["k"])
+    assert [r.k for r in hot.select("k").distinct().collect()] == [None] and cold.count() + hot.count() == 1200
+    got = running_totals(df, ["k"], ["ts", "id"], {"run": "v"}, inclusive=False)
+    assert sorted((r.id, r.run) for r in got.collect()) == want
