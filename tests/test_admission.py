@@ -278,3 +278,19 @@ def test_feed_of_one_kind_numbers_no_movements(spark, seed):
     assert session.written() == mark
     whole = A.commands_from_history(seed).filter("kind = 'collection'")
     assert sorted(map(str, got.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_legs_that_fit_anyway_take_no_part_in_the_rounds(spark, monkeypatch):
+    """Only legs on keys that may run short are written for the rounds; decisions, rounds and methods are of the whole batch."""
+    rows = [(i, dt.datetime(2024, 1, 1), "warehouse", i % 5, -1, 2, -2) for i in range(100)] + [(i, dt.datetime(2024, 1, 1), "field", i, 1, None, 2) for i in range(100)]
+    legs = spark.createDataFrame([(c, ts, r, k1, k2, None if n is None else Decimal(n), Decimal(d)) for c, ts, r, k1, k2, n, d in rows],
+                                 "cmd_id long, ts timestamp_ntz, resource string, k1 long, k2 long, need decimal(18,2), delta decimal(18,2)")
+    levels = spark.createDataFrame([("warehouse", i, -1, Decimal(40 if i else 7)) for i in range(5)], "resource string, k1 long, k2 long, level decimal(18,2)")
+    assert [tuple(r) for r in A.tight_keys(A.in_cents(legs), levels).collect()] == [("warehouse", 0, -1, 700)]
+    sizes = []
+    write = A.materialize
+    monkeypatch.setattr(A, "materialize", lambda df, label: (lambda out: (sizes.append((label, out.count())), out)[1])(write(df, label)))
+    got = {r["cmd_id"]: (r["status"], r["method"]) for r in A.admit(legs, levels).collect()}
+    assert dict(reversed(sizes))["admit-active"] == 20
+    assert {i: s for i, (s, _) in got.items()} == {i: "accepted" if i % 5 or i < 15 else "rejected" for i in range(100)}
+    assert all(m == "window" for i, (_, m) in got.items() if i % 5)
