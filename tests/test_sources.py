@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from routeledger.operators import reports as R
 from routeledger.schema import SCHEMAS
 from routeledger.sources import sinks
-from routeledger.sources.tables import conform, load_star, load_table, parse_table, save_star
+from routeledger.sources.tables import conform, load_star, load_table, parse_table, save_star, save_text
 
 
 def shape(schema):
@@ -171,3 +171,18 @@ def test_json_record_is_parsed_once(spark, tmp_path):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
     assert [(r["id"], r["shop_id"], str(r["amount"])) for r in rows.collect()] == [(1, 2, "3.50")]
     assert sorted((r["reason"], r["bad_columns"]) for r in rejects.collect()) == [("not a record", []), ("value of another type", ["shop_id"])]
+
+
+@pytest.mark.parametrize("fmt", ["csv", "json"])
+def test_tables_as_text_are_compressed_and_read_back_whole(spark, seed, scratch, fmt):
+    many = seed.with_tables(sale_items=seed.sale_items.crossJoin(spark.range(300).select(F.col("id").alias("_n"))).drop("_n"))
+    save_text(many, f"{scratch}/text", fmt)
+    many.sale_items.write.option("header", True).option("ignoreNullFields", False).format(fmt).save(f"{scratch}/plain")
+
+    def size(folder):
+        return sum(os.path.getsize(os.path.join(folder, f)) for f in os.listdir(folder) if f.startswith("part-"))
+    assert size(f"{scratch}/text/sale_items") * 3 < size(f"{scratch}/plain")
+    for name in ("sale_items", "shops"):
+        rows, rejects = parse_table(spark, f"{scratch}/text/{name}", name, fmt)
+        assert rejects.count() == 0 and shape(rows.schema) == shape(SCHEMAS[name])
+        assert rows.exceptAll(many.get(name)).count() == 0 and rows.count() == many.get(name).count()
